@@ -10,6 +10,7 @@ from ._common import read
 from .classifier import classify
 from .exact_dedup import exact_groups
 from .mixing import curriculum
+from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import scan
 
@@ -26,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum(read(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_mixing": op3_mixing,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
 }
