@@ -40,6 +40,48 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder, for small tables that are read several times."""
+    shared_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+#: A row of a filter's bitmaps holds so many bits.
+PAGE = 32768
+
+
+def slots_of(value: Column, bits: int) -> list[Column]:
+    """The two places of a value in a filter of ``bits`` bits."""
+    return [F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+
+def bitmaps(slots: DataFrame) -> DataFrame:
+    """(page, bitmap) with a bit for each value of column ``slot``: a filter in rows of 4 kB, one in 32,768 bits at most."""
+    page, bit = F.floor(F.col("slot") / PAGE), F.col("slot") % PAGE
+    return slots.groupBy(page.cast("int").alias("page")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+
+
+def filter_of(values: DataFrame, column: str, bits: int) -> DataFrame:
+    """A Bloom filter, as bitmaps, of the values of a column."""
+    return bitmaps(values.select(F.explode(F.array(*slots_of(F.col(column), bits))).alias("slot")))
+
+
+def probe(rows: DataFrame, column: str, pages: DataFrame, bits: int) -> DataFrame:
+    """rows with a column ``__maybe``: false where the filter is certain not to hold the value."""
+    tests = []
+    for i, slot in enumerate(slots_of(F.col(column), bits)):
+        page, bitmap, bit = f"__page{i}", f"__bitmap{i}", F.pmod(slot, F.lit(PAGE))
+        rows = rows.withColumn(page, F.floor(slot / PAGE).cast("int"))
+        # bits / 8 bytes of bitmaps at most, so the broadcast is bounded.
+        rows = rows.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bitmap").alias(bitmap))), page, "left")
+        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        tests.append(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
+    return rows.withColumn("__maybe", tests[0] & tests[1]).drop("__page0", "__page1", "__bitmap0", "__bitmap1")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Texts without other letters than ASCII take the quick way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -14,52 +14,26 @@ the input are not looked at and may have any name.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, stage, with_group
-
-#: A bitmap row holds so many bits.
-PAGE = 32768
-
+from ._common import ascii_lower, bitmaps, probe, slots_of, stage, with_group
 
 def _normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _slots(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
-
-
 def repeated_slots(digests: DataFrame, filter_bits: int) -> DataFrame:
     """Pass one: (page, bitmap) of the slots that at least two rows of ``digests`` (column digest) hit."""
-    slots = digests.select(F.explode(F.array(*_slots(F.col("digest"), filter_bits))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    page, bit = F.floor(F.col("slot") / PAGE), F.col("slot") % PAGE
-    return twice.groupBy(page.cast("int").alias("page")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
-
-
-def maybe_repeated(rows: DataFrame, pages: DataFrame, filter_bits: int) -> DataFrame:
-    """Pass two: rows (column digest) with a column ``__maybe``; where it is false the digest occurs once."""
-    tests = []
-    for i, slot in enumerate(_slots(F.col("digest"), filter_bits)):
-        page, bitmap, bit = f"__page{i}", f"__bitmap{i}", F.pmod(slot, F.lit(PAGE))
-        rows = rows.withColumn(page, F.floor(slot / PAGE).cast("int"))
-        # At most filter_bits / 8 bytes of bitmaps, so the broadcast is bounded.
-        rows = rows.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bitmap").alias(bitmap))), page, "left")
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
-    out = rows.withColumn("__maybe", reduce(Column.__and__, tests))
-    return out.drop("__page0", "__page1", "__bitmap0", "__bitmap1")
+    slots = digests.select(F.explode(F.array(*slots_of(F.col("digest"), filter_bits))).alias("slot"))
+    return bitmaps(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def exact_groups(docs: DataFrame, *, filter_bits: int = 1 << 26, salts: int = 64) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = docs.select("doc_id", F.unhex(F.sha2(_normal(F.col("text")), 256)).alias("digest"))
     hashed = stage(hashed.withColumn("row", F.monotonically_increasing_id()), "digests")
-    probed = maybe_repeated(hashed, repeated_slots(hashed, filter_bits), filter_bits)
+    probed = probe(hashed, "digest", repeated_slots(hashed, filter_bits), filter_bits)
     alone = probed.filter("not __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     some = probed.filter("__maybe").select("doc_id", "row", "digest")
     met = with_group(
@@ -79,7 +53,7 @@ def drop_copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.unhex(F.sha2(_normal(F.col("text")), 256)).alias("digest"))
     digests = stage(packed.select("digest"), "digests")
-    probed = maybe_repeated(packed, repeated_slots(digests, filter_bits), filter_bits)
+    probed = probe(packed, "digest", repeated_slots(digests, filter_bits), filter_bits)
     alone = probed.filter("not __maybe").select("doc")
     rest = [F.col(f"doc.`{c}`") for c in names if c not in ("doc_id", "text")]
     order = F.struct(F.col("doc.doc_id"), F.col("doc.text"), *[x.cast("string") for x in rest])

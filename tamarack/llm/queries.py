@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import read
 from .classifier import classify
 from .exact_dedup import exact_groups
+from .minhash import near_groups
 from .mixing import curriculum
 from .packing import pack
 from .quality_rules import quality_rules
@@ -39,6 +40,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,6 +89,25 @@ SELECT doc_id, size, source_size, target,
        (whole * size + least(greatest(round(target)::BIGINT - whole * source_size - before, 0), size))::BIGINT AS taken,
        round(p, 9) AS position
 FROM placed
+""",
+    "op10_minhash": """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY u, v),
+links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM documents d JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) ON u = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """,
     "op9_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
