@@ -20,6 +20,8 @@ FEATURES = (
     "distinct_word_share", "distinct_window_share", "upper_share", "digit_share", "exclamation_share", "punctuation_share",
     "non_ascii_share", "space_share", "pipe_share", "short_word_share", "long_word_share", "top_word_share", "byte_entropy", "echo_share",
 )
+#: Labels that are learnt: rows with crc32(doc_id as text) mod 5 = 0 are held out.
+LEARNT = "quality is not null and crc32(cast(doc_id as string)) % 5 <> 0"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -85,7 +87,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple
 
     Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are never learnt.
     """
-    truth = labels.filter("quality is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    truth = labels.filter(LEARNT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = stats.select("doc_id", "features").join(truth, "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("features", "quality").toPandas()
     if not len(rows):

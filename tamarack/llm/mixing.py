@@ -82,10 +82,8 @@ def _position(share: Column, schedule: Sequence[float]) -> Column:
     return at
 
 
-def curriculum(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, max_repeats: int = MAX_REPEATS, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source), range-sorted by position:
-    doc_id, size, source_size, target, taken, position, then the columns named in ``carry``.
-    """
+def _mixed(docs: DataFrame, weights: Sequence[float], max_repeats: int, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rank (of the source) and share (of the source's demand met before the document)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     source_key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -103,8 +101,46 @@ def curriculum(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules
     rest = words - whole * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
     share = F.coalesce(F.try_divide(F.col("before").cast("double"), F.col("target")), F.lit(0.0))
+    return rows.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), "rank", share.alias("share"), *carry)
+
+
+def _placed(rank: Column, share: Column, schedules: Sequence[Sequence[float]]) -> Column:
     place = F.lit(None).cast("double")
-    for i, s in enumerate(schedules):
-        place = F.when(F.pmod(F.col("rank"), F.lit(len(schedules))) == i, _position(share, s)).otherwise(place)
-    out = rows.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), F.round(place, 9).alias("position"), *carry)
+    for i, schedule in enumerate(schedules):
+        place = F.when(F.pmod(rank, F.lit(len(schedules))) == i, _position(share, schedule)).otherwise(place)
+    return F.round(place, 9)
+
+
+def curriculum(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source), range-sorted by position:
+    doc_id, size, source_size, target, taken, position (of the first copy).
+    """
+    position = _placed(F.col("rank"), F.col("share"), schedules).alias("position")
+    out = _mixed(docs, weights, max_repeats).select("doc_id", "size", "source_size", "target", "taken", position)
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def training_order(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The documents as the mix takes them, with the columns of docs: a row per copy, range-sorted by training position.
+
+    The copy at which a source's target is reached keeps its first words only. Takes meet their texts by doc_id and a
+    hash of the row, so texts are shuffled once to meet them and once to be sorted.
+    """
+    names = docs.columns
+    tie = F.xxhash64("source", "text")
+    takes = _mixed(docs.withColumn("__tie", tie), weights, max_repeats, ["__tie"]).filter("taken > 0")
+    takes = takes.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    same = W.partitionBy("__id", "__tie")
+    takes = takes.withColumn("__nth", F.row_number().over(same.orderBy("taken"))).drop("doc_id")
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), tie.alias("__tie"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    packed = packed.withColumn("__nth", F.row_number().over(same.orderBy("__tie")))
+    met = packed.join(takes, ["__id", "__tie", "__nth"])
+    met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
+    text = F.when(words < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")).otherwise(F.col("doc.text"))
+    kinds = dict(docs.dtypes)
+    fixed = {"text": text, **({"n_chars": F.char_length(text).cast(kinds["n_chars"])} if "n_chars" in kinds else {})}
+    position = _placed(F.col("rank"), F.col("share") + F.col("epoch") * F.col("source_size") / F.col("target"), schedules)
+    out = met.select(position.alias("__position"), *[fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names])
+    sorted_ = out.repartitionByRange("__position", F.xxhash64("text")).sortWithinPartitions("__position")
+    return sorted_.drop("__position")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stats import BASE, FEATURES, edges_of, labelled_sample, statistics
+from ._stats import BASE, FEATURES, LEARNT, edges_of, labelled_sample, statistics
 from ._common import stage
 
 #: Features along which the score may only fall.
@@ -148,11 +148,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, min_score: float = MIN_
 def keep_good(docs: DataFrame, labels: DataFrame, *, min_score: float = MIN_SCORE, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The model comes from a first pass over the labelled rows; each row is then judged where its text is read,
+    The model comes from a first pass over a bounded sample of labelled rows; each row is then judged where its text is read,
     so no text is shuffled.
     """
-    known = labels.filter("quality is not null").select("doc_id").distinct()
-    model = fit_rules(statistics(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels, max_rows)
+    chosen = labels.filter(LEARNT).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # max_rows ids at most, so the broadcast is bounded.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    model = fit_rules(statistics(sample), labels, max_rows)
     verdict = _verdict(model, min_score)
     return docs.filter(verdict(F.col("text")))
 
