@@ -6,8 +6,9 @@
 3. In each bucket, all nodes are linked to two pivots, its least and greatest node. Pairs whose sizes or
    128-bit sketches exclude the threshold are dropped; the others are verified on their full sets.
 4. Components by large-star and small-star. Buckets that still hold several components are joined with
-   themselves, across components only, so that no link of a bucket is lost where neither end is a pivot; these pairs
-   are filtered and verified like the first, and the components are taken again.
+   themselves, across components only, so that no link of a bucket is lost where neither end is a pivot. Besides sizes and
+   sketches, a bound drops pairs there: each set is hashed to 2,048 bits, and items whose bits the other set lacks
+   are not in it. What remains is verified, and the components are taken again.
 
 So pairs are few where a group is large, since a large group of near copies is one component after step 3.
 
@@ -21,11 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import checkpoint, filter_of, probe, stage
 from ._shingles import hashes_of, mix
@@ -41,6 +45,9 @@ PERCENT = 80
 SKETCH_BITS = 32
 FILTER_BITS = 1 << 26
 SALTS = 64
+#: Words of 64 bits that a set is hashed to for the bound on what two sets share.
+WORDS = 32
+NULL_ID = -(2**63)
 
 _RNG = np.random.default_rng(7)
 _A = (_RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -110,20 +117,59 @@ def _allowed(n1: str, n2: str, a1: str, a2: str, b1: str, b2: str, percent: int)
     return sizes & (bits <= SKETCH_BITS)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold. Only texts of nodes in a pair are shuffled."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    found = stage(nodes.join(wanted, "node").select("node", "doc_id", "digest"), "wanted")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "text")
-    near = probe(keyed, "key", filter_of(found.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key")), "key", FILTER_BITS), FILTER_BITS)
-    texts = near.filter("__maybe").select("key", "text").join(found.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id"), "key")
-    items = stage(texts.select("node", "digest", "text").mapInPandas(_fetch(width), "node long, items array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(items.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u")
-    both = both.join(items.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v")
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, items) with the full sets of the wanted nodes (column node). Only their texts are shuffled."""
+    found = stage(nodes.join(wanted, "node").select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "digest"), "wanted")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), "text")
+    near = probe(keyed, "key", filter_of(found, "key", FILTER_BITS), FILTER_BITS).filter("__maybe").select("key", "text")
+    sets = near.join(found, "key").select("node", "digest", "text").mapInPandas(_fetch(width), "node long, items array<long>")
+    return stage(sets.dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose full sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("iu")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("items").alias("iv")), "v")
     both = both.withColumn("shared", F.size(F.array_intersect("iu", "iv")))
     return both.filter(100 * F.col("shared") >= percent * (F.size("iu") + F.size("iv") - F.col("shared"))).select("u", "v")
 
 
+def _bitsets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sets hashed to ``64 * WORDS`` bits each, and how many of the bits are set."""
+    for part in parts:
+        bits = np.zeros((len(part), 64 * WORDS), np.uint8)
+        for k, items in enumerate(part["items"]):
+            bits[k, (items.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pd.DataFrame({"node": part["node"], "p": bits.sum(1, dtype=np.int64), **{f"w{k}": words[:, k] for k in range(WORDS)}})
+
+
+def _can_share(percent: int):
+    """Whether two sets can reach the threshold: an item whose bit the other set does not have is not in it."""
+    common = reduce(add, [F.bit_count(F.col(f"w{k}_u").bitwiseAND(F.col(f"w{k}_v"))) for k in range(WORDS)])
+    most = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) + common
+    return 100 * most >= percent * (F.col("n_u") + F.col("n_v") - most)
+
+
+def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that met in a bucket without a pivot at either end."""
+    open_ = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    open_ = checkpoint(open_.join(checkpoint(mixed), "key").join(nodes.select("node", "n", "s1", "s2"), "node"))
+    sides = [open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "s1", "s2")]) for x in "uv"]
+    likely = (F.col("component_u") != F.col("component_v")) & _allowed("n_u", "n_v", "s1_u", "s1_v", "s2_u", "s2_v", percent)
+    # Nodes with a likely partner, each once; the partners themselves are not listed yet.
+    left, right = sides[0].alias("left"), sides[1].alias("right")
+    some = left.join(right, (F.col("left.key") == F.col("right.key")) & likely, "left_semi").select(F.col("node_u").alias("node")).distinct()
+    sets = _sets_of(some, nodes, docs, width)
+    names = ["node", "p", *[f"w{k}" for k in range(WORDS)]]
+    known = checkpoint(sets.mapInPandas(_bitsets, T.StructType([T.StructField(c, T.LongType(), False) for c in names])))
+    sides = [x.join(known.select([F.col(c).alias(f"{c}_{y}") for c in names]), f"node_{y}") for x, y in zip(sides, "uv", strict=True)]
+    left, right = sides[0].alias("left"), sides[1].alias("right")
+    met = left.join(right, (F.col("left.key") == F.col("right.key")) & (F.col("node_u") < F.col("node_v")) & likely & _can_share(percent))
+    return _confirmed(checkpoint(met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()), sets, percent)
+
+
 def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets(width), "doc_id long, n long, digest binary, keys array<long>, s1 long, s2 long")
@@ -142,16 +188,10 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
 
     star = members.select("node", F.explode(F.array("low", "high")).alias("pivot")).filter("node <> pivot")
     star = star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    links = checkpoint(_verified(checkpoint(_likely(star, nodes, percent)), nodes, docs, width, percent))
-    first = components(links)
-
-    named = members.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = checkpoint(named.join(checkpoint(mixed), "key").join(nodes.select("node", "n", "s1", "s2"), "node"))
-    left, right = (open_.select(*["key"], *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "s1", "s2")]) for x in "uv")
-    across = left.join(right, "key").filter((F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & _allowed("n_u", "n_v", "s1_u", "s1_v", "s2_u", "s2_v", percent))
-    rest = checkpoint(across.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct())
-    more = _verified(rest, nodes, docs, width, percent)
+    pairs = checkpoint(_likely(star, nodes, percent))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = checkpoint(_confirmed(pairs, _sets_of(ends, nodes, docs, width), percent))
+    more = _across(members, components(links), nodes, docs, width, percent)
     final = components(links.unionByName(more))
 
     owned = owner.join(final, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
