@@ -38,40 +38,75 @@ TOKENIZER = "byte_bpe_50k.json"
 #: White space that texts are not cut at; a text that has some is tokenized whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Different chunks whose ids a worker remembers.
-_REMEMBERED = 300_000
+#: A word of letters, alone or with one of these behind it, is one part or two.
+_STOPS = frozenset(".,;:!?")
+#: Different chunks, and different parts of chunks, whose ids a worker remembers.
+_REMEMBERED = 400_000
 _tokenizers: dict[str, "Ids"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE has for each byte: itself where it prints, else one from 256 upwards."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Ids:
     """Token ids of texts as little-endian bytes.
 
-    The tokenizer never joins white space to what stands before it, unless that is white space too. So a text is
-    cut there, and chunks seen before are looked up.
+    The tokenizer never joins white space to what stands before it, unless that is white space too. So a text is cut
+    there, and chunks seen before are looked up. Others are cut into the tokenizer's own parts, and parts not seen
+    before go through its merges.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = _byte_letters()
+        self.parts_of = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.parts: dict[str, bytes] = {}
+        self.missed = 0
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+            found = b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(letters)])
+            if len(self.parts) < _REMEMBERED:
+                self.parts[part] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():
+            found = self._part(chunk)
+        elif word[-1:] in _STOPS and word[:-1].isalpha():
+            found = self._part(chunk[:-1]) + self._part(word[-1])
+        else:
+            found = b"".join(map(self._part, self.parts_of(chunk)))
+        self.missed += 1
+        if len(self.known) < _REMEMBERED:
+            self.known[chunk] = found
+        elif self.missed > 20 * _REMEMBERED:  # the texts may have changed: start anew
+            self.known, self.parts, self.missed = {}, {}, 0
+        return found
 
     def of(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        chunks, known = _CHUNKS.findall(text), self.known
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        if new:
-            if len(known) > _REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for k in range(0, len(new), 5_000):
-                known.update(zip(new[k : k + 5_000], self._encode(new[k : k + 5_000]), strict=True))
-        return b"".join([known[x] for x in chunks])
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = _CHUNKS.findall(text)
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            for k, x in enumerate(found):
+                if x is None:
+                    found[k] = self._chunk(chunks[k])
+        return b"".join(found)
 
 
 def _ids(path: str) -> Ids:
