@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Settings while a table is staged: its shuffle files go once it is written, and texts, which are long, come in small batches.
+_STAGING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _STAGING}
+    try:
+        for k, v in _STAGING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -36,7 +57,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamarack-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with staging(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

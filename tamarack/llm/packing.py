@@ -41,7 +41,7 @@ _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: A word of letters, alone or with one of these behind it, is one part or two.
 _STOPS = frozenset(".,;:!?")
 #: Different chunks, and different parts of chunks, whose ids a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _tokenizers: dict[str, "Ids"] = {}
 
 
