@@ -252,7 +252,8 @@ def _with_texts(docs: DataFrame, shared_ids: DataFrame, wanted: DataFrame) -> Da
     """wanted (doc_id, tie and more) with the texts of its documents; only texts that a filter of the ids holds are shuffled."""
     near = probe(_numbered(docs, shared_ids), "doc_id", filter_of(wanted, "doc_id", FILTER_BITS), FILTER_BITS).filter("__maybe")
     texts = near.select("doc_id", "tie", "text")
-    texts = texts.filter("tie = 0").unionByName(texts.filter("tie <> 0").dropDuplicates(["doc_id", "tie"]))
+    if not shared_ids.isEmpty():
+        texts = texts.filter("tie = 0").unionByName(texts.filter("tie <> 0").dropDuplicates(["doc_id", "tie"]))
     return texts.join(wanted, ["doc_id", "tie"])
 
 
