@@ -104,6 +104,15 @@ def probe(rows: DataFrame, column: str, pages: DataFrame, bits: int) -> DataFram
     return rows.withColumn("__maybe", tests[0] & tests[1]).drop("__page0", "__page1", "__bitmap0", "__bitmap1")
 
 
+def filter_bytes(hashes: DataFrame, column: str, bits: int) -> bytes:
+    """A filter with one bit for each hash, at its value mod ``bits``, as bytes: bits / 8 of them, whatever the input."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    out = bytearray(bits // 8)
+    for page, bitmap in bitmaps(hashes.select(slot.alias("slot"))).toLocalIterator():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] = bitmap
+    return bytes(out)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Texts without other letters than ASCII take the quick way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 from .classifier import classify
+from .compact_windows import repeated_passages
 from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import curriculum
@@ -34,6 +35,10 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(read(spark, sf_dir, "pages")))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_mixing": op3_mixing,
     "op4_warc_derivatives": op4_warc_derivatives,
+    "op5_compact_windows": op5_compact_windows,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_classifier": op8_quality_classifier,
