@@ -1,14 +1,519 @@
-"""Registered queries over the driver's tables, with the DuckDB SQL that each is held against."""
+"""Registered queries over the driver's tables, with the DuckDB SQL that each is held against (see ``oracles``).
+
+Documents play the source files, benchmark items the queries, conversations the traces, events a reranker's output
+and its usage. Keys are the operator's id and name.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tamarack.functions import text as T
+from tamarack.jobs.oracles import ORACLE_SQL
+from tamarack.operators import bm25, evaluation, hybrid, rerank, study
+from tamarack.sources import code, records
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+DEPTH = 50
+
+
+def _query(name: str):
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        return f
+
+    return put
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _file(doc_id: str = "doc_id"):
+    return F.concat(F.lit("doc/"), F.lpad(F.col(doc_id).cast("string"), 9, "0"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(_file().alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int = DEPTH, b: float = bm25.B) -> DataFrame:
+    return bm25.rank(_asked(spark, sf_dir), _docs(spark, sf_dir), k=k, b=b)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, file): documents that hold an item's text. They share its first five words, so the check meets few pairs."""
+    words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
+    head = lambda w, i: F.array_join(F.slice(w, i, 5), " ")
+    items = _asked(spark, sf_dir).select("query_id", F.col("text").alias("item"), head(words("text"), F.lit(2)).alias("key"))
+    docs = _docs(spark, sf_dir).withColumn("w", words("text"))
+    keyed = docs.select("file", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: head(F.col("w"), i)))).alias("key"))
+    return keyed.join(items, "key").filter(F.contains("text", F.col("item"))).select("query_id", "file").distinct()
+
+
+def _per(spark: SparkSession, sf_dir: str, b: float = bm25.B, depth: int = 10) -> DataFrame:
+    return evaluation.correct_ranks(_ranked(spark, sf_dir, b=b), _truth(spark, sf_dir), _asked(spark, sf_dir), depth=depth)
+
+
+def _with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with a direct hint where a document holds the query's longest token."""
+    long = lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))
+    hints = _asked(spark, sf_dir).select("query_id", F.element_at(F.array_sort(F.array_distinct(T.tokenize(F.col("text"))), long), 1).alias("hint"))
+    holds = bm25.postings(_docs(spark, sf_dir)).select("file", F.col("term").alias("hint")).join(hints, "hint").select("query_id", "file").withColumn("direct", F.lit(True))
+    return _ranked(spark, sf_dir).join(holds, ["query_id", "file"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank.select(_with_hints(spark, sf_dir), _asked(spark, sf_dir)).filter(F.array_contains("reasons", f"low_score_ratio<={rerank.RATIO:g}"))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces from conversations: a section per turn, its text as message, frames of its role, one of them repeated."""
+    turn = _read(spark, sf_dir, "conversations")
+    frame = F.concat(F.lit("\tat org.app."), F.col("role"), F.lit(".Say.run(Say.java:"), F.col("turn").cast("string"), F.lit(")"))
+    text = F.concat_ws("\n", F.concat(F.lit("--- turn::"), F.col("role")), F.coalesce("text", F.lit("")), frame, F.array_join(F.array_repeat(frame, (F.col("turn") % 6).cast("int")), "\n"), F.lit("  at java.util.List.get(List.java)"), F.lit(" "), F.lit("at junit.framework.Run.run(Run.java)"))
+    return turn.select("conv_id", "turn", text.alias("trace"))
+
+
+def _output(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A reranker's output from events, in order with repeats and files outside the pool, and the pool of four files."""
+    events = _read(spark, sf_dir, "events")
+    order = W.partitionBy("user_id").orderBy("event_id")
+    out = events.select(F.col("user_id").alias("query_id"), F.row_number().over(order).alias("position"), F.col("event_type").alias("file"))
+    pool = events.select(F.col("user_id").alias("query_id")).distinct().select("query_id", F.posexplode(F.array(*[F.lit(x) for x in ("purchase", "click", "view", "refund")])).alias("place", "file"))
+    return out, pool
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.get_json_object("props", "$.k").try_cast("bigint")
+    return _read(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("query_id"), tokens.alias("tokens"), F.round("value", 2).alias("seconds"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _ranked(spark, sf_dir, 10)
+
+
+def _digest(tokens):
+    return F.md5(F.array_join(tokens, " ").cast("binary"))
+
+
+@_query("T01_tokenize")
+def t01(spark, sf_dir):
+    tokens = T.tokenize(F.regexp_replace("text", "[ \n]", ""))
+    return _docs(spark, sf_dir).select("file", F.size(tokens).cast("long").alias("n_tokens"), _digest(tokens).alias("tokens_md5"))
+
+
+@_query("T02_split_camel")
+def t02(spark, sf_dir):
+    parts = T.split_camel(F.regexp_replace("text", "[ \n]", ""))
+    return _docs(spark, sf_dir).select("file", F.size(parts).cast("long").alias("n_parts"), _digest(parts).alias("parts_md5"))
+
+
+@_query("T03_runtime_context")
+def t03(spark, sf_dir):
+    return _traces(spark, sf_dir).select("conv_id", "turn", T.runtime_context(F.col("trace")).alias("context"))
+
+
+@_query("T04_compact_trace")
+def t04(spark, sf_dir):
+    return _traces(spark, sf_dir).select("conv_id", "turn", T.compact_trace(F.col("trace")).alias("trace"))
+
+
+@_query("T05_focused_trace")
+def t05(spark, sf_dir):
+    whole = _traces(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "trace"))), lambda x: x["trace"]), "\n").alias("trace"))
+    return whole.select("conv_id", T.focused_trace(F.col("trace"), F.array(F.lit("turn::user"))).alias("trace"))
+
+
+@_query("T06_triggering_classes")
+def t06(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit("::"), F.col("turn").cast("string")).alias("test"))
+    tests = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "test"))), lambda x: x["test"]).alias("tests"))
+    return tests.select("conv_id", F.array_join(T.triggering_classes(F.col("tests"), F.lit("user::last")), ",").alias("classes"))
+
+
+@_query("T07_stack_frames")
+def t07(spark, sf_dir):
+    frames = T.stack_frames(F.col("trace"), "org.app")
+    return _traces(spark, sf_dir).select("conv_id", "turn", F.size(frames).cast("long").alias("n_frames"), F.try_element_at(frames, F.lit(1))["class"].alias("first_class"))
+
+
+@_query("T08_names")
+def t08(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    name = F.concat(F.lit("a.b."), F.regexp_replace(F.initcap("p_type"), "[^A-Za-z]", ""), F.element_at(F.array(*[F.lit(x) for x in ("Test", "Tests", "TestCase", "$Inner", "")]), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return part.select("p_partkey", T.simple_name(name).alias("simple"), T.strip_test_suffix(T.simple_name(name)).alias("stripped"), T.source_hint(T.simple_name(name)).alias("hint"))
+
+
+@_query("T09_class_terms")
+def t09(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    name = F.regexp_replace(F.initcap("p_type"), "[^A-Za-z]", "")
+    terms = F.array_sort(F.array_union(F.array(F.lower(name)), F.transform(T.split_camel(name), F.lower)))
+    return part.select("p_partkey", F.array_join(terms, " ").alias("terms"))
+
+
+@_query("T11_relevant_terms")
+def t11(spark, sf_dir):
+    return _docs(spark, sf_dir).select("file", F.array_join(T.relevant_terms(F.col("text")), " ").alias("terms"))
+
+
+@_query("T12_comment_lines")
+def t12(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("file", F.explode(T.lines(F.col("text"))).alias("line"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.is_comment_header(F.col("line"))).alias("n_comment"))
+
+
+@_query("T13_truncate")
+def t13(spark, sf_dir):
+    return _docs(spark, sf_dir).select("file", T.truncate_text(F.col("text"), 220).alias("text"))
+
+
+@_query("T14_json_object")
+def t14(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Answer: "), F.col("props"), F.lit(" end"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("none"))
+    return _read(spark, sf_dir, "events").select("event_id", F.get_json_object(T.json_object(raw), "$.k").alias("k"))
+
+
+@_query("T15_whole_number")
+def t15(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit("x1")).otherwise(F.get_json_object("props", "$.k"))
+    return _read(spark, sf_dir, "events").select("event_id", T.whole_number(raw, 0).alias("n"))
+
+
+@_query("T16_base_name")
+def t16(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.base_name(F.col("url")).alias("name"))
+
+
+@_query("T17_json_keys")
+def t17(spark, sf_dir):
+    keys = T.json_keys(F.concat(F.lit('{"outer": '), F.col("props"), F.lit("}")))
+    return _read(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(keys), ",").alias("keys"))
+
+
+@_query("T10_method_window")
+def t10(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.method_window(F.regexp_replace("html", ">", ">\n"), F.lit("track"), 6).alias("window"))
+
+
+@_query("S05_skipped")
+def s05(spark, sf_dir):
+    path = F.concat(F.lit("src/"), F.element_at(F.array(*[F.lit(x) for x in ("main/a.java", "test/b.java", "build/c.js", "x/test_d.py", "y/e.spec.ts", "z/conftest.py", "ok/f.min.js", "ok/g.d.ts")]), (F.col("page_id") % 8 + 1).cast("int")))
+    return _read(spark, sf_dir, "pages").select("page_id", code.skipped(path).alias("skipped"))
+
+
+@_query("S06_class_names")
+def s06(spark, sf_dir):
+    content = F.regexp_replace("text", r"\b(of|de|der|que) ", "class ")
+    return _docs(spark, sf_dir).select("file", F.array_join(code.class_names(F.lit("a.java"), content), ",").alias("classes"))
+
+
+@_query("S07_method_names")
+def s07(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", F.array_join(code.method_names(F.lit("a.py"), F.regexp_replace("html", "<p>", "\ndef f(")), ",").alias("functions"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(code.JS_FUNCTION), F.lit(1)))), ",").alias("scripted"))
+
+
+@_query("S08_package_name")
+def s08(spark, sf_dir):
+    content = F.concat(F.lit("// x\npackage "), F.regexp_replace(F.lower("p_type"), "[^a-z]+", "."), F.lit(";\nimport a;"))
+    return _read(spark, sf_dir, "part").select("p_partkey", code.package_name(content).alias("package"))
+
+
+@_query("S09_document_text")
+def s09(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(code.document_text(_file(), F.col("source"), F.col("lang"), F.coalesce("text", F.lit(""))).cast("binary")).alias("text_md5"))
+
+
+@_query("S12_id_ranges")
+def s12(spark, sf_dir):
+    listed = F.concat(F.col("l_linenumber").cast("string"), F.lit(", "), (F.col("l_linenumber") + 2).cast("string"), F.lit("-"), (F.col("l_linenumber") + 4).cast("string"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(code.id_ranges(listed)).alias("id"))
+
+
+@_query("S13_selected_ids")
+def s13(spark, sf_dir):
+    wanted = _read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    return _read(spark, sf_dir, "documents").join(wanted, "doc_id", "left_semi").select("doc_id", "source")
+
+
+@_query("S14_class_file")
+def s14(spark, sf_dir):
+    name = F.concat(F.regexp_replace(F.lower("p_type"), "[^a-z]+", "."), F.lit(".Main$Part"))
+    return _read(spark, sf_dir, "part").select("p_partkey", T.class_file(F.lit("src"), name).alias("file"))
+
+
+@_query("S15_export_lines")
+def s15(spark, sf_dir):
+    raw = F.concat(F.lit("Running ant ("), F.col("role"), F.lit(")\n\n  "), F.coalesce("text", F.lit("")), F.lit("  \nRunning ant x\n"), F.col("role"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(code.export_lines(raw), "|").alias("lines"))
+
+
+@_query("S17_repeated_keys")
+def s17(spark, sf_dir):
+    return records.repeated_keys(_read(spark, sf_dir, "labels").unionByName(_read(spark, sf_dir, "labels").filter("toxic = 1")), "doc_id")
+
+
+@_query("S20_markdown_rows")
+def s20(spark, sf_dir):
+    per = _read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean"))
+    return per.select(records.markdown_row(F.col("c_mktsegment"), F.col("n").cast("string"), records.four_places(F.col("mean")), F.lit(None).cast("string")).alias("row"))
+
+
+@_query("S22_checksums")
+def s22(spark, sf_dir):
+    return code.checksum(_read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", "source")
+
+
+@_query("R01_index")
+def r01(spark, sf_dir):
+    posted = bm25.postings(_docs(spark, sf_dir))
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@_query("R01_lengths")
+def r01b(spark, sf_dir):
+    return bm25.lengths(_docs(spark, sf_dir))
+
+
+@_query("R02_rank")
+def r02(spark, sf_dir):
+    return _ranked(spark, sf_dir, 10)
+
+
+@_query("R03_build_query")
+def r03(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", hybrid.build_query(F.col("doc_id").cast("string"), F.lit(""), F.col("source"), F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang"))).alias("query"))
+
+
+@_query("R04_scores")
+def r04(spark, sf_dir):
+    return bm25.scores(_asked(spark, sf_dir), _docs(spark, sf_dir))
+
+
+@_query("R05_common_package")
+def r05(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat(F.lit("org.app.core."), F.regexp_replace(F.lower("p_type"), "[^a-z]+", ".")).alias("package"))
+    per = part.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "package"))), lambda x: x["package"]).alias("packages"))
+    return per.select("p_brand", hybrid.common_package(F.col("packages")).alias("package"))
+
+
+@_query("R09_identifier_terms")
+def r09(spark, sf_dir):
+    return _asked(spark, sf_dir).select("query_id", F.array_join(hybrid.identifier_terms(F.col("text")), " ").alias("terms"))
+
+
+def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with R10 and R11 boosts from the first tokens of a document and the terms of the query."""
+    own = _docs(spark, sf_dir).select("file", F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 60).alias("own"))
+    asked = _asked(spark, sf_dir).select("query_id", hybrid.identifier_terms(F.col("text")).alias("terms"))
+    met = _ranked(spark, sf_dir).join(own, "file").join(asked, "query_id")
+    direct, reasons = hybrid.direct_boost(F.col("own"), F.lit("none"), F.slice("terms", 1, 5))
+    shared, reason = hybrid.identifier_boost(F.col("own"), F.col("terms"))
+    return met.select("query_id", "rank", "file", "score", direct.alias("direct_boost"), reasons.alias("reasons"), shared.alias("identifier_boost"), reason.alias("reason"))
+
+
+@_query("R10_R11_boosts")
+def r10(spark, sf_dir):
+    return _boosted(spark, sf_dir).select("query_id", "file", "direct_boost", "identifier_boost", F.array_join("reasons", "|").alias("reasons"), "reason")
+
+
+@_query("R13_hybrid_rank")
+def r13(spark, sf_dir):
+    rows = _boosted(spark, sf_dir).withColumn("total", F.round(hybrid.hybrid_total(F.col("score"), F.lit(0.0), F.col("direct_boost"), F.col("identifier_boost")), 6))
+    order = W.partitionBy("query_id").orderBy(F.col("total").desc(), "file")
+    return rows.select("query_id", "file", "total", F.row_number().over(order).alias("rank")).filter("rank <= 10")
+
+
+def _protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select("query_id", "rank", "file", F.col("score").alias("total"), (F.substring("file", -1, 1) == "7").alias("protected"))
+
+
+@_query("R14_retention")
+def r14(spark, sf_dir):
+    return hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected").drop("protected")
+
+
+@_query("R15_reference_retention")
+def r15(spark, sf_dir):
+    kept = hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected", boost=260.0)
+    return kept.drop("protected").withColumn("total", F.round("total", 6))
+
+
+@_query("R16_slot_retention")
+def r16(spark, sf_dir):
+    kept = hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected", cap=2, resort=False, boost=700.0)
+    return kept.select("query_id", F.col("rank").cast("int").alias("rank"), "file", F.round("total", 6).alias("total"))
+
+
+@_query("R17_predictions")
+def r17(spark, sf_dir):
+    rows = _ranked(spark, sf_dir, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file"))).alias("ranked"))
+    return rows.select("query_id", F.array_join(F.transform("ranked", lambda x: x["file"]), ",").alias("ranked_files"))
+
+
+@_query("L10_select")
+def l10(spark, sf_dir):
+    return rerank.select(_with_hints(spark, sf_dir), _asked(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@_query("L11_selection_summary")
+def l11(spark, sf_dir):
+    return rerank.selection_summary(rerank.select(_with_hints(spark, sf_dir), _asked(spark, sf_dir)), _asked(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.array().cast("array<string>")
+    return _read(spark, sf_dir, "documents").select(_file().alias("file"), F.concat_ws("/", "source", "lang").alias("path"), empty.alias("classes"), empty.alias("methods"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@_query("E08_search")
+def e08(spark, sf_dir):
+    return rerank.search_candidates(_sources(spark, sf_dir), _asked(spark, sf_dir), _ranked(spark, sf_dir, 20).select("query_id", "file"))
+
+
+@_query("E09_line_hits")
+def e09(spark, sf_dir):
+    hits = rerank.line_hits(_sources(spark, sf_dir), _asked(spark, sf_dir), _ranked(spark, sf_dir, 10).select("query_id", "file"))
+    return hits.select("query_id", "file", F.col("line").cast("int").alias("line"), "text", F.col("n_terms").cast("int").alias("n_terms"))
+
+
+@_query("E12_prompts")
+def e12(spark, sf_dir):
+    pool = _ranked(spark, sf_dir, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file"))), lambda x: x["file"]).alias("files"))
+    return pool.join(_asked(spark, sf_dir), "query_id").select("query_id", F.char_length(rerank.prompt(F.col("text"), F.col("files"), 10)).cast("long").alias("prompt_chars"))
+
+
+@_query("E13_complete")
+def e13(spark, sf_dir):
+    return rerank.complete(*_output(spark, sf_dir), depth=4)
+
+
+@_query("E13_counters")
+def e13b(spark, sf_dir):
+    return rerank.output_counters(*_output(spark, sf_dir), depth=2)
+
+
+@_query("V01_merge")
+def v01(spark, sf_dir):
+    merged = evaluation.merge(_ranked(spark, sf_dir), _ranked(spark, sf_dir, b=0.0), _selected(spark, sf_dir))
+    return merged.select("query_id", "rank", "file", "origin")
+
+
+@_query("V02_evaluate_predictions")
+def v02(spark, sf_dir):
+    return evaluation.evaluate_predictions(_ranked(spark, sf_dir), _truth(spark, sf_dir))
+
+
+@_query("V03_correct_ranks")
+def v03(spark, sf_dir):
+    per = _per(spark, sf_dir, depth=DEPTH)
+    return per.select("query_id", "correct_rank", F.round("rr", 9).alias("rr"))
+
+
+@_query("V03_coverage")
+def v03b(spark, sf_dir):
+    known = _asked(spark, sf_dir).filter("query_id % 3 <> 0")
+    given = _ranked(spark, sf_dir, 1).filter("query_id % 4 <> 0")
+    return evaluation.coverage(given, known)
+
+
+@_query("V04_V05_distributions")
+def v04(spark, sf_dir):
+    both = _per(spark, sf_dir).withColumn("method", F.lit("bm25")).unionByName(_per(spark, sf_dir, b=0.0).withColumn("method", F.lit("flat")))
+    return evaluation.summarize(both, ["method"], depth=10)
+
+
+@_query("V06_mcnemar")
+def v06(spark, sf_dir):
+    pairs = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pair")).agg(F.count_if(F.col("l_quantity") > 45).alias("b"), F.count_if(F.col("l_discount") < 0.01).alias("c"))
+    return pairs.select("pair", "b", "c", F.round(evaluation.mcnemar(F.col("b"), F.col("c")), 9).alias("p"))
+
+
+@_query("V07_wilcoxon")
+def v07(spark, sf_dir):
+    a, b = _per(spark, sf_dir), _per(spark, sf_dir, b=0.0)
+    deltas = a.select("query_id", F.col("rr").alias("rr0")).join(b.select("query_id", F.col("rr").alias("rr1")), "query_id").select((F.col("rr1") - F.col("rr0")).alias("delta"))
+    return evaluation.wilcoxon_sums(deltas)
+
+
+@_query("V07_wilcoxon_p")
+def v07b(spark, sf_dir):
+    return v07(spark, sf_dir).withColumn("p", F.round(evaluation.normal_tail(F.col("z")), 9))
+
+
+@_query("V08_paired")
+def v08(spark, sf_dir):
+    return evaluation.paired(_per(spark, sf_dir), _per(spark, sf_dir, b=0.0))
+
+
+@_query("V09_subsets")
+def v09(spark, sf_dir):
+    return evaluation.selector_subsets(_per(spark, sf_dir), _selected(spark, sf_dir))
+
+
+@_query("V09_false_negatives")
+def v09b(spark, sf_dir):
+    return evaluation.false_negatives(_per(spark, sf_dir), _selected(spark, sf_dir))
+
+
+@_query("V10_recall")
+def v10(spark, sf_dir):
+    return evaluation.recall_curve(_per(spark, sf_dir, depth=DEPTH), [10, 20, 50, 100], max_depth=DEPTH)
+
+
+@_query("V12_usage")
+def v12(spark, sf_dir):
+    return evaluation.usage(_calls(spark, sf_dir))
+
+
+@_query("A01_usage_by_setting")
+def a01(spark, sf_dir):
+    return evaluation.usage(_calls(spark, sf_dir), ["event_type"])
+
+
+@_query("A02_cost_table")
+def a02(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    setting = F.when(F.col("o_orderstatus") == "F", "retrieval").when(F.col("o_orderstatus") == "O", "full").otherwise("selective")
+    runs = orders.groupBy(F.col("o_orderpriority").alias("dataset"), setting.alias("setting")).agg(F.round(F.avg(1.0 / (1 + F.col("o_orderkey") % 10)), 9).alias("mrr"), F.count(F.lit(1)).alias("calls"), F.sum(F.floor("o_totalprice").cast("bigint")).alias("tokens"))
+    return study.cost_table(runs)
+
+
+@_query("A03_transitions")
+def a03(spark, sf_dir):
+    return study.transitions(_per(spark, sf_dir), _per(spark, sf_dir, b=0.0))
+
+
+@_query("A04_variance")
+def a04(spark, sf_dir):
+    runs = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_tax"), 6).alias("tax"))
+    return study.variance(runs, "l_returnflag", ["discount", "tax"])
+
+
+@_query("A05_scopes")
+def a05(spark, sf_dir):
+    both = _per(spark, sf_dir).withColumn("variant", F.lit("bm25")).unionByName(_per(spark, sf_dir, b=0.0).withColumn("variant", F.lit("flat")))
+    return study.scoped(both, "variant", _selected(spark, sf_dir))
+
+
+@_query("A06_output_validity")
+def a06(spark, sf_dir):
+    return rerank.output_counters(*_output(spark, sf_dir), depth=4).agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("returned", "valid", "invalid", "duplicates", "added")])
+
+
+@_query("A08_key_audit")
+def a08(spark, sf_dir):
+    return study.key_audit(_read(spark, sf_dir, "events"), "event_type", T.json_keys(F.col("props")), ["k", "missing"])
