@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import BLOCK, LENGTH, LONGEST, Sums, anchors
-from ._common import checkpoint, filter_of, probe, stage, with_group
+from ._common import checkpoint, filter_bytes, filter_of, probe, stage, with_group
 from ._shingles import mix
 from .exact_dedup import repeated_slots
 
@@ -130,6 +130,18 @@ def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield waiting.assign(open=True)
 
 
+def _hot_classes(rows: DataFrame) -> DataFrame:
+    """What _classes finds, for stretches of a few anchors with very many rows: by sums over salted groups."""
+    place = F.struct("doc_id", "tie", "first")
+    keyed = rows.withColumn("class", F.struct("anchor", "whole"))
+    met = with_group(keyed, "class", F.xxhash64("doc_id", "first"), SALTS, [F.min(place).alias("least")], [F.min("least").alias("least")])
+    met = stage(met.withColumn("again", place != F.col("least")).drop("least", "class"), "hot")
+    several = met.filter("not again").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # As few anchors as there are in rows.
+    opened = met.filter("not again").join(F.broadcast(several), "anchor", "left_semi").withColumn("open", F.lit(True))
+    return met.filter("again").withColumn("open", F.lit(False)).unionByName(opened)
+
+
 def _bytes_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
@@ -272,11 +284,21 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     owners = texts.filter("not __maybe").select("doc_id", "tie", "text").unionByName(one)
 
     hashes = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_hash_batches, "anchor long")
-    twice = hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bitmap = spark.sparkContext.broadcast(_collected(twice))
+    twice = stage(hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
+    bitmap = spark.sparkContext.broadcast(filter_bytes(twice, "anchor", ANCHOR_BITS))
     stretches = owners.mapInPandas(_stretches(bitmap, ANCHOR_BITS), "anchor long, whole long, doc_id long, tie long, first long, last long")
-    ordered = stretches.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "tie", "first")
-    found = stage(ordered.mapInPandas(_classes, "anchor long, doc_id long, tie long, first long, last long, open boolean"), "classes")
+    least = max(HOT_BUCKET, (twice.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = checkpoint(twice.filter(F.col("n") > least).select("anchor", F.lit(True).alias("hot")))
+    named = ["anchor", "doc_id", "tie", "first", "last", "open"]
+    cool = stretches
+    if not hot.isEmpty():  # each has over a thousandth of all rows: a thousand at most
+        flagged = stretches.join(F.broadcast(hot), "anchor", "left")
+        cool = flagged.filter("hot is null").drop("hot")
+    ordered = cool.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "tie", "first")
+    found = ordered.mapInPandas(_classes, ", ".join(f"{c} long" for c in named[:-1]) + ", open boolean")
+    if not hot.isEmpty():
+        found = found.unionByName(_hot_classes(flagged.filter("hot").drop("hot")).select(named))
+    found = stage(found, "classes")
 
     opened = found.filter("open").drop("open")
     wanted = opened.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
@@ -317,14 +339,3 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(own, F.col("kept_sha256")).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
         *([F.when(whole, F.lit("")).when(own, F.col("kept_text")).alias("kept_text")] if with_text else []),
     )
-
-
-def _collected(anchors_: DataFrame) -> bytes:
-    """The filter of ANCHOR_BITS bits as bytes: at most 32 MB, whatever the input."""
-    page = 32768
-    slot = F.pmod(F.col("anchor"), F.lit(ANCHOR_BITS))
-    pages = anchors_.groupBy(F.floor(slot / page).cast("int").alias("page")).agg(F.bitmap_construct_agg(slot % page).alias("bitmap"))
-    out = bytearray(ANCHOR_BITS // 8)
-    for page_id, bitmap in pages.toLocalIterator():
-        out[page_id * 4096 : (page_id + 1) * 4096] = bitmap
-    return bytes(out)
