@@ -68,7 +68,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    with staging(df.sparkSession):
+        return df.checkpoint()
 
 
 #: A row of a filter's bitmaps holds so many bits.
