@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
 from tamarack.jobs.oracles import ORACLE_SQL
-from tamarack.operators import bm25, evaluation, hybrid, rerank, study
+from tamarack.operators import bm25, evaluation, evidence, hybrid, rerank, study
 from tamarack.sources import code, records
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
@@ -517,3 +517,60 @@ def a06(spark, sf_dir):
 @_query("A08_key_audit")
 def a08(spark, sf_dir):
     return study.key_audit(_read(spark, sf_dir, "events"), "event_type", T.json_keys(F.col("props")), ["k", "missing"])
+
+
+def _class_name():
+    """A class name from a part's type, with a test suffix for some."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("Test", "Tests", "TestCase", "", "")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return F.concat(F.regexp_replace(F.initcap("p_type"), "[^A-Za-z]", ""), suffix)
+
+
+@_query("R06_locate")
+def r06(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").withColumn("name", _class_name())
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src/test/java/a", "lib/Test", "src/test/a", "main", "zoo", "test/b")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    files = part.select(F.concat(folder, F.lit("/"), "name", F.lit(".java")).alias("file")).distinct()
+    return evidence.locate(files, part.select(F.concat(F.lit("a."), "name").alias("class")).distinct())
+
+
+@_query("R08_direct_hints")
+def r08(spark, sf_dir):
+    name = _class_name()
+    trace = F.concat(F.lit("at org.app."), name, F.lit("$1.run(X.java:1)\nat org.app.Main.main(Main.java)\nat other.Z.z(Z.java)"))
+    hints = evidence.direct_hints(F.array(F.concat(F.lit("q."), F.regexp_replace("p_brand", "#", ""), F.lit("Test"))), trace, "org.app")
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(hints, ",").alias("hints"))
+
+
+@_query("R12_type_boost")
+def r12(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    terms = F.array_union(T.relevant_terms(F.col("text")), F.array(F.lit("type"), F.lit("found")))
+    path = F.when(F.substring("file", -1, 1) == "1", F.lit("a/TypeInference.java")).when(F.substring("file", -1, 1) == "2", F.lit("a/rhino/jstype/T.java")).otherwise(F.lit("a/b.java"))
+    return docs.select("file", evidence.type_boost(path, F.array(F.lit("type"), F.lit("that")), F.array(F.lit("TypeCheck")), terms).alias("boost"))
+
+
+@_query("L05_strong_candidates")
+def l05(spark, sf_dir):
+    return evidence.strong_candidates(_ranked(spark, sf_dir).withColumn("boost", F.col("score") - 10), "boost", 5.0, 25)
+
+
+@_query("L06_rule_signals")
+def l06(spark, sf_dir):
+    rules = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 8).alias("t"))
+    rules = rules.select("rule", F.posexplode("t").alias("i", "term")).select("rule", (F.col("i") % 2).alias("part"), "term", F.lit(2).alias("least"))
+    tokens = bm25.postings(_docs(spark, sf_dir)).select(F.col("file").alias("id"), "term")
+    return evidence.rule_signals(tokens, rules)
+
+
+@_query("E01_stack_snippet")
+def e01(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\. ", ".\n"))
+    trace = F.concat(F.lit("at a.b("), T.base_name(F.col("file")), F.lit(":2)\nat c.d(other.java:1)\nat a.b("), T.base_name(F.col("file")), F.lit(":7)"))
+    return evidence.stack_snippet(docs, docs.select(F.col("file").alias("id"), "file", trace.alias("trace")), most=5, context=1).select("file", "snippet")
+
+
+@_query("E16_usage_add")
+def e16(spark, sf_dir):
+    tokens = F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0).cast("bigint"))
+    both = evidence.usage_add(F.create_map(F.lit("k"), tokens), F.create_map(F.lit("k"), F.lit(1).cast("bigint"), F.lit("calls"), F.col("event_id")))
+    return _read(spark, sf_dir, "events").select("event_id", both["k"].alias("k"), both["calls"].alias("calls"))

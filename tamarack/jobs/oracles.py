@@ -186,4 +186,10 @@ SELECT query_id, file, line::INTEGER AS line, CASE WHEN length(raw) > 220 THEN r
     "A05_scopes": f"{BOTH}, {HINTED}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, u AS (SELECT 'bm25' AS variant, * FROM p UNION ALL SELECT 'flat', * FROM f), s AS (SELECT *, 'all' AS scope FROM u UNION ALL SELECT *, 'selected' FROM u WHERE query_id IN (SELECT query_id FROM low)) SELECT variant, scope, count(*) AS n, round(avg(rr), 9) AS mrr, {', '.join(f'count(*) FILTER (WHERE {HIT(k)}) AS hits_{k}' for k in (1, 3, 5, 10))} FROM s GROUP BY variant, scope",
     "A06_output_validity": f"{counters(4)} SELECT count(*) AS records, sum(returned)::BIGINT AS returned, sum(valid)::BIGINT AS valid, sum(invalid)::BIGINT AS invalid, sum(duplicates)::BIGINT AS duplicates, sum(added)::BIGINT AS added FROM whole",
     "A08_key_audit": "SELECT event_type, count(*) AS records, count(*) FILTER (WHERE list_contains(json_keys(props), 'k')) AS with_k, count(*) FILTER (WHERE list_contains(json_keys(props), 'missing')) AS with_missing FROM events GROUP BY ROLLUP (event_type)",
+    "R06_locate": f"WITH n AS (SELECT {NAME} AS name, p_partkey % 6 AS f FROM part), files AS (SELECT DISTINCT name, (['src/test/java/a', 'lib/Test', 'src/test/a', 'main', 'zoo', 'test/b'])[f + 1] || '/' || name || '.java' AS file, ([0, 3, 1, 4, 4, 3])[f + 1] AS r FROM n) SELECT 'a.' || name AS class, arg_min(file, (r, file)) AS file FROM files GROUP BY name",
+    "R08_direct_hints": f"WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') AS b, {NAME} AS n FROM part), h AS (SELECT p_partkey, b, CASE WHEN n LIKE '%_Test' THEN left(n, len(n) - 4) WHEN n LIKE '%_Tests' THEN left(n, len(n) - 5) WHEN n LIKE '%_TestCase' THEN left(n, len(n) - 8) WHEN n LIKE 'Test_%' THEN substr(n, 5) ELSE n END AS h FROM n) SELECT p_partkey, array_to_string(list_sort(list_distinct([b, h])), ',') AS hints FROM h",
+    "R12_type_boost": f"WITH {DOCS}, t AS (SELECT file, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM docs), f AS (SELECT file, t, min(i) AS i FROM t WHERE len(t) >= 3 AND t NOT IN ({STOPS}) GROUP BY file, t), k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM f) SELECT file, CASE right(file, 1) WHEN '1' THEN 130.0::DOUBLE WHEN '2' THEN 55.0::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM docs",
+    "L05_strong_candidates": f"{BASE} SELECT query_id, count(*) FILTER (WHERE score - 10 > 0) AS n, count(*) FILTER (WHERE score - 10 >= 5 AND rank <= 25) AS n_strong FROM bm GROUP BY query_id",
+    "E01_stack_snippet": f"WITH d AS (SELECT {FILE} AS file, {lines("replace(coalesce(text, ''), '. ', '.' || chr(10))")} AS l FROM documents), n AS (SELECT file, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k, lag(i) OVER (PARTITION BY file ORDER BY i) AS p FROM n WHERE i IN (1, 2, 3, 6, 7, 8)) SELECT file, string_agg(CASE WHEN i > p + 1 THEN '...' || chr(10) ELSE '' END || i || ': ' || x, chr(10) ORDER BY i) AS snippet FROM w WHERE k <= 5 GROUP BY file",
+    "E16_usage_add": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS k, event_id AS calls FROM events",
 }
