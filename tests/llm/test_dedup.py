@@ -190,3 +190,33 @@ def test_windows_are_those_of_the_whole_tree():
             if right - left + 1 >= 8:
                 want.add((left, c, right))
         assert set(zip(*(x.tolist() for x in compact_windows.windows_of(h, 8)), strict=True)) == want
+
+
+def test_changed_words_do_not_break_a_passage():
+    rng = random.Random(8)
+    vocabulary = prose(rng, 5000).split()
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    tested = 0
+    for n in (50, 51, 60, 75, 100, 120, 150):
+        places = [(k,) for k in (0, 2, n // 4, n // 3, n // 2, n - 1)] + [(n // 3, 2 * n // 3), (n // 4, n // 2), (0, n - 1), (n // 2, n // 2 + 1)]
+        for spots in places:
+            for kind in ("change", "insert"):
+                one = draw(n)
+                two = one[:]
+                for k in reversed(spots):
+                    two[k : k + (kind == "change")] = ["other"]
+                x, y = sets(one), sets(two)
+                if len(x & y) < 0.8 * len(x | y):
+                    continue
+                tested += 1
+                heads = [draw(rng.randint(20, 60)) for _ in range(2)]
+                a, b = (h + w + draw(30) for h, w in zip(heads, (one, two), strict=True))
+                got = compact_windows.passages(" ".join(a).encode(), " ".join(b).encode())
+                lo, hi = len(heads[0]), len(heads[1])
+                cover = [min(q, lo + n) - max(p, lo) >= 0.8 * n and min(s, hi + len(two)) - max(r, hi) >= 0.8 * n for p, q, r, s, _ in got]
+                assert any(cover), (n, spots, kind, got)
+                for p, q, r, s, like in got:
+                    x, y = sets(a[p:q]), sets(b[r:s])
+                    assert q - p >= 50 and s - r >= 50 and like >= 0.8 and abs(len(x & y) / len(x | y) - like) < 1e-9
+    assert tested > 100
