@@ -1,10 +1,10 @@
 """Secret scans (operator 2), in DataFrame functions alone: three patterns, and character Markov models.
 
 Patterns: assignments of passwords and tokens, access key ids and long hexadecimal strings. The models: two first-order
-Markov chains over classes of characters, one of random strings and one of ordinary identifiers, trained from labelled
-samples of the corpus itself: the values that the patterns find are random strings, all other words of the
-same alphabet are ordinary. Transitions of all documents are counted; a count is one row per pair of characters,
-4,489 at most, so both tables fit on the driver whatever the corpus. A further string of 20 characters or more is a
+Markov chains over characters, one of random strings and one of ordinary ones, trained from the corpus itself:
+the values that the patterns find are random strings, all other runs of the same alphabet, outside the patterns' spans,
+are ordinary. Transitions of all documents are counted; a count is one row per pair of characters, 4,489 at most, so both
+tables fit on the driver whatever the corpus. A further string of 20 characters or more is a
 secret where the mean log-likelihood ratio per transition is above ``min_ratio``.
 
 Offsets are code points. Matches of a pattern, in order, and the pieces between them have lengths whose running sums
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, stage
+from ._common import stage
 
 #: The patterns, and how long group or match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +31,8 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 #: Strings that the models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CHARACTER = r"[A-Za-z0-9+/_=-]"
+CANDIDATE = f"{CHARACTER}{{20,}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Mean log-likelihood ratio per transition above which a string is random.
 MIN_RATIO = 0.5
@@ -75,9 +76,26 @@ def pattern_spans(text: Column) -> Column:
 
 def _pairs(strings: DataFrame) -> DataFrame:
     """(first, second, n) over the characters of column ``value``; at most len(ALPHABET) squared rows."""
-    places = F.sequence(F.lit(1), F.char_length("value") - 1)
-    pairs = strings.filter(F.char_length("value") > 1).select(F.explode(F.transform(places, lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    # Equal strings are counted first, so a common word is taken apart once.
+    each = strings.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
+    pairs = each.select("times", F.explode(F.regexp_extract_all("value", F.lit(f"(?=({CHARACTER}{CHARACTER}))"), F.lit(1))).alias("pair"))
+    return pairs.groupBy("pair").agg(F.sum("times").alias("n"))
+
+
+def ordinary_strings(base: DataFrame) -> DataFrame:
+    """All runs of the alphabet outside the patterns' spans, of base (text, base)."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def last(acc: Column) -> Column:
+        return F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, F.char_length("text"))))
+
+    ordered = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    free = F.when(F.size("base") > 0, F.array_join(F.aggregate(ordered, zero, step, last), " ")).otherwise(F.col("text"))
+    return base.select(F.explode(F.regexp_extract_all(free, F.lit(f"{CHARACTER}{{2,}}"), F.lit(0))).alias("value"))
 
 
 def random_strings(spark, rows: int) -> DataFrame:
@@ -120,23 +138,17 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, sample_docs: int = 4_000, random_rows: int = 2_000) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every row of docs (doc_id, text).
-
-    ``sample_docs`` bounds the documents whose words are the labelled sample of ordinary strings; they are those
-    with the smallest hashes of doc_id.
-    """
+def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, random_rows: int = 2_000) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("base", pattern_spans(F.col("text")))
     found = _when_any(F.col("text"), CANDIDATE, _spans(F.col("text"), CANDIDATE, 3))
     free = F.filter(found, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     spans = stage(base.select("doc_id", "base", free.alias("found")), "spans")
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
-    ordinary = words.filter(F.col("value").rlike("^[A-Za-z][A-Za-z_-]{3,}$"))
-    labelled = spans.select(F.explode("base").alias("s")).filter("s.kind > 0").select(F.col("s.text").alias("value"))
-    ratios = log_ratios(labelled.unionByName(random_strings(docs.sparkSession, random_rows)), ordinary)
+    value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.text", ASSIGN, 2)).otherwise(F.col("s.text"))
+    labelled = spans.select(F.explode("base").alias("s")).select(value.alias("value"))
+    ratios = log_ratios(labelled.unionByName(random_strings(docs.sparkSession, random_rows)), ordinary_strings(base))
 
     more = F.filter("found", lambda c: mean_ratio(c["text"], ratios) > min_ratio)
     out = spans.select("doc_id", "base", F.when(F.size("found") > 0, more).otherwise(F.col("found")).alias("more"))
