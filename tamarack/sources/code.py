@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamarack.functions.text import base_name, lines, strip
 
@@ -75,7 +80,31 @@ def export_lines(text: Column) -> Column:
 
 
 def checksum(rows: DataFrame, key: str, content: str, by: str) -> DataFrame:
-    """S22. SHA-256 over the checksums of a group's files in the order of their names, with NUL between."""
-    pairs = rows.select(by, F.struct(F.col(key).alias("k"), F.sha2(F.col(content), 256).alias("h")).alias("p"))
-    ordered = F.transform(F.array_sort(F.collect_list("p")), lambda p: F.concat(p["k"].cast("string"), F.lit("\0"), p["h"]))
-    return pairs.groupBy(by).agg(F.sha2(F.array_join(ordered, "\0"), 256).alias("sha256"))
+    """S22. SHA-256 over the checksums of a group's files in the order of their names, with NUL between.
+
+    A group's rows, sorted on Spark, stream through one hash, so no task holds more of a group than a batch.
+    """
+    line = F.concat(F.col(key).cast("string"), F.lit("\0"), F.sha2(F.col(content), 256))
+    pairs = rows.select(F.col(by).alias("by"), F.col(key).alias("k"), line.alias("line"))
+    ordered = pairs.repartition("by").sortWithinPartitions("by", "k", "line").select("by", "line")
+    schema = T.StructType([T.StructField("by", ordered.schema["by"].dataType), T.StructField("sha256", T.StringType())])
+    return ordered.mapInArrow(_streamed, schema).select(F.col("by").alias(by), "sha256")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(by, sha256) of sorted (by, line): lines joined by NUL, those that are null left out."""
+    group, digest, first = None, None, True
+    for batch in batches:
+        names, found = batch.column(0), []
+        for name, line in zip(names.to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest is None or name != group:
+                if digest is not None:
+                    found.append((group, digest.hexdigest()))
+                group, digest, first = name, hashlib.sha256(), True
+            if line is not None:
+                digest.update((line if first else "\0" + line).encode("utf-8", "surrogatepass"))
+                first = False
+        kind = names.type
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], kind), pa.array([x for _, x in found], pa.string())], ["by", "sha256"])
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([digest.hexdigest()], pa.string())], ["by", "sha256"])
