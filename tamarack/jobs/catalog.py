@@ -316,13 +316,19 @@ def r09(spark, sf_dir):
 
 
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking with R10 and R11 boosts from the first tokens of a document and the terms of the query."""
-    own = _docs(spark, sf_dir).select("file", F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 60).alias("own"))
-    asked = _asked(spark, sf_dir).select("query_id", hybrid.identifier_terms(F.col("text")).alias("terms"))
-    met = _ranked(spark, sf_dir).join(own, "file").join(asked, "query_id")
-    direct, reasons = hybrid.direct_boost(F.col("own"), F.lit("none"), F.slice("terms", 1, 5))
+    """All scored documents with R10 and R11 boosts from all their tokens and all terms of the query.
+
+    A document with a boost shares a term with the query, so it has a score; those without have neither, and the first of them fill up.
+    """
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    terms = asked.select("query_id", hybrid.identifier_terms(F.col("text")).alias("terms"))
+    held = docs.select("file", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    own = held.join(terms.select("query_id", F.explode("terms").alias("term")), "term").groupBy("query_id", "file").agg(F.collect_set("term").alias("own"))
+    met = bm25.filled(bm25.scores(asked, docs), asked, docs, DEPTH).join(own, ["query_id", "file"], "left").join(terms, "query_id")
+    met = met.withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    direct, reasons = hybrid.direct_boost(F.col("own"), F.lit(""), F.col("terms"))
     shared, reason = hybrid.identifier_boost(F.col("own"), F.col("terms"))
-    return met.select("query_id", "rank", "file", "score", direct.alias("direct_boost"), reasons.alias("reasons"), shared.alias("identifier_boost"), reason.alias("reason"))
+    return met.select("query_id", "file", "score", direct.alias("direct_boost"), reasons.alias("reasons"), shared.alias("identifier_boost"), reason.alias("reason"))
 
 
 @_query("R10_R11_boosts")

@@ -54,15 +54,19 @@ def scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B)
     return weighed.join(asked, "term").groupBy("query_id", "file").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
 
 
+def filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """found (query_id, file, score) and, for each query, those of the first ``k`` files that it lacks, with score 0."""
+    first = docs.select("file").orderBy("file").limit(k)  # k rows
+    ids = queries.select("query_id").distinct()
+    filler = ids.crossJoin(F.broadcast(first)).join(found.select("query_id", "file"), ["query_id", "file"], "left_anti").withColumn("score", F.lit(0.0))
+    return found.unionByName(filler)
+
+
 def rank(queries: DataFrame, docs: DataFrame, *, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """R02. (query_id, rank, file, score): the k best documents of each query, ties and zeros by file.
 
     Ranks follow the rounded score, so that engines that sum in another order agree.
     """
-    found = scores(queries, docs, k1=k1, b=b)
-    first = docs.select("file").orderBy("file").limit(k)  # k rows
-    ids = queries.select("query_id").distinct()
-    filler = ids.crossJoin(F.broadcast(first)).join(found.select("query_id", "file"), ["query_id", "file"], "left_anti").withColumn("score", F.lit(0.0))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("file"))
-    ranked = found.unionByName(filler).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = filled(scores(queries, docs, k1=k1, b=b), queries, docs, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "file", "score")

@@ -86,3 +86,34 @@ def test_recall_is_null_beyond_the_depth(spark):
     per = spark.createDataFrame([(1, 12), (2, None)], "query_id int, correct_rank int")
     got = {r.k: (r.hits, r.recall) for r in evaluation.recall_curve(per, [10, 20, 100], max_depth=50).collect()}
     assert got == {10: (0, 0.0), 20: (1, 0.5), 100: (None, None)}
+
+
+def test_boosts_lift_documents_from_any_rank_by_any_of_their_words(spark, tmp_path):
+    from tamarack.jobs import catalog
+
+    rng = random.Random(6)
+    words = [f"w{k:03d}" for k in range(400)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(70)]
+    # Short documents that hold one query term often rank above the long one, whose hints come after 200 other words.
+    docs += [(100 + i, "alpha " * 5 + f"x{i}") for i in range(60)]
+    docs += [(200, " ".join(rng.choice(words) for _ in range(200)) + " " + "alpha bravo charlie delta echo_ foxtrot golfer"), (201, None)]
+    items = [(1, "alpha bravo charlie delta echo foxtrot golfer of it"), (2, "unheard"), (3, words[0] + " " + words[1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    asked = spark.createDataFrame(items, "query_id long, text string")
+    files = spark.createDataFrame([(f"doc/{i:09d}", t) for i, t in docs], "file string, text string")
+    score = {(r.query_id, r.file): r.score for r in bm25.scores(asked, files).collect()}
+    boosts = {(r.query_id, r.file): r for r in catalog.QUERIES["R10_R11_boosts"](spark, str(tmp_path)).collect()}
+    ranked = {(r.query_id, r.rank): (r.file, r.total) for r in catalog.QUERIES["R13_hybrid_rank"](spark, str(tmp_path)).collect()}
+    for q, text in items:
+        terms, totals = {t for t in tokens(text) if len(t) >= 4}, []
+        for i, t in docs:
+            file, both = f"doc/{i:09d}", sorted(terms & set(tokens(t or "")))
+            if (q, file) in score:
+                r = boosts[q, file]
+                assert (r.direct_boost, r.identifier_boost) == (90.0 * len(both), min(32.0, 4.0 * len(both)))
+                assert r.reasons == "|".join(f"direct_class_hint:{h}" for h in both)
+            totals.append((-round(score.get((q, file), 0.0) + 90.0 * len(both) + min(32.0, 4.0 * len(both)), 6), file))
+        for k, (total, file) in enumerate(sorted(totals)[:10], 1):
+            assert ranked[q, k][0] == file and abs(ranked[q, k][1] + total) < 2e-6
+    assert ranked[1, 1][0] == "doc/000000200" and boosts[1, "doc/000000200"].direct_boost == 630.0
