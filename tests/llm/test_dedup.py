@@ -220,3 +220,26 @@ def test_changed_words_do_not_break_a_passage():
                     x, y = sets(a[p:q]), sets(b[r:s])
                     assert q - p >= 50 and s - r >= 50 and like >= 0.8 and abs(len(x & y) / len(x | y) - like) < 1e-9
     assert tested > 100
+
+
+def test_hits_on_either_side_of_a_band_meet(spark):
+    rows, far = [], []
+    for k, d in enumerate((-33, -17, -16, -1, 0, 15, 16, 31)):
+        for step in (1, 7, 16):  # two hash functions, one hit each, on diagonals d and d + step
+            pair = 100 * k + step
+            rows += [(0, pair, 0, 0, 100 + d, 200, 1000, 0, 0, 100, 199), (1, pair, 0, 0, 150 + d + step, 210, 1000, 0, 5, 150, 205)]
+    far = [(0, 5000, 0, 0, 100, 200, 1000, 0, 0, 100, 199), (1, 5000, 0, 0, 300, 400, 1000, 0, 5, 100, 205)]
+    names = "j int, doc_idx long, tiex long, lx int, cx int, rx int, doc_idy long, tiey long, ly int, cy int, ry int"
+    got = compact_windows.candidates_of(spark.createDataFrame(rows + far, names)).collect()
+    assert {r.doc_idx for r in got} == {r[1] for r in rows} and all((r.lx, r.rx, r.ly, r.ry, r.n_hashes) == (0, 210, 0, 205, 2) for r in got)
+
+
+def test_a_word_put_in_where_a_band_ends(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):  # alike from the start, one word added in the middle of the smaller doc_id
+        w = prose(rng, 60).split()
+        rows += [(2 * k, " ".join(w[:30] + ["added"] + w[30:] + prose(rng, 40).split())), (2 * k + 1, " ".join(w + prose(rng, 40).split()))]
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print(len(got))
+    assert len(got) >= 140 and all(a == b + 1 for a, b in got)
