@@ -241,5 +241,4 @@ def test_a_word_put_in_where_a_band_ends(spark):
         w = prose(rng, 60).split()
         rows += [(2 * k, " ".join(w[:30] + ["added"] + w[30:] + prose(rng, 40).split())), (2 * k + 1, " ".join(w + prose(rng, 40).split()))]
     got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    print(len(got))
     assert len(got) >= 140 and all(a == b + 1 for a, b in got)
