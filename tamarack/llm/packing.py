@@ -40,8 +40,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: A word of letters, alone or with one of these behind it, is one part or two.
 _STOPS = frozenset(".,;:!?")
-#: Different chunks, and different parts of chunks, whose ids a worker remembers.
-_REMEMBERED = 200_000
+#: Different chunks, and different parts of chunks, whose ids a worker remembers, and characters of such a chunk at most.
+_REMEMBERED, _SHORT = 200_000, 64
 _tokenizers: dict[str, "Ids"] = {}
 
 
@@ -56,7 +56,7 @@ class Ids:
     """Token ids of texts as little-endian bytes.
 
     The tokenizer never joins white space to what stands before it, unless that is white space too. So a text is cut
-    there, and chunks seen before are looked up. Others are cut into the tokenizer's own parts, and parts not seen
+    there (but a text that holds an added token, or white space of other kinds, goes to the tokenizer whole), and chunks seen before are looked up. Others are cut into the tokenizer's own parts, and parts not seen
     before go through its merges.
     """
 
@@ -66,7 +66,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.letters = _byte_letters()
         self.parts_of = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, bytes] = {}
@@ -78,7 +78,7 @@ class Ids:
         if found is None:
             letters = part.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
             found = b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(letters)])
-            if len(self.parts) < _REMEMBERED:
+            if len(self.parts) < _REMEMBERED and len(part) <= _SHORT:
                 self.parts[part] = found
         return found
 
@@ -92,13 +92,14 @@ class Ids:
             found = b"".join(map(self._part, self.parts_of(chunk)))
         self.missed += 1
         if len(self.known) < _REMEMBERED:
-            self.known[chunk] = found
+            if len(chunk) <= _SHORT:
+                self.known[chunk] = found
         elif self.missed > 20 * _REMEMBERED:  # the texts may have changed: start anew
             self.known, self.parts, self.missed = {}, {}, 0
         return found
 
     def of(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or any(x in text for x in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = _CHUNKS.findall(text)
         found = list(map(self.known.get, chunks))
@@ -232,6 +233,20 @@ def place(small: DataFrame, *, length: int = LENGTH, piece_target: int = 8_000,
     return done
 
 
+def certificates(packed: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """part, bins, bound of each partition of a packing (sequence_id, length): no packing of its pieces needs fewer bins than ``bound``.
+
+    Where ``bins`` is above ``bound`` a gap was left after the last round.
+    """
+
+    def bound(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": part["part"].iloc[:1], "bins": [part["sequence_id"].nunique()], "bound": [bin_bound(part["length"].to_numpy(), length)]})
+
+    # Full pieces are alone in their sequences and need no certificate; the others' numbers name their partition.
+    small = packed.filter(F.col("length") < length).select(F.shiftright("sequence_id", 24).alias("part"), "sequence_id", "length")
+    return small.groupBy("part").applyInPandas(bound, "part long, bins long, bound long")
+
+
 def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs."""
     return _pack(stage(pieces(docs, tokenizer=tokenizer, length=length), "pieces"), length).drop("row")

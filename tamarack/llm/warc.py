@@ -6,7 +6,7 @@ response's own headers. Record ids are UUIDs made from the page's id, its addres
 
 Headers, ids and digests are built-in functions; the text of a page is taken out in Arrow batches. Nothing is shuffled.
 
-Defined cases: a null page is an empty page, with an empty conversion; a null address is left out of the headers; rows
+Defined cases: what a broken page does not close is text; a null page is an empty page, with an empty conversion; a null address is left out of the headers; rows
 repeated in full give equal records; an empty table gives an empty table; other columns may have any name.
 Digests are labelled ``sha256`` and hexadecimal.
 """
@@ -27,48 +27,121 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:br|hr|/?(?:p|div|li|ul|ol|dl|dt|dd|tr|td|th|table|h[1-6]|article|section|aside|nav|header|footer|main|pre|blockquote|form|figure|title))\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>")
-_LINK = re.compile(r"<a\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Elements whose content is not shown, and those that begin and end lines.
+_HIDDEN = ("script", "style", "noscript", "template", "head")
+_BREAKS = frozenset(
+    "br hr p div li ul ol dl dt dd tr td th table h1 h2 h3 h4 h5 h6 article section aside nav header footer main pre blockquote form figure title".split()
+)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>\"'<]*)")
+_PLAIN = re.compile(r"/?([a-zA-Z][^\s/>\"'<]*)[^<>\"']*>")
+_MARK = re.compile(r"[<>\"']")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_HIDDEN, "title")}
+_TITLE = re.compile(r"<title\b[^<>]*>", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
-def visible(page: str) -> str:
-    """The page without comments, scripts, styles and head."""
-    return _HIDDEN.sub(" ", page)
+class Page:
+    """One forward scan over a page. Whatever does not close (a tag, a quote, a comment, a script) is text from its first character on.
 
+    A scan that fails is remembered by the places it passed, so that a broken page costs no more than its length.
+    """
 
-def page_text(shown: str) -> str:
-    """The text of what is visible: blocks on lines of their own, no markup, entities resolved, white space collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", shown))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    def __init__(self, page: str):
+        self.page = page
+        self.failed: set[int] = set()
+        self.last = {x: page.rfind(x) for x in ("\"", "'", ">")}
+        self.last_comment = page.rfind("-->")
+        self.unclosed: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the tag that begins before ``at``, or -1. A ``<`` outside quotes ends the search."""
+        passed: list[int] = []
+        while at <= self.last[">"] and (mark := _MARK.search(self.page, at)) and mark[0] != "<":
+            if mark[0] == ">":
+                return mark.end()
+            if mark.start() >= self.last[mark[0]]:
+                break
+            at = self.page.index(mark[0], mark.end()) + 1
+            if at in self.failed:
+                break
+            passed.append(at)
+        self.failed.update(passed)
+        return -1
+
+    def _behind(self, name: str, at: int) -> int:
+        """The place behind the end tag of ``name`` from ``at`` on, or -1."""
+        found = None if name in self.unclosed else _ENDS[name].search(self.page, at)
+        if not found:
+            self.unclosed.add(name)
+        return found.end() if found else -1
+
+    def read(self) -> tuple[str, list[str]]:
+        """What is visible, without markup, blocks on lines of their own; and the addresses of the links."""
+        page, at, from_, out, links = self.page, 0, 0, [], []
+        while (lt := page.find("<", at)) >= 0:
+            at = lt + 1
+            between, end = " ", -1
+            name = _PLAIN.match(page, at)
+            if name:
+                end = name.end()
+            elif page.startswith("!", at):
+                if page.startswith("--", lt + 2):
+                    end = page.index("-->", lt + 4) + 3 if lt + 4 <= self.last_comment else -1
+                elif page[lt + 2 : lt + 9].lower() == "doctype":
+                    end = page.index(">", lt) + 1 if lt < self.last[">"] else -1
+            elif name := _NAME.match(page, at):
+                end = self._tag_end(name.end())
+            if end < 0:
+                continue
+            if name:
+                tag = name[1].lower()
+                between = "\n" if tag in _BREAKS else ""
+                if page[at] != "/":
+                    if tag in _HIDDEN and (behind := self._behind(tag, end)) >= 0:
+                        between, end = " ", behind
+                    elif tag == "a" and (link := self._address(page[name.end(1) : end - 1])):
+                        links.append(link)
+            out += (page[from_:lt], between)
+            at = from_ = end
+        out.append(page[from_:])
+        return "".join(out), links
+
+    @staticmethod
+    def _address(attributes: str) -> str:
+        for found in _ATTRIBUTE.finditer(attributes):
+            value = next((x for x in found.groups()[1:] if x is not None), None)
+            if value is not None and found[1].lower() == "href":
+                return html.unescape(value).strip()
+        return ""
+
+
+def read_page(page: str, base: str) -> tuple[str, list[str]]:
+    """The text of what is visible (blocks on lines of their own, entities resolved, white space collapsed), and the
+    addresses of its links, resolved against the page's own, each once, in order."""
+    text, found = Page(page).read()
+    links: dict[str, None] = {}
+    for link in found:
+        try:
+            links[" ".join(urljoin(base, link).split())] = None
+        except ValueError:  # not an address
+            continue
+    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip(), list(links)
 
 
 def page_title(page: str) -> str:
     found = _TITLE.search(page)
-    return " ".join(html.unescape(_TAG.sub("", found[1])).split()) if found else ""
-
-
-def page_links(shown: str, base: str) -> list[str]:
-    """Addresses of the visible links, resolved against its own, each once, in order."""
-    out: dict[str, None] = {}
-    for groups in _LINK.findall(shown):
-        link = html.unescape(next((x for x in groups if x), "")).strip()
-        try:
-            out[" ".join(urljoin(base, link).split())] = None
-        except ValueError:  # not an address
-            continue
-    return list(out)
+    end = found and _ENDS["title"].search(page, found.end())
+    if not end:
+        return ""
+    return " ".join(html.unescape(Page(page[found.end() : end.start()]).read()[0]).split())
 
 
 def _content(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
     pages, bases = pages.fillna(""), bases.fillna("")
-    shown = [visible(p) for p in pages]
-    links = [page_links(s, b) for s, b in zip(shown, bases, strict=True)]
-    return pd.DataFrame({"title": [page_title(p) for p in pages], "text": [page_text(s) for s in shown], "links": links})
+    read = [read_page(p, b) for p, b in zip(pages, bases, strict=True)]
+    return pd.DataFrame({"title": [page_title(p) for p in pages], "text": [x for x, _ in read], "links": [x for _, x in read]})
 
 
 def _uuid(name: Column) -> Column:

@@ -1,6 +1,10 @@
+import re
 import tempfile
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -70,7 +74,6 @@ def check_packing(rows, placed, length=1024):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for doc_id, text in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -98,6 +101,8 @@ def test_packing(spark, awkward, empty):
     placed = packing.pack(docs).collect()
     used = check_packing([tuple(r) for r in docs.collect()], placed)
     assert used <= -(-sum(r.length for r in placed) // 1024) + 2
+    proof = packing.certificates(packing.pack(docs)).collect()
+    assert proof and sum(r.bins for r in proof) + sum(r.length == 1024 for r in placed) == used and all(r.bins >= r.bound > 0 for r in proof)
     rows = awkward.select("doc_id", "text").collect()
     check_packing([tuple(r) for r in rows], packing.pack(awkward).collect())
     assert packing.pack(empty).count() == 0
@@ -142,6 +147,56 @@ def test_derivatives(records):
     assert all("\r\nX:" not in r.headers for r in rows)
 
 
+class Reader(HTMLParser):
+    """Text and links of a page by the standard library's parser."""
+
+    def __init__(self, base):
+        super().__init__(convert_charrefs=True)
+        self.base, self.hidden, self.out, self.links, self.title, self.in_title = base, 0, [], {}, "", False
+
+    def handle_starttag(self, tag, attributes):
+        self.in_title = self.in_title or tag == "title"
+        self.hidden += tag in ("script", "style", "noscript", "template", "head")
+        if not self.hidden and tag == "a" and (link := dict(attributes).get("href")):
+            self.links[" ".join(urljoin(self.base, link.strip()).split())] = None
+        self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.in_title = self.in_title and tag != "title"
+        self.hidden -= tag in ("script", "style", "noscript", "template", "head")
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        elif not self.hidden:
+            self.out.append(data)
+
+
+def test_pages_against_another_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    made = {(r.page_id, r.record_type): r for r in warc.derivatives(warc.responses(pages)).collect()}
+    squeezed = lambda x: re.sub(r"\s+", "", x)
+    for r in pages.collect():
+        reader = Reader(r.url or "")
+        reader.feed(r.html or "")
+        reader.close()
+        assert squeezed(made[r.page_id, "conversion"].block) == squeezed("".join(reader.out))
+        meta = made[r.page_id, "metadata"].block
+        assert [x[9:] for x in meta.split("\r\n") if x.startswith("outlink: ")] == list(reader.links)
+        assert (f"title: {' '.join(reader.title.split())}\r\n" in meta) or not reader.title.strip()
+
+
+def test_broken_pages_cost_no_more_than_their_length():
+    began = time.perf_counter()
+    for bad in ("<a ", "<script>", "<!--", '<a "<a" ', "<a '\"' <b \"'\"", "<title ", "<a href= ", '<div "x" ', "<!doctype ", "</a "):
+        page = bad * (1_000_000 // len(bad))
+        text, links = warc.read_page(page, "http://a.example/")
+        assert not links and warc.page_title(page) == ""
+    assert time.perf_counter() - began < 60
+    assert warc.read_page("a <b c <i>d</i> e <!-- f", "")[0] == "a <b c d e <!-- f"
+
+
 def test_warc_files_round_trip(spark, records):
     path = tempfile.mkdtemp(prefix="spark-") + "/warc"
     warc.write_warc(records, path)
