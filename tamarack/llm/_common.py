@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,37 +74,62 @@ def checkpoint(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
-#: A row of a filter's bitmaps holds so many bits.
+#: A row of a filter holds so many bits, as 512 longs.
 PAGE = 32768
 
 
 def slots_of(value: Column, bits: int) -> list[Column]:
-    """The two places of a value in a filter of ``bits`` bits."""
-    return [F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+    """The two places of a value in a filter of ``bits`` bits; both are in one page, so one lookup answers for a value."""
+    page = F.pmod(F.xxhash64(value, F.lit(1)), F.lit(bits // PAGE)) * PAGE
+    hash_ = F.xxhash64(value, F.lit(2))
+    return [page + hash_.bitwiseAND(F.lit(PAGE - 1)), page + F.shiftright(hash_, 24).bitwiseAND(F.lit(PAGE - 1))]
 
 
 def bitmaps(slots: DataFrame) -> DataFrame:
     """(page, bitmap) with a bit for each value of column ``slot``: a filter in rows of 4 kB, one in 32,768 bits at most."""
-    page, bit = F.floor(F.col("slot") / PAGE), F.col("slot") % PAGE
-    return slots.groupBy(page.cast("int").alias("page")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    # Slots travel, not bitmaps: a task may hit all pages, and each would be a bitmap of its own before they are merged.
+    paged = slots.select(F.floor(F.col("slot") / PAGE).cast("int").alias("page"), (F.col("slot") % PAGE).alias("bit")).repartition("page")
+    return paged.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def filter_of(values: DataFrame, column: str, bits: int) -> DataFrame:
-    """A Bloom filter, as bitmaps, of the values of a column."""
-    return bitmaps(values.select(F.explode(F.array(*slots_of(F.col(column), bits))).alias("slot")))
+@dataclass(frozen=True)
+class Filter:
+    """A Bloom filter: ``pages`` (page, words as longs), checkpointed since it is probed again and again, and its size in bits."""
 
+    pages: DataFrame
+    bits: int
 
-def probe(rows: DataFrame, column: str, pages: DataFrame, bits: int) -> DataFrame:
+
+def bits_for(rows: int, most: int) -> int:
+    """The size of a filter of ``rows`` values: 32 bits a value, a power of two, one page at least and ``most`` bits at most."""
+    return min(most, max(PAGE, 1 << max(0, 32 * rows - 1).bit_length()))
+
+
+def filter_from(slots: DataFrame, bits: int) -> Filter:
+    """A filter with the bits of column ``slot``."""
+    word = lambda k: F.conv(F.hex(F.substring("bitmap", 8 * k + 1, F.lit(8))), 16, -10).cast("long")
+    return Filter(checkpoint(bitmaps(slots).select("page", F.transform(F.sequence(F.lit(0), F.lit(PAGE // 64 - 1)), word).alias("words"))), bits)
+
+
+def filter_of(values: DataFrame, column: str, most: int, rows: int | None = None) -> Filter:
+    """A filter of the values of a column; ``rows`` is how many there are, at most. Beyond ``most`` bits it only holds more than it was given."""
+    bits = bits_for(values.count() if rows is None else rows, most)
+    return filter_from(values.select(F.explode(F.array(*slots_of(F.col(column), bits))).alias("slot")), bits)
+
+
+def probe(rows: DataFrame, column: str, found: Filter) -> DataFrame:
     """rows with a column ``__maybe``: false where the filter is certain not to hold the value."""
-    tests = []
-    for i, slot in enumerate(slots_of(F.col(column), bits)):
-        page, bitmap, bit = f"__page{i}", f"__bitmap{i}", F.pmod(slot, F.lit(PAGE))
-        rows = rows.withColumn(page, F.floor(slot / PAGE).cast("int"))
-        # bits / 8 bytes of bitmaps at most, so the broadcast is bounded.
-        rows = rows.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bitmap").alias(bitmap))), page, "left")
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        tests.append(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)))
-    return rows.withColumn("__maybe", tests[0] & tests[1]).drop("__page0", "__page1", "__bitmap0", "__bitmap1")
+    slots = slots_of(F.col(column), found.bits)
+    rows = rows.withColumn("__page", F.floor(slots[0] / PAGE).cast("int"))
+    # bits / 8 bytes of pages at most, so the broadcast is bounded.
+    rows = rows.join(F.broadcast(found.pages.select(F.col("page").alias("__page"), F.col("words").alias("__words"))), "__page", "left")
+
+    def marked(slot: Column) -> Column:
+        bit = F.pmod(slot, F.lit(PAGE))
+        # bitmap_construct_agg counts bits from the low end of each byte, and a long's first byte is its high end.
+        return F.getbit(F.element_at("__words", F.shiftright(bit, 6).cast("int") + 1), (bit.bitwiseAND(F.lit(7)) + F.lit(56) - bit.bitwiseAND(F.lit(56))).cast("int")) == 1
+
+    return rows.withColumn("__maybe", F.coalesce(marked(slots[0]) & marked(slots[1]), F.lit(False))).drop("__page", "__words")
 
 
 def filter_bytes(hashes: DataFrame, column: str, bits: int) -> bytes:

@@ -1,45 +1,44 @@
-"""Connected components by alternating large-star and small-star, over edges kept as a checkpointed DataFrame."""
+"""Connected components by alternating large-star and small-star, over edges kept as a checkpointed DataFrame.
+
+Edges point from the greater node u to the smaller one v. The least neighbour of a node that is smaller than itself comes from one
+sum with map-side combining, is checkpointed and joined back to the edges; both sides of that join are plain shuffles, so a
+node with very many edges is split by adaptive execution.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, with_group
-
-SALTS = 32
+from ._common import checkpoint
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. A node with many edges is spread over salts."""
-    met = with_group(edges, "u", F.xxhash64("v"), SALTS, [F.min("v").alias("low")], [F.min("low").alias("low")])
-    return met.select("u", "v", F.least("u", "low").alias("m"))
+def least_neighbours(edges: DataFrame) -> DataFrame:
+    """(u, low, n): the least smaller neighbour of each node that has any, and how many there are."""
+    return checkpoint(edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Link each greater neighbour of a node to the least node of its neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def large_star(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """(u, v, up): an edge, and the least neighbour of v where that is smaller than v. Large-star links u to it instead of v."""
+    return checkpoint(edges.join(low.select(F.col("u").alias("v"), F.col("low").alias("up")), "v", "left").select("u", "v", "up"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them. Edges point to the smaller node."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v")
-    met = _least_neighbour(down)
-    linked = met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return linked.filter("u > v").distinct()
+    """Link a node and its smaller neighbours to the least of them."""
+    linked = edges.join(least_neighbours(edges).drop("n"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("low").alias("v"))
+    return checkpoint(linked.filter("u > v").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; a component is named after its least node. edges: u, v (long)."""
     now = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     while True:
-        now = checkpoint(small_star(large_star(now)))
-        # Edges and their sum: stars that no longer change are the components.
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        low = least_neighbours(now)
+        met = large_star(now, low)
+        # Stars are left alone: no smaller end has a smaller neighbour, and no greater end has two.
+        moved = met.select(F.col("up").isNotNull().alias("moved")).unionByName(low.select((F.col("n") > 1).alias("moved")))
+        if not moved.agg(F.max("moved")).first()[0]:
             break
-        mark = seen
+        now = small_star(met.select("u", F.coalesce("up", "v").alias("v")))
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return checkpoint(nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

@@ -8,13 +8,14 @@
 4. Components by large-star and small-star. Buckets that still hold several components are joined with
    themselves, across components only, so that no link of a bucket is lost where neither end is a pivot. Besides sizes and
    sketches, a bound drops pairs there: each set is hashed to 2,048 bits, and items whose bits the other set lacks
-   are not in it. What remains is verified, and the components are taken again.
+   are not in it. What remains is verified and joins components.
 
 So pairs are few where a group is large, since a large group of near copies is one component after step 3.
 
 Defined cases: a text without words (or null) has no shingles and is linked with nothing; with fewer words than a
 shingle, all words are one; rows with equal sets are linked; rows repeated in full share doc_id and component, and are
-kept alike; a null doc_id comes first and makes its component's id null; an empty table gives an empty table;
+kept alike; a null doc_id comes last: its row's component is named by the known ids, and where there are none, the id is null and the row is kept;
+an empty table gives an empty table;
 other columns may have any name.
 """
 
@@ -121,7 +122,7 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -
     """(node, items) with the full sets of the wanted nodes (column node). Only their texts are shuffled."""
     found = stage(nodes.join(wanted, "node").select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "digest"), "wanted")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), "text")
-    near = probe(keyed, "key", filter_of(found, "key", FILTER_BITS), FILTER_BITS).filter("__maybe").select("key", "text")
+    near = probe(keyed, "key", filter_of(found, "key", FILTER_BITS)).filter("__maybe").select("key", "text")
     sets = near.join(found, "key").select("node", "digest", "text").mapInPandas(_fetch(width), "node long, items array<long>")
     return stage(sets.dropDuplicates(["node"]), "sets")
 
@@ -156,6 +157,8 @@ def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, docs: DataFr
     open_ = members.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_ = checkpoint(open_.join(checkpoint(mixed), "key").join(nodes.select("node", "n", "s1", "s2"), "node"))
+    if open_.isEmpty():
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     sides = [open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "s1", "s2")]) for x in "uv"]
     likely = (F.col("component_u") != F.col("component_v")) & _allowed("n_u", "n_v", "s1_u", "s1_v", "s2_u", "s2_v", percent)
     # Nodes with a likely partner, each once; the partners themselves are not listed yet.
@@ -170,12 +173,26 @@ def _across(members: DataFrame, named: DataFrame, nodes: DataFrame, docs: DataFr
     return _confirmed(checkpoint(met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()), sets, percent)
 
 
+def _joined(named: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) of named with further links (u, v): their ends' components are joined, not all nodes anew."""
+    more = checkpoint(more)
+    if more.isEmpty():
+        return named
+    ends = more.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    every = checkpoint(named.unionByName(ends.join(named, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    for x in "uv":
+        more = more.join(every.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x)
+    above = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return checkpoint(every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")))
+
+
 def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_sets(width), "doc_id long, n long, digest binary, keys array<long>, s1 long, s2 long")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "signatures")
     salted = rows.filter("n > 0").select("doc_id", "n", "digest", "row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    partial = salted.groupBy("digest", "salt").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    partial = salted.groupBy("digest", "salt").agg(F.min(place).alias("first"), F.first("n").alias("n"))
     owner = partial.groupBy("digest").agg(F.min("first").alias("first")).select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("node"))
     owner = checkpoint(owner)
     nodes = stage(owner.join(rows.select(F.col("row").alias("node"), "n", "keys", "s1", "s2"), "node"), "nodes")
@@ -183,7 +200,7 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     several = stage(several, "buckets")
-    members = probe(buckets, "key", filter_of(several, "key", FILTER_BITS), FILTER_BITS).filter("__maybe").select("node", "key")
+    members = probe(buckets, "key", filter_of(several, "key", FILTER_BITS)).filter("__maybe").select("node", "key")
     members = stage(members.join(several, "key"), "members")
 
     star = members.select("node", F.explode(F.array("low", "high")).alias("pivot")).filter("node <> pivot")
@@ -191,11 +208,11 @@ def near_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT)
     pairs = checkpoint(_likely(star, nodes, percent))
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = checkpoint(_confirmed(pairs, _sets_of(ends, nodes, docs, width), percent))
-    more = _across(members, components(links), nodes, docs, width, percent)
-    final = components(links.unionByName(more))
+    named = components(links)
+    final = _joined(named, _across(members, named, nodes, docs, width, percent))
 
     owned = owner.join(final, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
-    names = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
+    names = owned.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("least"))
     owned = checkpoint(owned.join(checkpoint(names), "component").select("digest", F.col("least.doc_id").alias("component_id")))
     back = partial.select("digest", "salt").join(owned, "digest")
     linked = salted.join(back, ["digest", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -211,6 +228,6 @@ def drop_near_copies(docs: DataFrame, *, width: int = WIDTH, percent: int = PERC
     dropped = checkpoint(near_groups(docs, width=width, percent=percent).filter("not kept").select("doc_id").distinct())
     names = docs.columns
     packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    probed = probe(packed, "key", filter_of(dropped.withColumnRenamed("doc_id", "key"), "key", FILTER_BITS), FILTER_BITS)
+    probed = probe(packed, "key", filter_of(dropped.withColumnRenamed("doc_id", "key"), "key", FILTER_BITS))
     rest = probed.filter("__maybe").join(dropped.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("doc")
     return probed.filter("not __maybe").select("doc").unionByName(rest).select([F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import BLOCK, LENGTH, LONGEST, Sums, anchors
-from ._common import checkpoint, filter_bytes, filter_of, probe, stage, with_group
+from ._common import Filter, checkpoint, filter_bytes, filter_of, probe, stage, with_group
 from ._shingles import mix
 from .exact_dedup import repeated_slots
 
@@ -44,14 +44,14 @@ NULL_ID = -(2**63)
 SALTS = 64
 
 
-def _numbered(docs: DataFrame, shared_ids: DataFrame | None) -> DataFrame:
+def _numbered(docs: DataFrame, shared_ids: Filter | None) -> DataFrame:
     """doc_id (never null), text, digest, tie: 0, or a hash of the text where the doc_id may occur more than once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"))
     out = out.withColumn("digest", F.unhex(F.sha2("text", 256)))
     if shared_ids is None:
         return out
-    return probe(out, "doc_id", shared_ids, FILTER_BITS).withColumn("tie", F.when(F.col("__maybe"), F.xxhash64("digest")).otherwise(F.lit(0).cast("long"))).drop("__maybe")
+    return probe(out, "doc_id", shared_ids).withColumn("tie", F.when(F.col("__maybe"), F.xxhash64("digest")).otherwise(F.lit(0).cast("long"))).drop("__maybe")
 
 
 def _segments(doc_ids, ties, texts) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]]:
@@ -260,11 +260,11 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "tie", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def _with_texts(docs: DataFrame, shared_ids: DataFrame, wanted: DataFrame) -> DataFrame:
+def _with_texts(docs: DataFrame, shared_ids: Filter, wanted: DataFrame) -> DataFrame:
     """wanted (doc_id, tie and more) with the texts of its documents; only texts that a filter of the ids holds are shuffled."""
-    near = probe(_numbered(docs, shared_ids), "doc_id", filter_of(wanted, "doc_id", FILTER_BITS), FILTER_BITS).filter("__maybe")
+    near = probe(_numbered(docs, shared_ids), "doc_id", filter_of(wanted, "doc_id", FILTER_BITS)).filter("__maybe")
     texts = near.select("doc_id", "tie", "text")
-    if not shared_ids.isEmpty():
+    if not shared_ids.pages.isEmpty():
         texts = texts.filter("tie = 0").unionByName(texts.filter("tie <> 0").dropDuplicates(["doc_id", "tie"]))
     return texts.join(wanted, ["doc_id", "tie"])
 
@@ -273,20 +273,21 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
-    shared_ids = checkpoint(filter_of(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "doc_id", FILTER_BITS))
+    shared_ids = filter_of(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "doc_id", FILTER_BITS, ids.count() // 2)
     rows = _numbered(docs, shared_ids).select("doc_id", "tie", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    copies = checkpoint(repeated_slots(rows, FILTER_BITS))
+    copies = repeated_slots(rows)
 
     # One text of each group of equal ones, its owner: the rest need no sorting.
-    texts = probe(_numbered(docs, shared_ids), "digest", copies, FILTER_BITS)
+    texts = probe(_numbered(docs, shared_ids), "digest", copies)
     one = texts.filter("__maybe").groupBy("digest").agg(F.min(F.struct("doc_id", "tie", "text")).alias("x")).select("x.*")
     owners = texts.filter("not __maybe").select("doc_id", "tie", "text").unionByName(one)
 
     hashes = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_hash_batches, "anchor long")
     twice = stage(hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
     bitmap = spark.sparkContext.broadcast(filter_bytes(twice, "anchor", ANCHOR_BITS))
-    stretches = owners.mapInPandas(_stretches(bitmap, ANCHOR_BITS), "anchor long, whole long, doc_id long, tie long, first long, last long")
+    # Staged, since hot anchors are read apart from the rest.
+    stretches = stage(owners.mapInPandas(_stretches(bitmap, ANCHOR_BITS), "anchor long, whole long, doc_id long, tie long, first long, last long"), "stretches")
     least = max(HOT_BUCKET, (twice.agg(F.sum("n")).first()[0] or 0) // 1000)
     hot = checkpoint(twice.filter(F.col("n") > least).select("anchor", F.lit(True).alias("hot")))
     named = ["anchor", "doc_id", "tie", "first", "last", "open"]
@@ -324,7 +325,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     cut = stage(cut, "cut")
 
     # All rows: copies of an owner are wholly covered, owners without repeats are whole.
-    probed = probe(rows, "digest", copies, FILTER_BITS)
+    probed = probe(rows, "digest", copies)
     some = probed.filter("__maybe").drop("__maybe")
     met = with_group(some, "digest", F.xxhash64("row"), SALTS, [F.min(F.struct("doc_id", "tie", "row")).alias("least")], [F.min("least").alias("least")])
     met = met.withColumn("owner", F.col("least.row") == F.col("row")).drop("least")

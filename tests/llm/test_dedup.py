@@ -91,11 +91,19 @@ def test_near_groups_on_awkward_rows(awkward, empty):
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by[3].component_id == by[4].component_id == by[5].component_id == by[6].component_id == by[15].component_id == 3
     assert by[1].n_shingles == 0 and by[1].component_id == 1 and by[1].kept
+    lone = [r for r in got if r.doc_id is None and r.n_shingles]
+    assert lone and all(r.component_id is None and r.kept for r in lone)
     left = minhash.drop_near_copies(awkward)
     assert left.columns == awkward.columns and {4, 5, 6}.isdisjoint({r.doc_id for r in left.collect()})
     assert minhash.near_groups(empty).count() == 0 and minhash.drop_near_copies(empty).count() == 0
 
 
+def test_a_null_doc_id_does_not_hide_known_ones(spark):
+    text = prose(random.Random(5), 40)
+    got = minhash.near_groups(spark.createDataFrame([(None, text), (9, text), (4, text + " more")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(None, 4, False), (9, 4, False), (4, 4, True)}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
