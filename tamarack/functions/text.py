@@ -177,8 +177,16 @@ def has_reason(reasons: Column, prefix: str) -> Column:
 
 
 def json_keys(text: Column) -> Column:
-    """T17. All keys at any depth of a JSON text: quoted strings that a colon follows."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)))
+    """T17. All keys at any depth of a JSON text, each once: strings that a colon follows, with their escapes resolved.
+
+    Strings are taken from left to right, values too, so that what stands between two of them is never taken for a key.
+    Repeats are possessive: a value of any length is matched without recursion.
+    """
+    strings = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"(?:\s*+:)?'), F.lit(0))
+    quoted = F.transform(F.filter(strings, lambda x: x.endswith(":")), lambda x: F.regexp_replace(x, r"\s*+:$", ""))
+    plain = lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2)
+    decoded = lambda x: F.element_at(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), 1)
+    return F.array_distinct(F.transform(quoted, lambda x: F.when(F.contains(x, F.lit("\\")), decoded(x)).otherwise(plain(x))))
 
 
 def class_file(folder: Column, name: Column) -> Column:

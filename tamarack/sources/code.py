@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,8 @@ CLASS = r"(?U)\b(?:class|interface|enum|record)\s+([A-Za-z_][A-Za-z0-9_]*)"
 PY_CLASS = r"(?mU)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)"
 PY_FUNCTION = r"(?mU)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
 JS_FUNCTION = r"(?U)\b(?:function\s+|const\s+|let\s+|var\s+|async\s+function\s+)([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|\()"
-METHOD = r"(?U)\b(?:public|protected|private|static|final|synchronized|abstract|native|\s)+[A-Za-z_][A-Za-z0-9_<>\[\], ?]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+#: White space is taken run by run and modifiers are counted, so that long runs of either make no deep recursion; a match may begin at any modifier.
+METHOD = r"(?U)\b(?:public|protected|private|static|final|synchronized|abstract|native|\s++){1,64}[A-Za-z_][A-Za-z0-9_<>\[\], ?]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
 PACKAGE = r"(?mU)^\s*package\s+([A-Za-z_][A-Za-z0-9_.]*);"
 
 
@@ -58,20 +60,30 @@ def document_text(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
+def relative(path: Column, root: str) -> Column:
+    """The part of a path below a root. Either may have a scheme and a host; folders above the root are not looked at."""
+    bare = lambda x: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", x)
+    # A root without a scheme may be on any host, and relative to the current folder.
+    below = "/" + bare(root).strip("/") + "/" if root.strip("/.") else "/"
+    full = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    return F.when(full.startswith(below), F.substring(full, F.lit(len(below) + 1), F.char_length(full))).otherwise(F.substring(full, F.instr(full, F.lit(below)) + len(below), F.char_length(full)))
+
+
 def read_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """S03, S04. file, package, class_names, method_names, content, sha256 of the source files below a folder."""
     pattern = "*{" + ",".join(extensions) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    file = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    rows = found.select(file.alias("file"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256")).filter(~skipped(F.col("file")))
+    rows = found.select(relative(F.col("path"), root).alias("file"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256")).filter(~skipped(F.col("file")))
     return rows.select("file", package_name(F.col("content")).alias("package"), class_names(F.col("file"), F.col("content")).alias("class_names"), method_names(F.col("file"), F.col("content")).alias("method_names"), "content", "sha256")
 
 
 def id_ranges(text: Column) -> Column:
-    """S12. Numbers of a list such as ``1,3-5``, ranges spelt out."""
+    """S12. Numbers of a list such as ``1,3-5``, ranges spelt out, repeats kept. A range that ends before it begins is an error."""
     parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
     low = lambda p: F.substring_index(p, "-", 1).cast("long")
-    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), F.substring_index(p, "-", -1).cast("long")))))
+    high = lambda p: F.substring_index(p, "-", -1).cast("long")
+    wrong = lambda p: F.raise_error(F.concat(F.lit("invalid range: "), p)).cast("array<bigint>")
+    return F.flatten(F.transform(parts, lambda p: F.when(low(p) > high(p), wrong(p)).otherwise(F.sequence(low(p), F.greatest(low(p), high(p))))))
 
 
 def export_lines(text: Column) -> Column:

@@ -1,5 +1,14 @@
 import hashlib
+import json
+import os
+import re
+import tempfile
+import time
 
+import pytest
+from pyspark.sql import functions as F
+
+from tamarack.functions import text as T
 from tamarack.sources import code
 
 
@@ -21,3 +30,60 @@ def test_checksums_stream_through_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(want) and {r.source: r.sha256 for r in got} == {s: hashlib.sha256("\0".join(x).encode()).hexdigest() for s, x in want.items()}
     assert code.checksum(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def walk(value):
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield k
+            yield from walk(v)
+    elif isinstance(value, list):
+        for v in value:
+            yield from walk(v)
+
+
+def test_json_keys_are_those_of_the_parsed_value(spark):
+    texts = [
+        '{"a": {"b": [1, {"c": null}], "a": "x"}, "d":"e"}', '["x", ":y"]', '{"a\\u00e9": 1, "q\\"t": 2, "s\\\\": [":", "\\":"]}', "{}", "[]", '"only"', '{"": {" ": 1}, "k" : {"m"\n:2}}',
+        json.dumps({"long": "v" * 1_000_000, "esc": "\\" * 200_000, "deep": [{"n" * 5000: ["a:"] * 1000}]}),
+    ]
+    began = time.perf_counter()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.json_keys(F.col("t")).alias("k")).collect()
+    assert time.perf_counter() - began < 30
+    for r in got:
+        assert sorted(r.k) == sorted(set(walk(json.loads(texts[r.i]))))
+
+
+def test_method_names_on_plain_and_on_long_lines(spark):
+    texts = [
+        "public static int count(String s) {", "  private final Map<String, List<X>> of (", "return new Foo(", "class A {\n  protected   void run() {}\n  abstract T[] all(", "x.y(", "public Foo(",
+        "static" + " " * 20_000 + "int far(", "static " * 5_000 + "int many(", "public" + "\n" * 5_000 + "static void lines(",
+    ]
+    # One modifier or blank at a time, as a loop that backtracks: the same names as the engine's own pattern.
+    plain = re.compile(r"\b(?:public|protected|private|static|final|synchronized|abstract|native|\s)+[A-Za-z_][A-Za-z0-9_<>\[\], ?]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+    began = time.perf_counter()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", code.method_names(F.lit("a.java"), F.col("t")).alias("m")).collect()
+    assert time.perf_counter() - began < 60
+    for r in got:
+        assert r.m == sorted(set(plain.findall(texts[r.i]))) if r.i < 6 else len(r.m) == 1
+
+
+def test_ranges(spark):
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(code.id_ranges(F.col("t")).alias("x")).first().x
+    assert one("1, 3-5,3,") == [1, 3, 4, 5, 3] and one("") == []
+    with pytest.raises(Exception, match="invalid range"):
+        one("5-3")
+
+
+def test_sources_below_a_root_in_a_folder_of_a_skipped_name(spark):
+    root = tempfile.mkdtemp(prefix="spark-") + "/test/pro.j"
+    files = {"src/a/B.java": "package a.b;\nclass B { public int f() {} }", "test/T.java": "class T {}", "src/c.py": "def g():\n  pass", "src/d.txt": "no", "src/C.min.js": "x"}
+    for name, content in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        open(f"{root}/{name}", "w").write(content)
+    for form in (root, root + "/", "file://" + root, "file:" + root):
+        got = {r.file: r for r in code.read_sources(spark, form).collect()}
+        assert set(got) == {"src/a/B.java", "src/c.py"}
+        b = got["src/a/B.java"]
+        assert (b.package, b.class_names, b.method_names, b.sha256) == ("a.b", ["B"], ["f"], hashlib.sha256(files["src/a/B.java"].encode()).hexdigest())
+        assert got["src/c.py"].method_names == ["g"]
