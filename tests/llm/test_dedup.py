@@ -186,18 +186,21 @@ def test_passages_on_awkward_rows(awkward, empty):
 
 def test_windows_are_those_of_the_whole_tree():
     rng = np.random.default_rng(3)
-    for n in (10, 46, 200):
-        h = rng.integers(0, 2**63, n, dtype=np.uint64)
+    for n, kinds in ((10, 2**31), (46, 2**31), (200, 2**31), (200, 20), (300, 3)):
+        h = rng.integers(0, kinds, n, dtype=np.uint64) << np.uint64(32)
         want = set()
         for c in range(n):
             left, right = c, c
-            while left and h[left - 1] > h[c]:
+            while left and h[left - 1] >= h[c]:
                 left -= 1
-            while right < n - 1 and h[right + 1] > h[c]:
+            while right < n - 1 and h[right + 1] >= h[c]:
                 right += 1
+            first = left + int(np.flatnonzero(h[left : right + 1] == h[c])[0])  # equal hashes are one node
             if right - left + 1 >= 8:
-                want.add((left, c, right))
-        assert set(zip(*(x.tolist() for x in compact_windows.windows_of(h, 8)), strict=True)) == want
+                want.add((left, first, right))
+        left, c, d, right = compact_windows.windows_of(h, 8)
+        assert set(zip(left.tolist(), c.tolist(), right.tolist(), strict=True)) == want and len(c) == len(want)
+        assert (h[d] == h[c]).all() and (c <= d).all() and (d <= right).all()
 
 
 def test_changed_words_do_not_break_a_passage():
@@ -235,9 +238,11 @@ def test_hits_on_either_side_of_a_band_meet(spark):
     for k, d in enumerate((-33, -17, -16, -1, 0, 15, 16, 31)):
         for step in (1, 7, 16):  # two hash functions, one hit each, on diagonals d and d + step
             pair = 100 * k + step
-            rows += [(0, pair, 0, 0, 100 + d, 200, 1000, 0, 0, 100, 199), (1, pair, 0, 0, 150 + d + step, 210, 1000, 0, 5, 150, 205)]
-    far = [(0, 5000, 0, 0, 100, 200, 1000, 0, 0, 100, 199), (1, 5000, 0, 0, 300, 400, 1000, 0, 5, 100, 205)]
-    names = "j int, doc_idx long, tiex long, lx int, cx int, rx int, doc_idy long, tiey long, ly int, cy int, ry int"
+            rows += [(0, pair, 0, 0, 100 + d, 100 + d, 200, 1000, 0, 0, 100, 100, 199), (1, pair, 0, 0, 150 + d + step, 150 + d + step, 210, 1000, 0, 5, 150, 150, 205)]
+    # Shingles that repeat on both sides agree on any diagonal.
+    rows += [(0, 7000, 0, 0, 100, 180, 200, 1000, 0, 0, 10, 190, 199), (1, 7000, 0, 0, 50, 90, 210, 1000, 0, 5, 100, 110, 205)]
+    far = [(0, 5000, 0, 0, 100, 100, 200, 1000, 0, 0, 100, 100, 199), (1, 5000, 0, 0, 300, 300, 400, 1000, 0, 5, 100, 100, 205)]
+    names = "j int, doc_idx long, tiex long, lx int, cx int, dx int, rx int, doc_idy long, tiey long, ly int, cy int, dy int, ry int"
     got = compact_windows.candidates_of(spark.createDataFrame(rows + far, names)).collect()
     assert {r.doc_idx for r in got} == {r[1] for r in rows} and all((r.lx, r.rx, r.ly, r.ry, r.n_hashes) == (0, 210, 0, 205, 2) for r in got)
 
@@ -250,3 +255,32 @@ def test_a_word_put_in_where_a_band_ends(spark):
         rows += [(2 * k, " ".join(w[:30] + ["added"] + w[30:] + prose(rng, 40).split())), (2 * k + 1, " ".join(w + prose(rng, 40).split()))]
     got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) >= 140 and all(a == b + 1 for a, b in got)
+
+
+def test_near_copies_are_found_where_no_pivot_is_like_them(spark):
+    """Pairs with a passage of 70 to 110 words, one word changed or put in, around a line that documents of lesser and greater ids have too."""
+    rng = random.Random(21)
+    vocabulary = prose(rng, 4000).split()
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(60):
+        line = draw(12)
+        passage = draw(rng.randint(30, 50)) + line + draw(rng.randint(28, 48))
+        other = passage[:]
+        at = rng.randrange(len(other))
+        other[at : at + k % 2] = ["changed"]
+        rows += [(k, " ".join(draw(60) + line + draw(60))), (5000 + k, " ".join(draw(60) + line + draw(60)))]  # the pivots of the line's shingles
+        rows += [(1000 + k, " ".join(draw(40) + passage + draw(30))), (2000 + k, " ".join(draw(25) + other + draw(50)))]
+        pairs.append((2000 + k, 1000 + k))
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & set(pairs)) >= 0.9 * len(pairs) and got <= set(pairs)
+
+
+def test_a_line_repeated_in_many_documents_makes_one_window_each(spark):
+    rng = random.Random(22)
+    line = prose(rng, 9) + "\n"
+    rows = [(i, prose(rng, 30) + "\n" + line * 400 + prose(rng, 30)) for i in range(12)]
+    found = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(12))
+    h = compact_windows.shingles_of(rows[0][1])[0]
+    assert len(compact_windows.windows_of(h * np.uint64(2654435769))[0]) < 20
