@@ -38,10 +38,15 @@ _MARK = re.compile(r"[<>\"']")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_HIDDEN, "title")}
 _TITLE = re.compile(r"<title\b[^<>]*>", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
-_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+_BLANKS = re.compile(r"[ \t\r\f\v\xa0]{2,}|[\t\r\f\v\xa0]")  # a single space stays as it is
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
+#: Addresses, and places on a page's own host, that need no resolving: ASCII without dot segments, parameters or empty parts.
+_WHOLE = re.compile(r"(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?)?/(?!/)(?:[A-Za-z0-9_~%/-]|(?<!/)\.)*(?:\?[A-Za-z0-9_~%/.=&+-]+)?(?:#[A-Za-z0-9_~%/.=&+-]+)?")
+_HOST = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?=[/?#]|$)")
+
+
 class Page:
     """One forward scan over a page. Whatever does not close (a tag, a quote, a comment, a script) is text from its first character on.
 
@@ -122,7 +127,11 @@ def read_page(page: str, base: str) -> tuple[str, list[str]]:
     addresses of its links, resolved against the page's own, each once, in order."""
     text, found = Page(page).read()
     links: dict[str, None] = {}
+    host = _HOST.match(base)
     for link in found:
+        if host and _WHOLE.fullmatch(link):
+            links[host[0] + link if link[0] == "/" else link] = None
+            continue
         try:
             links[" ".join(urljoin(base, link).split())] = None
         except ValueError:  # not an address

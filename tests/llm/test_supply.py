@@ -187,6 +187,17 @@ def test_pages_against_another_parser(spark):
         assert (f"title: {' '.join(reader.title.split())}\r\n" in meta) or not reader.title.strip()
 
 
+def test_links_are_those_of_the_standard_library():
+    base = "https://a.example:80/x/y?z#w"
+    links = ["/p", "/p/q.html?a=1&b=2#f", "/p/../q", "/./p", "/p/.", "/p/.q", "//b.example/c", "http://c.example/d.e", "http://c.example", "http://c.example/a/../b", "/p?", "/p#", "/p;x", "q", "?q", "#q", "HTTP://c.example/", "/é", "/p//q", "/p?q#", "http://[x", "/p..q"]
+    for link in links:
+        try:
+            want = [urljoin(base, link)]
+        except ValueError:
+            want = []
+        assert warc.read_page(f'<a href="{link}">', base)[1] == want, link
+
+
 def test_broken_pages_cost_no_more_than_their_length():
     began = time.perf_counter()
     for bad in ("<a ", "<script>", "<!--", '<a "<a" ', "<a '\"' <b \"'\"", "<title ", "<a href= ", '<div "x" ', "<!doctype ", "</a "):
