@@ -94,9 +94,10 @@ STOPS = ", ".join(f"'{x}'" for x in STOP_TOKENS)
 PASCAL = "array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), '')"
 PACKAGE = "regexp_replace(lower(p_type), '[^a-z]+', '.', 'g')"
 NAME = f"regexp_replace({PASCAL}, '[^A-Za-z]', '', 'g') || (['Test', 'Tests', 'TestCase', '', ''])[p_partkey % 5 + 1]"
-BOOSTED = f"""{BASE}, own AS (SELECT file, list_distinct_ordered AS own FROM (SELECT file, (list_transform(list_filter(list_zip(toks, range(1, len(toks) + 1)), lambda z: list_position(toks, z[1]) = z[2]), lambda z: z[1]))[1:60] AS list_distinct_ordered FROM docs)),
-wanted AS (SELECT query_id, list_filter(list_transform(list_filter(list_zip(toks, range(1, len(toks) + 1)), lambda z: list_position(toks, z[1]) = z[2]), lambda z: z[1]), lambda t: len(t) >= 4) AS terms FROM asked),
-boosted AS (SELECT query_id, rank, file, score, list_filter(list_sort(terms[1:5]), lambda h: list_contains(own, h)) AS hits, (list_sort(list_filter(terms, lambda t: list_contains(own, t))))[1:8] AS both_ FROM bm JOIN own USING (file) JOIN wanted USING (query_id))"""
+BOOSTED = f"""{BASE}, own AS (SELECT query_id, file, list_sort(list(DISTINCT term)) AS hits FROM bm_q JOIN bm_post USING (term) WHERE len(term) >= 4 GROUP BY query_id, file),
+first AS (SELECT file FROM docs ORDER BY file LIMIT 50),
+scored AS (SELECT query_id, file, score FROM bm_score UNION ALL SELECT query_id, file, 0 FROM asked CROSS JOIN first WHERE NOT EXISTS (FROM bm_score s WHERE s.query_id = asked.query_id AND s.file = first.file)),
+boosted AS (SELECT query_id, file, score, coalesce(hits, []) AS hits, coalesce(hits, [])[1:8] AS both_ FROM scored LEFT JOIN own USING (query_id, file))"""
 
 
 def retained(cap: str, resort: bool, boost: float) -> str:
