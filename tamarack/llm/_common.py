@@ -21,12 +21,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has it."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session has it.
+
+    A local session without it, as in tests, gets a temporary folder. On a cluster that is an error: executors would write to
+    disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")

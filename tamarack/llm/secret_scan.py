@@ -1,11 +1,13 @@
 """Secret scans (operator 2), in DataFrame functions alone: three patterns, and character Markov models.
 
 Patterns: assignments of passwords and tokens, access key ids and long hexadecimal strings. The models: two first-order
-Markov chains over characters, one of random strings and one of ordinary ones, trained from the corpus itself:
-the values that the patterns find are random strings, all other runs of the same alphabet, outside the patterns' spans,
-are ordinary. Transitions of all documents are counted; a count is one row per pair of characters, 4,489 at most, so both
-tables fit on the driver whatever the corpus. A further string of 20 characters or more is a
-secret where the mean log-likelihood ratio per transition is above ``min_ratio``.
+Markov chains over characters, one of random strings and one of ordinary ones, trained from labelled samples:
+the values that the patterns find and generated strings are random; all runs of the same alphabet outside the
+patterns' spans and under 20 characters (longer ones are what is judged, so they have no label), and identifiers put together from common words of programs (camel case, capitals, snake case,
+paths, with digits) are ordinary. The ordinary chain is the even mixture of the chains of those two, so that identifiers
+count the same in a corpus of any size. Transitions of all documents are counted; a count is one row per pair of
+characters, 4,489 at most, so the tables fit on the driver whatever the corpus. A further string of 20 characters or more
+is a secret where the mean log-likelihood ratio per transition is above ``min_ratio``.
 
 Offsets are code points. Matches of a pattern, in order, and the pieces between them have lengths whose running sums
 are the offsets, so no position is searched twice.
@@ -32,8 +34,28 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 #: Strings that the models judge.
 CHARACTER = r"[A-Za-z0-9+/_=-]"
-CANDIDATE = f"{CHARACTER}{{20,}}"
+CANDIDATE_LEAST = 20
+CANDIDATE = f"{CHARACTER}{{{CANDIDATE_LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Common words of program text, of which labelled identifiers are made.
+IDENTIFIER_WORDS = """account action active add address after all allow api app array async auth available background base batch before
+block body bool boundary buffer build byte cache call cancel change channel char check class clean clear client clock close code collection
+column command commit common compare compile config connect container content context control convert copy core count create cursor custom
+data database date debug default delete depth description device dialog dictionary directory disable display document download driver dynamic
+edit element empty enable encode end engine entity entry env error event example execute expected export expression extension external failure
+feature fetch field file filter find first flag float flush folder footer force format frame free from function generate get global graph
+group handler has hash header height helper host html http id image import index info init input insert instance int interface internal
+invalid item iterator job json key kernel keyboard label language last layer layout left length level library line link list listener load
+lock log loop manager map mask match matrix max memory menu merge message meta method migration min mode model module monitor mouse move name
+native network new next node normal notify null number object offset open operation option order output override owner page panel param parent
+parse partition path pattern pending permission pixel plugin pointer policy position prefix previous print priority private process product
+profile progress project property protocol provider public push query queue quick range raw read record recursive reference refresh region
+register release remote remove render replace report request require reset resource response result return right root route row rule run
+sample save scale schedule schema scope screen script scroll search section select sequence serial server service session set setting shadow
+shape share shift show signal simple size skip snapshot socket sort source space split stack start state static status step stop storage store
+stream string structure style submit suffix support switch symbol sync system table tag target task template temp test text thread threshold
+time title toggle tool top total trace track transaction transform tree trigger type unit unknown unlock update upload url usage user utility
+valid value vector verify version video view visible wait warning watch web weight width window word worker wrapper write xml year zone"""
 #: Mean log-likelihood ratio per transition above which a string is random.
 MIN_RATIO = 0.5
 
@@ -83,7 +105,7 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 
 def ordinary_strings(base: DataFrame) -> DataFrame:
-    """All runs of the alphabet outside the patterns' spans, of base (text, base)."""
+    """All runs of the alphabet outside the patterns' spans that are too short to be judged, of base (text, base)."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -95,31 +117,49 @@ def ordinary_strings(base: DataFrame) -> DataFrame:
 
     ordered = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     free = F.when(F.size("base") > 0, F.array_join(F.aggregate(ordered, zero, step, last), " ")).otherwise(F.col("text"))
-    return base.select(F.explode(F.regexp_extract_all(free, F.lit(f"{CHARACTER}{{2,}}"), F.lit(0))).alias("value"))
+    runs = base.select(F.explode(F.regexp_extract_all(free, F.lit(f"{CHARACTER}{{2,}}"), F.lit(0))).alias("value"))
+    return runs.filter(F.char_length("value") < CANDIDATE_LEAST)
 
 
 def random_strings(spark, rows: int) -> DataFrame:
-    """``rows`` labelled random strings of each of four shapes, from digests of 0, 1, 2 ..."""
+    """``rows`` labelled random strings of each of six shapes, from digests of 0, 1, 2 ..."""
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
-    shapes = F.array(digest, F.upper(digest), F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", "x"))
+    encoded = F.base64(F.unhex(digest))
+    letters = F.regexp_replace(encoded, "[^A-Za-z0-9]", "x")
+    shapes = F.array(digest, F.upper(digest), encoded, letters, F.upper(letters), F.lower(letters))
     return spark.range(rows).select(F.explode(shapes).alias("value"))
 
 
-def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
+def identifiers(spark, rows: int) -> DataFrame:
+    """``rows`` labelled identifiers of three words in each of six shapes, the words taken by hashes of 0, 1, 2 ..."""
+    words = IDENTIFIER_WORDS.split()
+    pick = lambda k: F.element_at(F.split(F.lit(" ".join(words)), " "), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
+    number = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(100)).cast("string")
+    three = spark.range(rows).select(F.array(*[pick(k) for k in range(3)]).alias("w"), number.alias("number"))
+    capital = F.transform("w", F.initcap)
+    shapes = F.array(
+        F.concat(F.element_at("w", 1), F.array_join(F.slice(capital, 2, 2), ""), "number"), F.array_join(capital, ""), F.upper(F.array_join("w", "_")),
+        F.concat_ws("_", F.array_join("w", "_"), "number"), F.concat(F.lit("/"), F.array_join("w", "/"), F.lit("/"), "number"), F.concat_ws("-", F.array_join("w", "-"), "number"),
+    )
+    return three.select(F.explode(shapes).alias("value"))
+
+
+def log_ratios(random: DataFrame, *ordinary: DataFrame) -> list[float]:
     """Log-likelihood ratio of each transition, indexed by place of first * size + place of second character.
 
-    Both inputs hold a column ``value``. Only the two tables of pair counts, of bounded size, reach the driver.
+    All inputs hold a column ``value``; the ordinary ones' chains are mixed evenly. Only the tables of pair counts, of
+    bounded size, reach the driver.
     """
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
-    logs = []
-    for strings in (random, ordinary):
+    chains = []
+    for strings in (random, *ordinary):
         counts = [[1.0] * size for _ in range(size)]
         for pair, n in _pairs(strings).collect():
             if pair[0] in place and pair[1] in place:
                 counts[place[pair[0]]][place[pair[1]]] += n
-        logs.append([math.log(n / sum(row)) for row in counts for n in row])
-    return [a - b for a, b in zip(*logs, strict=True)]
+        chains.append([n / sum(row) for row in counts for n in row])
+    return [math.log(p) - math.log(sum(q) / len(q)) for p, *q in zip(*chains, strict=True)]
 
 
 def mean_ratio(value: Column, ratios: list[float]) -> Column:
@@ -138,7 +178,7 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, random_rows: int = 2_000) -> DataFrame:
+def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, random_rows: int = 2_000, identifier_rows: int = 20_000) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("base", pattern_spans(F.col("text")))
@@ -148,7 +188,8 @@ def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, random_rows: int = 2_
 
     value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.text", ASSIGN, 2)).otherwise(F.col("s.text"))
     labelled = spans.select(F.explode("base").alias("s")).select(value.alias("value"))
-    ratios = log_ratios(labelled.unionByName(random_strings(docs.sparkSession, random_rows)), ordinary_strings(base))
+    spark = docs.sparkSession
+    ratios = log_ratios(labelled.unionByName(random_strings(spark, random_rows)), ordinary_strings(base), identifiers(spark, identifier_rows))
 
     more = F.filter("found", lambda c: mean_ratio(c["text"], ratios) > min_ratio)
     out = spans.select("doc_id", "base", F.when(F.size("found") > 0, more).otherwise(F.col("found")).alias("more"))

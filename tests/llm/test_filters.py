@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -121,3 +123,18 @@ def test_ordinary_strings_are_all_outside_the_patterns(spark):
     assert sorted(r.value for r in secret_scan.ordinary_strings(base).collect()) == sorted(want)
     pairs = {r.pair: r.n for r in secret_scan._pairs(spark.createDataFrame([("aaa0/",), ("aaa0/",), ("é=",), ("x",)], "value string")).collect()}
     assert pairs == {"aa": 4, "a0": 2, "0/": 2}
+
+
+def test_identifiers_are_ordinary_and_random_strings_are_not(spark):
+    names = """MAX_CONNECTION_POOL_SIZE_LIMIT AbstractSingletonProxyFactoryBean2 /usr/local/lib/python3/site-packages getUserAccountByEmailAddress
+        DEFAULT_RETRY_BACKOFF_SECONDS org/apache/commons/lang3/StringUtils kubernetes-dashboard-metrics-scraper HttpServletRequestAttributeListener
+        /home/ubuntu/projects/website/assets/css onMouseEnterTooltipWrapper parse_yaml_front_matter_v2 GL_TEXTURE_COMPRESSION_HINT""".split()
+    draw = random.Random(5)
+    shapes = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits)
+    secrets = ["".join(draw.choice(shape) for _ in range(n)) for n in (20, 24, 32, 40, 64) for shape in shapes for _ in range(8)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(200)
+    more = spark.createDataFrame([(-1 - i, f"see {x} for more") for i, x in enumerate(names)] + [(-1000 - i, f"see {x} for more") for i, x in enumerate(secrets)], "doc_id long, text string")
+    found = {r.doc_id: r.n_markov for r in secret_scan.scan(docs.unionByName(more)).filter("doc_id < 0").collect()}
+    assert [x for i, x in enumerate(names) if found[-1 - i]] == []
+    missed = [x for i, x in enumerate(secrets) if found[-1000 - i] == 0]
+    assert len(missed) <= 0.05 * len(secrets), missed
