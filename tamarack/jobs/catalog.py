@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
 from tamarack.jobs.oracles import ORACLE_SQL
-from tamarack.operators import bm25, evaluation, evidence, hybrid, rerank, study
+from tamarack.operators import bm25, candidates, evaluation, evidence, hybrid, rerank, study
 from tamarack.sources import code, records
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
@@ -276,6 +276,21 @@ def s22(spark, sf_dir):
     return code.checksum(_read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", "source")
 
 
+@_query("S11_lookup")
+def s11(spark, sf_dir):
+    wanted = _read(spark, sf_dir, "events").select((F.col("user_id") * 7).alias("doc_id")).distinct()
+    return records.lookup(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang"), wanted, "doc_id")
+
+
+@_query("S21_manifest")
+def s21(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    path = lambda x: F.concat(F.lit("doc/"), F.lpad(x.cast("string"), 9, "0"))
+    method = F.struct(F.col("lang").alias("name"), F.array(path(F.col("doc_id") + 1), path(F.col("doc_id") * 3)).alias("paths"))
+    manifest = docs.select(path(F.col("doc_id")).alias("dataset"), F.array(path(F.col("doc_id"))).alias("bugs"), F.array(method).alias("methods"), F.when(F.col("n_chars") > 500, F.array(path(F.col("doc_id") * 2))).alias("selection"))
+    return records.manifest_rows(manifest, docs.select(_file().alias("path")))
+
+
 @_query("R01_index")
 def r01(spark, sf_dir):
     posted = bm25.postings(_docs(spark, sf_dir))
@@ -396,6 +411,35 @@ def e09(spark, sf_dir):
     return hits.select("query_id", "file", F.col("line").cast("int").alias("line"), "text", F.col("n_terms").cast("int").alias("n_terms"))
 
 
+def _shown(spark: SparkSession, sf_dir: str, names: tuple[int, int], top: int) -> DataFrame:
+    """Candidates with their distinct tokens as names."""
+    words = F.array_sort(F.array_distinct(T.tokenize(F.col("text"))))
+    sources = _read(spark, sf_dir, "documents").select(_file().alias("file"), F.col("source").alias("package"), F.coalesce("text", F.lit("")).alias("text"))
+    return candidates.briefs(_ranked(spark, sf_dir, 20), sources.select("file", "package", words.alias("classes"), words.alias("methods")), top=top, names=names)
+
+
+@_query("E05_E07_briefs")
+def e05(spark, sf_dir):
+    kinds = (("rerank", candidates.RERANK), ("agent", candidates.AGENT), ("verifier", candidates.VERIFIER))
+    shown = _shown(spark, sf_dir, (40, 40), 15)
+    cut = [F.struct(F.lit(k).alias("kind"), F.array_join(F.slice("class_names", 1, c), ",").alias("classes"), F.array_join(F.slice("method_names", 1, m), ",").alias("methods")) for k, (c, m) in kinds]
+    return shown.select("query_id", "rank", "score", "file", "package", F.inline(F.array(*cut)))
+
+
+@_query("E10_windows")
+def e10(spark, sf_dir):
+    sources = _docs(spark, sf_dir).select("file", F.regexp_replace("text", r"\. ", ".\n").alias("text"))
+    ranked = _ranked(spark, sf_dir, 10)
+    file = F.when(F.col("rank") == 9, F.lit("doc/none")).otherwise(F.col("file"))
+    asked = ranked.select("query_id", file.alias("file"), (F.col("rank") * 3 - 5).alias("start_line"), (F.col("rank") * F.col("rank") - 2).alias("end_line"))
+    return candidates.windows(asked, sources, most=12)
+
+
+@_query("E14_dry_run")
+def e14(spark, sf_dir):
+    return candidates.dry_run(_shown(spark, sf_dir, candidates.AGENT, 20))
+
+
 @_query("E12_prompts")
 def e12(spark, sf_dir):
     pool = _ranked(spark, sf_dir, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file"))), lambda x: x["file"]).alias("files"))
@@ -541,9 +585,9 @@ def r06(spark, sf_dir):
 
 @_query("R08_direct_hints")
 def r08(spark, sf_dir):
-    name = _class_name()
-    trace = F.concat(F.lit("at org.app."), name, F.lit("$1.run(X.java:1)\nat org.app.Main.main(Main.java)\nat other.Z.z(Z.java)"))
-    hints = evidence.direct_hints(F.array(F.concat(F.lit("q."), F.regexp_replace("p_brand", "#", ""), F.lit("Test"))), trace, "org.app")
+    name, brand = _class_name(), F.regexp_replace("p_brand", "#", "")
+    trace = F.concat(F.lit("at org.app."), name, F.lit("$1.run(X.java:1)\nat org.app.Main.main(Main.java)\nat other.Z.z(Z.java)\nCaused by: org.app.util."), brand, F.lit("Helper$2 met other.pkg.Zed and org.app.SomeTest"))
+    hints = evidence.direct_hints(F.array(F.concat(F.lit("q."), brand, F.lit("Test"))), trace, "org.app")
     return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(hints, ",").alias("hints"))
 
 

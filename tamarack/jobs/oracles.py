@@ -133,6 +133,8 @@ ORACLE_SQL: dict[str, str] = {
     "S06_class_names": f"SELECT {FILE} AS file, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\b(of|de|der|que) ', 'class ', 'g'), '(?:^|[^\\pL\\pN_])(?:class|interface|enum|record)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1))), ',') AS classes FROM documents",
     "S08_package_name": f"SELECT p_partkey, {PACKAGE} AS package FROM part",
     "S09_document_text": f"SELECT doc_id, md5(concat_ws(chr(10), {FILE}, source, lang, coalesce(text, ''))) AS text_md5 FROM documents",
+    "S11_lookup": "SELECT w.doc_id, d.source, d.lang, d.doc_id IS NOT NULL AS found FROM (SELECT DISTINCT user_id * 7 AS doc_id FROM events) w LEFT JOIN documents d ON d.doc_id = w.doc_id",
+    "S21_manifest": f"WITH m AS (SELECT doc_id AS i, 'bugs' AS kind, doc_id AS p FROM documents UNION ALL SELECT doc_id, 'method:' || lang, unnest([doc_id + 1, doc_id * 3]) FROM documents UNION ALL SELECT doc_id, 'selection', doc_id * 2 FROM documents WHERE n_chars > 500) SELECT 'doc/' || lpad(i::VARCHAR, 9, '0') AS dataset, kind, 'doc/' || lpad(p::VARCHAR, 9, '0') AS path, p IN (SELECT doc_id FROM documents) AS exists FROM m",
     "S12_id_ranges": "SELECT l_orderkey, l_linenumber, unnest([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4])::BIGINT AS id FROM lineitem",
     "S13_selected_ids": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "S14_class_file": f"SELECT p_partkey, 'src/' || replace({PACKAGE}, '.', '/') || '/Main.java' AS file FROM part",
@@ -188,7 +190,15 @@ SELECT query_id, file, line::INTEGER AS line, CASE WHEN length(raw) > 220 THEN r
     "A06_output_validity": f"{counters(4)} SELECT count(*) AS records, sum(returned)::BIGINT AS returned, sum(valid)::BIGINT AS valid, sum(invalid)::BIGINT AS invalid, sum(duplicates)::BIGINT AS duplicates, sum(added)::BIGINT AS added FROM whole",
     "A08_key_audit": "SELECT event_type, count(*) AS records, count(*) FILTER (WHERE list_contains(json_keys(props), 'k')) AS with_k, count(*) FILTER (WHERE list_contains(json_keys(props), 'missing')) AS with_missing FROM events GROUP BY ROLLUP (event_type)",
     "R06_locate": f"WITH n AS (SELECT {NAME} AS name, p_partkey % 6 AS f FROM part), files AS (SELECT DISTINCT name, (['src/test/java/a', 'lib/Test', 'src/test/a', 'main', 'zoo', 'test/b'])[f + 1] || '/' || name || '.java' AS file, ([0, 3, 1, 4, 4, 3])[f + 1] AS r FROM n) SELECT 'a.' || name AS class, arg_min(file, (r, file)) AS file FROM files GROUP BY name",
-    "R08_direct_hints": f"WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') AS b, {NAME} AS n FROM part), h AS (SELECT p_partkey, b, CASE WHEN n LIKE '%_Test' THEN left(n, len(n) - 4) WHEN n LIKE '%_Tests' THEN left(n, len(n) - 5) WHEN n LIKE '%_TestCase' THEN left(n, len(n) - 8) WHEN n LIKE 'Test_%' THEN substr(n, 5) ELSE n END AS h FROM n) SELECT p_partkey, array_to_string(list_sort(list_distinct([b, h])), ',') AS hints FROM h",
+    "E05_E07_briefs": f"{BASE}, w AS (SELECT file, source AS package, list_sort(list_distinct(toks)) AS w FROM docs) SELECT query_id, rank, score, file, package, kind, array_to_string(w[1:c], ',') AS classes, array_to_string(w[1:m], ',') AS methods FROM bm JOIN w USING (file), (VALUES ('rerank', 10, 40), ('agent', 8, 20), ('verifier', 10, 35)) k(kind, c, m) WHERE rank <= 15",
+    "E10_windows": f"""{BASE}, a AS (SELECT query_id, CASE WHEN rank = 9 THEN 'doc/none' ELSE file END AS file, greatest(1, rank * 3 - 5) AS s, rank * rank - 2 AS e FROM bm WHERE rank <= 10),
+l AS (SELECT file, {lines("regexp_replace(text, '[.] ', '.' || chr(10), 'g')")} AS l FROM docs),
+b AS (SELECT query_id, a.file, l, len(l) AS n, s, least(greatest(s, e), s + 11) AS e FROM a LEFT JOIN l USING (file)),
+c AS (SELECT query_id, file, l, n, CASE WHEN n = 0 THEN 1 ELSE least(s, n) END::INTEGER AS s, CASE WHEN n = 0 THEN 0 ELSE least(e, n) END::INTEGER AS e FROM b)
+SELECT query_id, file, l IS NOT NULL AS ok, CASE WHEN l IS NULL THEN 'file is not in the candidate pool' END AS error, CASE WHEN l IS NOT NULL THEN s END AS start_line, CASE WHEN l IS NOT NULL THEN e END AS end_line,
+  array_to_string(list_transform(range(s, e + 1), lambda i: i || ': ' || l[i]), chr(10)) AS content FROM c""",
+    "E14_dry_run": f"{BASE.replace('rank <= 50', 'rank <= 20')} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS position, file FROM bm",
+    "R08_direct_hints": f"WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') AS b, {NAME} AS n FROM part), h AS (SELECT p_partkey, b, CASE WHEN n LIKE '%_Test' THEN left(n, len(n) - 4) WHEN n LIKE '%_Tests' THEN left(n, len(n) - 5) WHEN n LIKE '%_TestCase' THEN left(n, len(n) - 8) WHEN n LIKE 'Test_%' THEN substr(n, 5) ELSE n END AS h FROM n) SELECT p_partkey, array_to_string(list_sort(list_distinct([b, h, b || 'Helper', 'Some'])), ',') AS hints FROM h",
     "R12_type_boost": f"WITH {DOCS}, t AS (SELECT file, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM docs), f AS (SELECT file, t, min(i) AS i FROM t WHERE len(t) >= 3 AND t NOT IN ({STOPS}) GROUP BY file, t), k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM f) SELECT file, CASE right(file, 1) WHEN '1' THEN 130.0::DOUBLE WHEN '2' THEN 55.0::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM docs",
     "L05_strong_candidates": f"{BASE} SELECT query_id, count(*) FILTER (WHERE score - 10 > 0) AS n, count(*) FILTER (WHERE score - 10 >= 5 AND rank <= 25) AS n_strong FROM bm GROUP BY query_id",
     "E01_stack_snippet": f"WITH d AS (SELECT {FILE} AS file, {lines("replace(coalesce(text, ''), '. ', '.' || chr(10))")} AS l FROM documents), n AS (SELECT file, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k, lag(i) OVER (PARTITION BY file ORDER BY i) AS p FROM n WHERE i IN (1, 2, 3, 6, 7, 8)) SELECT file, string_agg(CASE WHEN i > p + 1 THEN '...' || chr(10) ELSE '' END || i || ': ' || x, chr(10) ORDER BY i) AS snippet FROM w WHERE k <= 5 GROUP BY file",

@@ -15,6 +15,8 @@ NOISY_HINTS = (
     "InvokeMethod", "JUnit4TestAdapter", "JUnitTask", "JUnitTestRunner", "Launcher", "Main", "Method", "NativeMethodAccessorImpl", "ParentRunner", "Project",
     "ReflectiveCallable", "RunAfters", "RunBefores", "Target", "Task", "UnknownElement",
 )
+#: A dotted name of a class, with parts below it in small letters.
+DOTTED_CLASS = r"\b(?:[a-z_][A-Za-z0-9_]*+\.)++[A-Z][A-Za-z0-9_]*(?:\$[A-Za-z0-9_]+)?"
 MISMATCH_TERMS = ("mismatch", "inconsistent", "required", "found")
 
 
@@ -32,19 +34,20 @@ def locate(files: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def direct_hints(tests: Column, trace: Column, package: str) -> Column:
-    """R08. Classes that tests and the project's frames hint at, each once, in order, without noise.
+    """R08. Classes that tests, the project's frames and its dotted class names in the trace hint at, each once, in order, without noise.
 
-    A test class hints at the class that its name says it tests; a frame's class, unless it is a test, at itself.
+    A test class hints at the class that its name says it tests; a frame's or named class, unless it is a test, at itself.
     """
     tested = F.transform(tests, lambda t: source_hint(simple_name(t)))
 
-    def own(frame: Column) -> Column:
-        name = simple_name(frame["class"])
+    def own(full: Column) -> Column:
+        name = simple_name(full)
         return F.coalesce(source_hint(name), F.when(~name.endswith("Test"), name))
 
-    framed = F.transform(stack_frames(trace, package), own)
+    framed = F.transform(stack_frames(trace, package), lambda frame: own(frame["class"]))
+    named = F.transform(F.filter(F.regexp_extract_all(trace, F.lit(DOTTED_CLASS), F.lit(0)), lambda x: x.startswith(package)), own)
     noise = F.array(*[F.lit(x) for x in NOISY_HINTS])
-    return F.array_sort(F.array_except(F.array_distinct(F.array_compact(F.concat(tested, framed))), noise))
+    return F.array_sort(F.array_except(F.array_distinct(F.array_compact(F.concat(tested, framed, named))), noise))
 
 
 def type_boost(file: Column, class_terms: Column, hints: Column, terms: Column) -> Column:

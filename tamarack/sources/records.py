@@ -1,4 +1,4 @@
-"""Reading and writing of records."""
+"""Reading and writing of records."""
 
 from __future__ import annotations
 
@@ -21,6 +21,38 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_bugs(spark: SparkSession, *paths: str) -> DataFrame:
+    """S11. Rows of CSV files with a header, all columns as text; a bad line fails the job."""
+    return spark.read.option("header", "true").option("mode", "FAILFAST").csv(list(paths))
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, key: str, *, strict: bool = False) -> DataFrame:
+    """S11, S13. The rows of wanted keys, in one join for all of them, and ``found``: false for a key that no row has.
+
+    With ``strict`` a key that no row has fails the job.
+    """
+    out = wanted.select(key).distinct().join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if strict:
+        # The check is part of the column, so that it can't be pruned while the result is read.
+        out = out.withColumn("found", F.when(F.col("found"), True).otherwise(F.raise_error(F.concat(F.col(key).cast("string"), F.lit(" is not listed"))).cast("boolean")))
+    return out
+
+
+def manifest_rows(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """S21. (dataset, kind, path, exists) of every path that a manifest names, repeats included.
+
+    manifest: dataset, bugs array<string>, methods array<struct<name, paths>>, selection array<string>, null where a
+    dataset has none. files: path, such as a listing by ``binaryFile`` without content.
+    """
+    plain = lambda column, kind: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("path")))
+    method = lambda m: F.transform(m["paths"], lambda p: F.struct(F.concat(F.lit("method:"), m["name"]).alias("kind"), p.alias("path")))
+    none = F.array().cast("array<struct<kind:string,path:string>>")
+    every = F.concat(plain(F.col("bugs"), "bugs"), F.coalesce(F.flatten(F.transform("methods", method)), none), plain(F.col("selection"), "selection"))
+    named = manifest.select("dataset", F.inline(every))
+    held = files.select("path").distinct().withColumn("exists", F.lit(True))
+    return named.join(held, "path", "left").select("dataset", "kind", "path", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
 def selected_ids(spark: SparkSession, *paths: str) -> DataFrame:
     """S16. The selected ids of one or more selection reports, each once."""
     return spark.read.option("multiLine", "true").schema("selected_bug_ids array<string>").json(list(paths)).select(F.explode("selected_bug_ids").alias("query_id")).distinct()
