@@ -154,6 +154,8 @@ ORACLE_SQL: dict[str, str] = {
     "R15_reference_retention": retained("", True, 260.0),
     "R16_slot_retention": retained(", 2", False, 700.0),
     "R17_predictions": f"{BASE} SELECT query_id, string_agg(file, ',' ORDER BY rank) AS ranked_files FROM bm WHERE rank <= 10 GROUP BY query_id",
+    "E12_prompts": f"""{BASE}, pool AS (SELECT query_id, list(file ORDER BY rank) AS files FROM bm WHERE rank <= 10 GROUP BY query_id)
+        SELECT query_id, CAST(to_json({{'query': coalesce(text, ''), 'candidates': files, 'top_output': 10}}) AS VARCHAR) AS prompt FROM pool JOIN benchmark ON item_id = query_id""",
     "L10_select": f"{BASE}, {HINTED} SELECT query_id, top1_file, top2_file, score_ratio, first_direct_rank, n_direct, array_to_string(reasons, ',') AS reasons FROM chosen WHERE len(reasons) > 0",
     "L11_selection_summary": f"{BASE}, {HINTED}, r AS (SELECT unnest(list_append(reasons, '*')) AS reason FROM chosen WHERE len(reasons) > 0) SELECT reason, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM asked), 9) AS fraction FROM r GROUP BY reason",
     "E08_search": f"""{BASE}, q AS (SELECT query_id, list_filter(list_distinct(toks), lambda t: len(t) >= 3) AS terms FROM asked),
@@ -173,7 +175,7 @@ SELECT query_id, file, line::INTEGER AS line, CASE WHEN length(raw) > 220 THEN r
     "V01_merge": f"{BOTH}, {HINTED} SELECT query_id, rank, file, 'rerank' AS origin FROM flat WHERE rank <= 10 AND query_id IN (SELECT query_id FROM low) UNION ALL SELECT query_id, rank, file, 'baseline' FROM bm WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM low)",
     "V02_evaluate_predictions": f"{BOTH}, {per('p', 'bm', 50)} SELECT count(*) AS bugs, {', '.join(f'round(avg({HIT(k)}::INTEGER), 9) AS top_{k}_accuracy' for k in (1, 3, 5))}, round(avg(rr), 9) AS mrr FROM p",
     "V03_correct_ranks": f"{BOTH}, {per('p', 'bm', 50)} SELECT query_id, correct_rank, round(rr, 9) AS rr FROM p",
-    "V03_coverage": "SELECT item_id AS query_id, 'missing' AS problem FROM benchmark WHERE item_id % 3 <> 0 AND item_id % 4 = 0 UNION ALL SELECT item_id, 'extra' FROM benchmark WHERE item_id % 3 = 0 AND item_id % 4 <> 0",
+    "V03_coverage": "SELECT item_id AS query_id, 'missing' AS problem FROM (SELECT item_id FROM benchmark EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT item_id FROM benchmark)",
     "V04_V05_distributions": f"{BOTH}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, u AS (SELECT 'bm25' AS method, * FROM p UNION ALL SELECT 'flat', * FROM f) {summary('method')} FROM u GROUP BY method",
     "V06_mcnemar": f"WITH x AS (SELECT l_suppkey AS pair, count(*) FILTER (WHERE l_quantity > 45) AS b, count(*) FILTER (WHERE l_discount < 0.01) AS c FROM lineitem GROUP BY l_suppkey) SELECT pair, b, c, round({mcnemar('b', 'c')}, 9) AS p FROM x",
     "V07_wilcoxon": f"{BOTH}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, d AS (SELECT f.rr - p.rr AS delta FROM p JOIN f USING (query_id)), z AS (SELECT delta, round(abs(delta), 12) AS s FROM d WHERE delta <> 0), r AS (SELECT delta, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS rk FROM z), w AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (WHERE delta > 0), 0)::DOUBLE AS w_plus, coalesce(sum(rk) FILTER (WHERE delta < 0), 0)::DOUBLE AS w_minus FROM r) SELECT n, w_plus, w_minus, CASE WHEN n > 0 THEN round((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE), 9) END AS z FROM w",
