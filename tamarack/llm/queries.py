@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 from .classifier import classify
+from .collocations import collocations
 from .compact_windows import repeated_passages
 from .exact_dedup import exact_groups
 from .minhash import near_groups
@@ -59,6 +60,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), width=4)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,6 +132,34 @@ reach AS (
   SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM documents d JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) ON u = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
+    "op12_collocations": """
+WITH pieces AS (
+  SELECT lang, d, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang HAVING sum(len(w)) > 0),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.m, c.g, c.f AS a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM grams WHERE m > 1) c
+  JOIN grams l ON l.lang = c.lang AND l.g = c.g[1:c.k]
+  JOIN grams r ON r.lang = c.lang AND r.g = c.g[c.k + 1:c.m]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT b.lang, b.g
+  FROM (SELECT lang, m, f, s, e, g[s:e] AS part FROM grams, (SELECT unnest(range(1, 5)) AS s), (SELECT unnest(range(1, 5)) AS e)
+        WHERE m > 2 AND e > s AND e <= m AND e - s + 1 < m) x
+  JOIN best b ON b.lang = x.lang AND b.g = x.part WHERE 100 * x.f >= 80 * b.a),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best WHERE (lang, g) NOT IN (SELECT (lang, g) FROM inside))
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang))
+WHERE rank <= 2000
 """,
     "op9_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
