@@ -10,6 +10,7 @@ from ._common import read
 from .classifier import classify
 from .collocations import collocations
 from .compact_windows import repeated_passages
+from .conversation_repair import repair
 from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import curriculum
@@ -60,6 +61,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), width=4)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(read(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
@@ -75,10 +80,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash": op10_minhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
 }
 
+def _edited(state: str, cost: str, letter: str) -> str:
+    """SQL of a path to ``state`` (12 digits of cost, then its edits) that goes on by one edit."""
+    return f"lpad((substr({state}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || '{letter}'"
+
+
+def _inserted(rows: str) -> str:
+    """SQL of rows (who, i, s0 .. s3) with the paths that insertions open, one or two at a place."""
+    for _ in range(2):
+        user = ", ".join(_edited(s, "5", "Iu") for s in ("s0", "s1", "s3"))
+        rows = f"(SELECT who, i, s0, s1, least(s2, {user}) AS s2, least(s3, {_edited('s2', '5', 'Ia')}) AS s3 FROM {rows})"
+    return rows
+
+
+#: Repair of conversations as a recursion over their rows; a path's letters I and R are followed by the role they give.
+_REPAIR = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS t),
+keyed AS (
+  SELECT coalesce(conv_id::VARCHAR, 'null') AS who, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (
+  SELECT k, xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM (SELECT DISTINCT k FROM keyed), crc),
+changed AS (
+  SELECT who, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed JOIN kinds USING (k) WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY who ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text), copy) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM changed),
+marked AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY who, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY who ORDER BY i), 1) AS before FROM placed),
+counts AS (
+  SELECT who, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY who),
+arcs AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM marked),
+paths AS (
+  SELECT * FROM {_inserted("(SELECT DISTINCT who, 0::BIGINT AS i, '000000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM keyed)")}
+  UNION ALL
+  SELECT * FROM {_inserted(f'''(
+    SELECT p.who, a.i, {_edited("s0", "2", "D")} AS s0,
+           least({_edited("s1", "2", "D")}, CASE WHEN NOT must AND initial = 's' THEN {_edited("s0", "more", "K")} END) AS s1,
+           least({_edited("s2", "2", "D")}, {", ".join(f"CASE WHEN NOT must AND initial = 'u' THEN {_edited(s, 'more', 'K')} END, CASE WHEN NOT must THEN {_edited(s, '1 + more', 'Ru')} END" for s in ("s0", "s1", "s3"))}) AS s2,
+           least({_edited("s3", "2", "D")}, CASE WHEN NOT must AND initial = 'a' THEN {_edited("s2", "more", "K")} END, CASE WHEN NOT must THEN {_edited("s2", "1 + more", "Ra")} END) AS s3
+    FROM paths p JOIN arcs a ON a.who = p.who AND a.i = p.i + 1)''')}),
+best AS (
+  SELECT who, least(s0, s3) AS path FROM paths QUALIFY row_number() OVER (PARTITION BY who ORDER BY i DESC) = 1),
+edits AS (
+  SELECT who, o, e, count(*) FILTER (e[1] <> 'I') OVER (PARTITION BY who ORDER BY o) AS i
+  FROM (SELECT who, unnest(es) AS e, unnest(range(len(es))) AS o FROM (SELECT who, regexp_extract_all(substr(path, 13), '[DK]|[IR][ua]') AS es FROM best))),
+texts AS (
+  SELECT d.who, string_agg(CASE WHEN e = 'K' THEN role WHEN e[2] = 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e[1] = 'I' THEN '' ELSE text END, chr(10) ORDER BY o) AS whole
+  FROM edits d LEFT JOIN arcs a ON a.who = d.who AND a.i = d.i WHERE e <> 'D' GROUP BY d.who)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, substr(path, 1, 12)::BIGINT AS cost, regexp_replace(substr(path, 13), '[ua]', '', 'g') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, 'null') AS who FROM conversations) c JOIN best USING (who) LEFT JOIN counts USING (who) LEFT JOIN texts USING (who)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _REPAIR,
     "op3_mixing": """
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(cast(doc_id AS VARCHAR), '')) AS k,
