@@ -15,6 +15,7 @@ from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import curriculum
 from .packing import pack
+from .pii import personal_data
 from .quality_rules import quality_rules
 from .secret_scan import scan
 from .suffix_dedup import remove_repeats
@@ -69,6 +70,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
+    "op13_personal_data": op13_personal_data,
 }
 
 def _edited(state: str, cost: str, letter: str) -> str:
