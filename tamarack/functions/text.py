@@ -121,19 +121,25 @@ def strip_test_suffix(name: Column) -> Column:
     return out
 
 
+def class_terms(name: Column) -> Column:
+    """T09. A class name in small letters and its camel parts, each once."""
+    return F.array_distinct(F.filter(F.concat(F.array(F.lower(name)), F.transform(split_camel(name), F.lower)), lambda t: t != ""))
+
+
 def source_hint(name: Column) -> Column:
     """T08. The class that a test class is likely to test, up to the first underscore; null where its name says nothing."""
     front = F.when(name.startswith("Test") & (F.char_length(name) > 4), F.substring(name, F.lit(5), F.char_length(name)))
     return F.substring_index(F.coalesce(strip_test_suffix(name), front), "_", 1)
 
 
-def method_window(content: Column, method: Column, context: int = 35) -> Column:
-    """T10. Lines around the first line that names a method and looks like its declaration; empty where none does."""
-    numbered = F.transform(lines(content), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    hits = F.filter(numbered, lambda p: F.contains(p["x"], method) & p["x"].rlike(r"[\w>\]]\s+\w+\s*\("))
+def method_window(content: Column, method: Column, context: int = 35, *, numbered: bool = False) -> Column:
+    """T10. Lines around the first line that names a method and looks like its declaration, numbered if asked; empty where none does."""
+    placed = F.transform(lines(content), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    hits = F.filter(placed, lambda p: F.contains(p["x"], method) & p["x"].rlike(r"[\w>\]]\s+\w+\s*\("))
     at = F.try_element_at(hits, F.lit(1))["i"]
     first = F.greatest(at - context // 3, F.lit(0))
-    return F.when(at.isNull(), F.lit("")).otherwise(F.array_join(F.slice(lines(content), first + 1, at + context - first), "\n"))
+    shown = F.transform(placed, lambda p: F.concat((p["i"] + 1).cast("string"), F.lit(": "), p["x"])) if numbered else lines(content)
+    return F.when(at.isNull(), F.lit("")).otherwise(F.array_join(F.slice(shown, first + 1, at + context - first), "\n"))
 
 
 def relevant_terms(query: Column, most: int = 40) -> Column:
@@ -142,6 +148,15 @@ def relevant_terms(query: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.filter(tokenize(query), lambda t: (F.char_length(t) >= 3) & ~F.array_contains(stops, t))), 1, most)
 
 
+def has_numeric_output_signal(query: Column, terms: Column) -> Column:
+    """T12. Whether a query speaks of a number that was printed wrongly: a negative zero, or a comparison or a code printer with digits."""
+    has = lambda *words: F.arrays_overlap(terms, F.array(*[F.lit(w) for w in words]))
+    both = F.array_contains(terms, "code") & F.array_contains(terms, "printer")
+    printer = (F.array_contains(terms, "codeprinter") | both) & has("expected", "numeric", "number", "keys")
+    comparison = F.contains(F.lower(query), F.lit("comparisonfailure")) & F.array_contains(terms, "expected")
+    return query.rlike(r"(?<![A-Za-z0-9])-0") | (query.rlike(r"(?U)\d") & (printer | comparison))
+
+
 def is_comment_header(line: Column) -> Column:
     """T12. Whether a line is blank or starts like a comment."""
     s = strip(line)

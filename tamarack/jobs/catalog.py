@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
 from tamarack.jobs.oracles import ORACLE_SQL
-from tamarack.operators import bm25, candidates, evaluation, evidence, hybrid, rerank, study
+from tamarack.operators import bm25, candidates, contexts, evaluation, evidence, hybrid, references, rerank, snippets, study
+from tamarack.operators.tables import kept
 from tamarack.sources import code, records
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
@@ -65,12 +66,16 @@ def _per(spark: SparkSession, sf_dir: str, b: float = bm25.B, depth: int = 10) -
     return evaluation.correct_ranks(_ranked(spark, sf_dir, b=b), _truth(spark, sf_dir), _asked(spark, sf_dir), depth=depth)
 
 
-def _with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking with a direct hint where a document holds the query's longest token."""
+def _holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, file, direct): documents that hold the query's longest token."""
     long = lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))
     hints = _asked(spark, sf_dir).select("query_id", F.element_at(F.array_sort(F.array_distinct(T.tokenize(F.col("text"))), long), 1).alias("hint"))
-    holds = bm25.postings(_docs(spark, sf_dir)).select("file", F.col("term").alias("hint")).join(hints, "hint").select("query_id", "file").withColumn("direct", F.lit(True))
-    return _ranked(spark, sf_dir).join(holds, ["query_id", "file"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    return bm25.postings(_docs(spark, sf_dir)).select("file", F.col("term").alias("hint")).join(hints, "hint").select("query_id", "file").withColumn("direct", F.lit(True))
+
+
+def _with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking with a direct hint where a document holds the query's longest token."""
+    return _ranked(spark, sf_dir).join(_holds(spark, sf_dir), ["query_id", "file"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,11 +356,45 @@ def r10(spark, sf_dir):
     return _boosted(spark, sf_dir).select("query_id", "file", "direct_boost", "identifier_boost", F.array_join("reasons", "|").alias("reasons"), "reason")
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources in ASCII: an import, sentences as lines, and words before a comma as calls; file, classes, text.
+
+    The first three capitalised words of seven letters or more are the classes that a document declares, and others are the constructors it calls.
+    """
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(plain, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: w.rlike("^[A-Z][a-z]{6,}$")))
+    calls = F.regexp_replace(F.regexp_replace(plain, ", ", "( "), r"\. ([A-Z][a-z]+)", ".\nnew $1( ")
+    text = F.concat(F.lit("import org.app."), F.coalesce("source", F.lit("none")), F.lit(";\n"), calls)
+    return _read(spark, sf_dir, "documents").select(_file().alias("file"), F.slice(words, 1, 3).alias("classes"), text.alias("text"))
+
+
+def _tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Test classes (the three best files of each query), methods (its longer words), and test sources by path."""
+    classes = kept(_ranked(spark, sf_dir, 3).select("query_id", F.concat(F.lit("org.app.D"), T.base_name(F.col("file"))).alias("class")))
+    methods = _asked(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.filter(T.tokenize(F.col("text")), lambda t: F.char_length(t) >= 8))).alias("method"))
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src/test/java/org/app", "lib/test", "main")]), (F.substring("file", -1, 1).cast("int") % 3 + 1))
+    return classes, methods, _code(spark, sf_dir).select(F.concat(folder, F.lit("/D"), T.base_name(F.col("file")), F.lit(".java")).alias("file"), "text")
+
+
+@_query("R07_test_contexts")
+def r07(spark, sf_dir):
+    return contexts.test_contexts(*_tests(spark, sf_dir), context=9, head=5)
+
+
+@_query("E03_shown_contexts")
+def e03(spark, sf_dir):
+    return contexts.shown_contexts(*_tests(spark, sf_dir), max_chars=2_000)
+
+
 @_query("R13_hybrid_rank")
 def r13(spark, sf_dir):
-    rows = _boosted(spark, sf_dir).withColumn("total", F.round(hybrid.hybrid_total(F.col("score"), F.lit(0.0), F.col("direct_boost"), F.col("identifier_boost")), 6))
+    context = contexts.test_contexts(*_tests(spark, sf_dir), context=9, head=5).select("query_id", F.col("context").alias("text"))
+    boosted = _boosted(spark, sf_dir).drop("reasons", "reason")
+    rows = boosted.join(bm25.scores(context, _docs(spark, sf_dir)).withColumnRenamed("score", "context"), ["query_id", "file"], "full")
+    rows = rows.na.fill(0.0, ["score", "context", "direct_boost", "identifier_boost"])
+    rows = rows.withColumn("total", F.round(hybrid.hybrid_total(F.col("score"), F.col("context"), F.col("direct_boost"), F.col("identifier_boost")), 6))
     order = W.partitionBy("query_id").orderBy(F.col("total").desc(), "file")
-    return rows.select("query_id", "file", "total", F.row_number().over(order).alias("rank")).filter("rank <= 10")
+    return rows.select("query_id", "file", F.round(0.55 * F.col("context"), 6).alias("context"), "total", F.row_number().over(order).alias("rank")).filter("rank <= 10")
 
 
 def _protected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,16 +406,29 @@ def r14(spark, sf_dir):
     return hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected").drop("protected")
 
 
+def _pool(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Every scored document with its rank and, where it holds the query's longest token, a direct reason; and the k best of them."""
+    asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "file")
+    scored = bm25.filled(bm25.scores(asked, docs), asked, docs, DEPTH).withColumn("rank", F.row_number().over(order))
+    reasons = F.when(F.col("direct"), F.array(F.lit("direct_class_hint:"))).otherwise(F.array().cast("array<string>"))
+    ranked = scored.join(_holds(spark, sf_dir), ["query_id", "file"], "left").select("query_id", "rank", "file", F.col("score").alias("total"), reasons.alias("reasons"))
+    ranked = kept(ranked)
+    return ranked.filter(F.col("rank") <= k), ranked
+
+
 @_query("R15_reference_retention")
 def r15(spark, sf_dir):
-    kept = hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected", boost=260.0)
-    return kept.drop("protected").withColumn("total", F.round("total", 6))
+    pool = references.keep_references(*_pool(spark, sf_dir, 10), _code(spark, sf_dir), k=10, top=4)
+    return pool.withColumn("total", F.round("total", 6)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @_query("R16_slot_retention")
 def r16(spark, sf_dir):
-    kept = hybrid.retain(_protected(spark, sf_dir), k=10, protected="protected", cap=2, resort=False, boost=700.0)
-    return kept.select("query_id", F.col("rank").cast("int").alias("rank"), "file", F.round("total", 6).alias("total"))
+    terms = _asked(spark, sf_dir).select("query_id", hybrid.identifier_terms(F.col("text")).alias("terms"))
+    chain = references.Chain(suffix="ing", evidence=None, classes=None, bonuses=((("being", "nothing"), ("that", "with"), 160.0),), most=2)
+    pool = references.keep_chains(*_pool(spark, sf_dir, 10), _code(spark, sf_dir), terms, k=10, chain=chain)
+    return pool.withColumn("total", F.round("total", 6)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @_query("R17_predictions")
@@ -426,6 +478,20 @@ def e05(spark, sf_dir):
     return shown.select("query_id", "rank", "score", "file", "package", F.inline(F.array(*cut)))
 
 
+def _snippet_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ten best files of each query, some with a trace that names the file; some queries speak of numbers, some of buttons."""
+    more = F.element_at(F.array(*[F.lit(x) for x in ("", " ComparisonFailure expected 1", " a Button loading", " -0")]), (F.col("query_id") % 4 + 1).cast("int"))
+    asked = _asked(spark, sf_dir).select("query_id", F.concat("text", more).alias("query"))
+    trace = F.when(F.col("rank") % 4 == 0, F.concat(F.lit("at a.b("), T.base_name(F.col("file")), F.lit(":2)")))
+    pairs = _ranked(spark, sf_dir, 10).select("query_id", "file", trace.alias("trace")).join(asked, "query_id")
+    return kept(pairs), _docs(spark, sf_dir).select("file", F.regexp_replace(F.regexp_replace("text", r"\. ", ".\n"), " the ", " the (").alias("text"))
+
+
+@_query("E02_snippets")
+def e02(spark, sf_dir):
+    return snippets.snippets(*_snippet_pairs(spark, sf_dir), max_lines=12)
+
+
 @_query("E10_windows")
 def e10(spark, sf_dir):
     sources = _docs(spark, sf_dir).select("file", F.regexp_replace("text", r"\. ", ".\n").alias("text"))

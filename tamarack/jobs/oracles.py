@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tamarack.functions.text import STOP_TOKENS
+from tamarack.operators.snippets import GETTER_TERMS, HIGH_SIGNAL_TERMS, NUMERIC_OUTPUT_TERMS, WIDE_CONTEXT_TERMS, WIDEST_CONTEXT_TERMS
 
 
 def tokens(x: str) -> str:
@@ -24,18 +25,18 @@ DOCS = f"docs AS (SELECT {FILE} AS file, source, lang, coalesce(text, '') AS tex
 ASKED = f"asked AS (SELECT item_id AS query_id, coalesce(text, '') AS text, {tokens("coalesce(text, '')")} AS toks FROM benchmark)"
 
 
-def ranked(name: str, b: float, k: int) -> str:
+def ranked(name: str, b: float, k: int, asked: str = "asked") -> str:
     return f"""
 {name}_post AS (SELECT file, len(toks) AS dl, t AS term, count(*) AS tf FROM (SELECT file, toks, unnest(toks) AS t FROM docs) GROUP BY file, dl, t),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_post GROUP BY term),
-{name}_q AS (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS t FROM asked) GROUP BY query_id, t),
+{name}_q AS (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS t FROM {asked}) GROUP BY query_id, t),
 {name}_score AS (
   SELECT query_id, file, round(sum(qtf * (ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl)))), 6) AS score
   FROM {name}_q JOIN {name}_post USING (term) JOIN {name}_df USING (term), (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs) GROUP BY query_id, file),
 {name} AS (
   SELECT * FROM (
     SELECT a.query_id, d.file, coalesce(s.score, 0) AS score, row_number() OVER (PARTITION BY a.query_id ORDER BY coalesce(s.score, 0) DESC, d.file)::INTEGER AS rank
-    FROM asked a CROSS JOIN docs d LEFT JOIN {name}_score s ON s.query_id = a.query_id AND s.file = d.file)
+    FROM {asked} a CROSS JOIN docs d LEFT JOIN {name}_score s ON s.query_id = a.query_id AND s.file = d.file)
   WHERE rank <= {k})"""
 
 
@@ -113,6 +114,79 @@ SELECT query_id, rank, file, round(total, 6) AS total FROM m WHERE rank <= 10 AN
 SELECT m.query_id, slot, file, round(total + {boost}::DOUBLE, 6) FROM m JOIN slots s ON s.query_id = m.query_id AND s.i = m.i_come WHERE enters"""
 
 
+WORDS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+PLAIN = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g')"
+CODE = f"""code AS (
+  SELECT {FILE} AS file, 'import org.app.' || coalesce(source, 'none') || ';' || chr(10) || regexp_replace(replace({PLAIN}, ', ', '( '), '\\. ([A-Z][a-z]+)', '.' || chr(10) || 'new \\1( ', 'g') AS text,
+         list_filter(regexp_extract_all({PLAIN}, '[A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{6,}}$')) AS w FROM documents),
+firsts AS (SELECT file, x AS name, min(i) AS i FROM (SELECT file, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM code) GROUP BY file, x),
+declared AS (SELECT file, name FROM firsts QUALIFY row_number() OVER (PARTITION BY file ORDER BY i) <= 3)"""
+
+
+def tests(context: int, numbered: bool) -> str:
+    line = "i || ': ' || l[i]" if numbered else "l[i]"
+    return f"""{BASE}, {CODE},
+classes AS (SELECT query_id, 'org.app.D' || string_split(file, '/')[-1] AS class, file FROM bm WHERE rank <= 3),
+methods AS (SELECT DISTINCT query_id, unnest(list_filter(toks, lambda t: len(t) >= 8)) AS method FROM asked),
+src AS (SELECT file, {lines('text')} AS l, text, regexp_extract_all(text, '(?m)^\\s*import\\s+((?:[A-Za-z_][A-Za-z0-9_]*[.])+[A-Za-z_][A-Za-z0-9_]*);', 1) AS imports,
+  (['src/test/java/org/app', 'lib/test', 'main'])[right(file, 1)::INTEGER % 3 + 1] || '/D' || string_split(file, '/')[-1] || '.java' AS path FROM code),
+hits AS (SELECT query_id, class, file, method, contains(text, method) AS occurs, l, list_filter(range(1, len(l) + 1), lambda i: contains(l[i], method) AND regexp_matches(l[i], '[A-Za-z0-9_>\\]]\\s+\\w+\\s*\\('))[1] AS spot
+  FROM classes JOIN methods USING (query_id) JOIN src USING (file)),
+cut AS (SELECT query_id, class, method, occurs, CASE WHEN spot IS NULL THEN '' ELSE array_to_string(list_transform(range(greatest(spot - {context // 3}, 1), least(spot + {context}, len(l) + 1)), lambda i: {line}), chr(10)) END AS cutout FROM hits)"""
+
+
+def pooled(hints: str) -> str:
+    """A pool of ten with direct reasons, and found (query_id, file, total, reason): what the hints bring in."""
+    return f"""{BASE}, {HINTED}, {CODE},
+every AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS rank FROM (
+  SELECT query_id, file, score FROM bm_score UNION ALL SELECT query_id, file, 0 FROM asked CROSS JOIN (FROM docs ORDER BY file LIMIT 50) d WHERE NOT EXISTS (FROM bm_score s WHERE s.query_id = asked.query_id AND s.file = d.file))),
+allr AS (SELECT e.query_id, e.file, e.score AS total, e.rank, CASE WHEN h.file IS NULL THEN '' ELSE 'direct_class_hint:' END AS reasons, h.file IS NOT NULL AS prot FROM every e LEFT JOIN holds h USING (query_id, file)),
+pool AS (SELECT * FROM allr WHERE rank <= 10), {hints},
+come AS (SELECT f.query_id, f.file, coalesce(a.total, 0) + boost AS total, concat_ws('|', nullif(a.reasons, ''), reason) AS reasons, row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(a.total, 0) + boost DESC, f.file) AS i
+  FROM found f LEFT JOIN allr a USING (query_id, file) WHERE coalesce(a.rank, 11) > 10),
+leave AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS i FROM pool WHERE NOT prot)"""
+
+
+MENTIONED = f"""named AS (SELECT DISTINCT file, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]{{2,}})', 1)) AS name FROM code),
+mentioned AS (SELECT file, name FROM named n WHERE name IN (SELECT name FROM declared) AND NOT EXISTS (FROM declared d WHERE d.file = n.file AND d.name = n.name)),
+hints AS (SELECT DISTINCT query_id, name FROM pool JOIN mentioned USING (file) WHERE rank <= 4),
+met AS (SELECT query_id, file, list(DISTINCT name ORDER BY name) AS names FROM hints JOIN declared USING (name) GROUP BY query_id, file),
+found AS (SELECT query_id, file, 260.0::DOUBLE AS boost, 'reference_class_hint:' || array_to_string(names[1:4], ',') AS reason FROM met)"""
+CHAINED = f"""built AS (SELECT DISTINCT file, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])new\\s+([A-Z][A-Za-z0-9_]*)\\s*\\(', 1)) AS name FROM code WHERE file IN (SELECT file FROM declared WHERE name LIKE '%ing')),
+mentioned AS (SELECT file, name FROM built n WHERE name IN (SELECT name FROM declared) AND NOT EXISTS (FROM declared d WHERE d.file = n.file AND d.name = n.name)),
+terms AS (SELECT query_id, list_filter(list_distinct(toks), lambda t: len(t) >= 4) AS terms FROM asked),
+hints AS (SELECT query_id, name, list(DISTINCT string_split(file, '/')[-1] ORDER BY string_split(file, '/')[-1]) AS origins,
+    700.0::DOUBLE + max(CASE WHEN lower(name) IN ('being', 'nothing') AND list_has_any(terms, ['that', 'with']) THEN 160.0::DOUBLE ELSE 0 END) AS boost
+  FROM pool JOIN mentioned USING (file) JOIN terms USING (query_id) WHERE len(terms) > 0 AND (list_contains(terms, lower(name)) OR lower(name) IN ('pass', 'peephole')) GROUP BY query_id, name),
+met AS (SELECT query_id, d.file, list('pass_chain_hint:' || array_to_string(origins[1:3], ',') || '->' || name ORDER BY name) AS told, max(boost) AS boost FROM hints JOIN declared d USING (name) GROUP BY query_id, d.file),
+found AS (SELECT query_id, file, boost, array_to_string(told[1:4], '|') AS reason FROM met)"""
+SNIPPETS = f"""{BASE},
+asks AS (SELECT query_id, query, {tokens("query")} AS toks FROM (SELECT query_id, text || (['', ' ComparisonFailure expected 1', ' a Button loading', ' -0'])[query_id % 4 + 1] AS query FROM asked)),
+t AS (SELECT query_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM asks), u AS (SELECT query_id, t, min(i) AS i FROM t WHERE len(t) >= 3 AND t NOT IN ({STOPS}) GROUP BY query_id, t),
+k AS (SELECT query_id, list(t ORDER BY i) AS lead_ FROM (FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 40) GROUP BY query_id),
+q AS (SELECT a.query_id, CASE WHEN regexp_matches(query, '(?:^|[^A-Za-z0-9])-0') OR (regexp_matches(query, '\\d') AND (
+    ((list_contains(s, 'codeprinter') OR (list_contains(s, 'code') AND list_contains(s, 'printer'))) AND list_has_any(s, ['expected', 'numeric', 'number', 'keys'])) OR (contains(lower(query), 'comparisonfailure') AND list_contains(s, 'expected'))))
+    THEN list_concat(s, {WORDS(NUMERIC_OUTPUT_TERMS)}) ELSE s END AS terms FROM asks a, LATERAL (SELECT coalesce((SELECT lead_ FROM k WHERE k.query_id = a.query_id), []) AS s)),
+d AS (SELECT file, {lines("replace(replace(text, '. ', '.' || chr(10)), ' the ', ' the (')")} AS l FROM docs WHERE file IN (SELECT file FROM bm WHERE rank <= 10)),
+n AS (SELECT file, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) AS spot FROM d), o AS (SELECT *, list_distinct({tokens('line')}) AS own, regexp_matches({strip('line')}, '^(\\*|/\\*|//)') OR {strip('line')} = '' AS comment FROM n),
+m AS (SELECT query_id, file, n, spot, line, own, terms, comment, list_intersect(own, list_distinct(terms)) AS hit FROM bm JOIN q USING (query_id) JOIN o USING (file) WHERE rank <= 10),
+s AS (SELECT *, len(hit) + 3.0::DOUBLE * len(list_intersect(hit, {WORDS(HIGH_SIGNAL_TERMS)})) + CASE WHEN list_has_any(terms, {WORDS(GETTER_TERMS)}) THEN 6.0 * len(list_intersect(own, {WORDS(GETTER_TERMS)})) ELSE 0 END
+    + CASE WHEN list_contains(terms, 'button') AND regexp_matches(line, '<\\s*[bB]utton\\b') THEN 14 ELSE 0 END
+    + CASE WHEN list_has_any(terms, ['loading', 'isloading', 'ispending', 'issubmitting']) AND regexp_matches(line, '\\bis(?:Loading|Pending|Submitting)\\b') THEN 6 ELSE 0 END
+    + CASE WHEN list_has_any(terms, ['currency', 'usd', 'eur', 'euro']) AND regexp_matches(line, '\\bcurrency\\s*:|\\b(?:USD|EUR)\\b') THEN 10 ELSE 0 END
+    + CASE WHEN list_contains(terms, 'confirm') AND regexp_matches(lower(line), 'confirm|continue|create invoice|yes, i confirm') THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(line, '\\b(?:class|interface|enum|record)\\s+[A-Za-z_][A-Za-z0-9_]*') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '[A-Za-z_][A-Za-z0-9_]*\\s*\\(') THEN 0.5::DOUBLE ELSE 0 END AS score,
+    CASE WHEN list_has_any(terms, {WORDS(WIDEST_CONTEXT_TERMS)}) THEN 8 WHEN list_has_any(terms, {WORDS(WIDE_CONTEXT_TERMS)}) THEN 4 ELSE 1 END AS wide
+  FROM m WHERE len(hit) > 0 AND NOT (comment AND NOT list_has_any(hit, {WORDS(HIGH_SIGNAL_TERMS)}))),
+r AS (SELECT query_id, file, n, spot, wide, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, spot) AS nth FROM s),
+e AS (SELECT query_id, file, n, nth, step, spot + CASE WHEN step <= wide THEN step ELSE wide - step END AS spot FROM (SELECT *, unnest(range(0, 2 * wide + 1)) AS step FROM r)),
+f AS (SELECT query_id, file, spot, min((nth, step)) AS first FROM e WHERE spot BETWEEN 1 AND n GROUP BY query_id, file, spot),
+c AS (SELECT query_id, file, f.spot, line, lag(f.spot) OVER (PARTITION BY query_id, file ORDER BY f.spot) AS before FROM (FROM f QUALIFY row_number() OVER (PARTITION BY query_id, file ORDER BY first) <= 12) f JOIN n USING (file, spot)),
+x AS (SELECT query_id, file, string_agg(CASE WHEN spot > before + 1 THEN '...' || chr(10) ELSE '' END || spot || ': ' || line, chr(10) ORDER BY spot) AS found FROM c GROUP BY query_id, file)
+SELECT query_id, b.file, CASE WHEN b.rank % 4 = 0 AND len(l) > 0 THEN array_to_string(list_transform(range(1, least(len(l), 7) + 1), lambda i: i || ': ' || l[i]), chr(10)) ELSE coalesce(found, array_to_string(l[1:12], chr(10))) END AS snippet
+FROM bm b JOIN d USING (file) LEFT JOIN x USING (query_id, file) WHERE b.rank <= 10"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "T01_tokenize": f"SELECT {FILE} AS file, len({tokens(JOINED)}) AS n_tokens, md5(array_to_string({tokens(JOINED)}, ' ')) AS tokens_md5 FROM documents",
     "T02_split_camel": f"SELECT {FILE} AS file, len({CAMEL}) AS n_parts, md5(array_to_string({CAMEL}, ' ')) AS parts_md5 FROM documents",
@@ -149,10 +223,37 @@ ORACLE_SQL: dict[str, str] = {
     "R04_scores": f"{BASE} SELECT query_id, file, score FROM bm_score",
     "R09_identifier_terms": f"WITH {ASKED}, t AS (SELECT query_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM asked), f AS (SELECT query_id, t, min(i) AS i FROM t WHERE len(t) >= 4 GROUP BY query_id, t) SELECT a.query_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS terms FROM asked a LEFT JOIN f ON f.query_id = a.query_id GROUP BY a.query_id",
     "R10_R11_boosts": f"{BOOSTED} SELECT query_id, file, 90.0::DOUBLE * len(hits) AS direct_boost, least(32.0, 4.0 * len(both_))::DOUBLE AS identifier_boost, array_to_string(list_transform(hits, lambda h: 'direct_class_hint:' || h), '|') AS reasons, CASE WHEN len(both_) > 0 THEN 'identifier_overlap:' || array_to_string(both_, ',') END AS reason FROM boosted",
-    "R13_hybrid_rank": f"{BOOSTED}, t AS (SELECT query_id, file, round(score + 90.0::DOUBLE * len(hits) + least(32.0, 4.0 * len(both_))::DOUBLE, 6) AS total FROM boosted), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, file)::INTEGER AS rank FROM t) SELECT * FROM r WHERE rank <= 10",
+    "R07_test_contexts": f"""{tests(9, False)},
+w AS (SELECT query_id, class, bool_or(occurs) AS occurs, list(cutout ORDER BY method) FILTER (WHERE cutout <> '') AS parts FROM cut GROUP BY query_id, class),
+told AS (SELECT query_id, class, array_to_string(list_filter(list_concat([array_to_string(imports, chr(10))], coalesce(parts, []), CASE WHEN coalesce(occurs, false) THEN [] ELSE [array_to_string(l[1:5], chr(10))] END), lambda p: p <> ''), chr(10)) AS told
+  FROM classes JOIN src USING (file) LEFT JOIN w USING (query_id, class))
+SELECT query_id, string_agg(told, chr(10) ORDER BY class) AS context FROM told GROUP BY query_id""",
+    "E03_shown_contexts": f"""{tests(44, True)},
+w AS (SELECT query_id, class, string_agg('method: ' || method || chr(10) || cutout, chr(10) || chr(10) ORDER BY method) AS parts FROM cut WHERE cutout <> '' GROUP BY query_id, class),
+told AS (SELECT query_id, class, concat_ws(chr(10), 'file: ' || path, 'class: ' || class, CASE WHEN len(imports) > 0 THEN 'imports:' || chr(10) || array_to_string(imports[1:30], chr(10)) END, 'snippets:' || chr(10) || parts) AS told
+  FROM classes JOIN src USING (file) LEFT JOIN w USING (query_id, class)),
+a AS (SELECT query_id, string_agg(told, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY class) AS a FROM told GROUP BY query_id)
+SELECT query_id, CASE WHEN length(a) <= 2000 THEN a ELSE left(a, 2000) || chr(10) || '...[truncated]' END AS context FROM a""",
+    "R13_hybrid_rank": f"""{tests(9, False)},
+w AS (SELECT query_id, class, bool_or(occurs) AS occurs, list(cutout ORDER BY method) FILTER (WHERE cutout <> '') AS parts FROM cut GROUP BY query_id, class),
+told AS (SELECT query_id, class, array_to_string(list_filter(list_concat([array_to_string(imports, chr(10))], coalesce(parts, []), CASE WHEN coalesce(occurs, false) THEN [] ELSE [array_to_string(l[1:5], chr(10))] END), lambda p: p <> ''), chr(10)) AS told
+  FROM classes JOIN src USING (file) LEFT JOIN w USING (query_id, class)),
+around AS (SELECT query_id, {tokens('c')} AS toks FROM (SELECT query_id, string_agg(told, chr(10) ORDER BY class) AS c FROM told GROUP BY query_id)), {ranked('cx', 0.75, 50, 'around')},
+{BOOSTED[len(BASE) + 2:]},
+z AS (SELECT query_id, file, coalesce(b.score, 0) + 0.55::DOUBLE * coalesce(c.score, 0) + coalesce(90.0::DOUBLE * len(hits) + least(32.0, 4.0 * len(both_))::DOUBLE, 0) AS total, round(0.55::DOUBLE * coalesce(c.score, 0), 6) AS context FROM boosted b FULL JOIN cx_score c USING (query_id, file)),
+r AS (SELECT query_id, file, context, round(total, 6) AS total, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 6) DESC, file)::INTEGER AS rank FROM z)
+SELECT * FROM r WHERE rank <= 10""",
     "R14_retention": retained("", True, 0.0),
-    "R15_reference_retention": retained("", True, 260.0),
-    "R16_slot_retention": retained(", 2", False, 700.0),
+    "R15_reference_retention": f"""{pooled(MENTIONED)},
+m AS (SELECT a.query_id, least(coalesce(n, 0), coalesce(c, 0)) AS m FROM (SELECT DISTINCT query_id FROM pool) a LEFT JOIN (SELECT query_id, count(*) AS n FROM leave GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS c FROM come GROUP BY query_id) USING (query_id)),
+kept AS (SELECT query_id, file, total, reasons FROM pool p WHERE NOT EXISTS (FROM leave l JOIN m ON m.query_id = l.query_id WHERE l.query_id = p.query_id AND l.rank = p.rank AND l.i <= m) UNION ALL SELECT query_id, file, total, reasons FROM come JOIN m USING (query_id) WHERE i <= m)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, file)::INTEGER AS rank, file, round(total, 6) AS total, reasons FROM kept""",
+    "R16_slot_retention": f"""{pooled(CHAINED)},
+m AS (SELECT a.query_id, least(coalesce(n, 0), coalesce(c, 0), 2) AS m FROM (SELECT DISTINCT query_id FROM pool) a LEFT JOIN (SELECT query_id, count(*) AS n FROM leave GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS c FROM come GROUP BY query_id) USING (query_id)),
+slots AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM leave JOIN m USING (query_id) WHERE i <= m)
+SELECT query_id, rank::INTEGER AS rank, file, round(total, 6) AS total, reasons FROM pool p WHERE NOT EXISTS (FROM slots s WHERE s.query_id = p.query_id AND s.rank = p.rank)
+UNION ALL SELECT query_id, s.rank::INTEGER, file, round(total, 6), reasons FROM come c JOIN slots s USING (query_id, i)""",
+    "E02_snippets": SNIPPETS,
     "R17_predictions": f"{BASE} SELECT query_id, string_agg(file, ',' ORDER BY rank) AS ranked_files FROM bm WHERE rank <= 10 GROUP BY query_id",
     "E12_prompts": f"""{BASE}, pool AS (SELECT query_id, list(file ORDER BY rank) AS files FROM bm WHERE rank <= 10 GROUP BY query_id)
         SELECT query_id, CAST(to_json({{'query': coalesce(text, ''), 'candidates': files, 'top_output': 10}}) AS VARCHAR) AS prompt FROM pool JOIN benchmark ON item_id = query_id""",
