@@ -101,7 +101,7 @@ def corpus(rng, n):
     names = [f"{a}{b}" for a in ("Fold", "Inline", "Check", "Peephole", "Alias", "Tree") for b in ("Pass", "Variables", "Node", "PassConfig")]
     out = {}
     for k in range(n):
-        own = rng.sample(names, rng.choice([0, 1, 2]))
+        own = rng.sample(names, rng.choice([0, 1, 2, 3]))
         body = " ".join(rng.choice([f"new {rng.choice(names)}(", rng.choice(names), "Ab", "return x"]) for _ in range(rng.randint(2, 12)))
         out[f"d/F{k:02d}.v.java"] = (own, body)
     return out
@@ -109,9 +109,9 @@ def corpus(rng, n):
 
 def test_references_and_chains_against_a_loop(spark):
     rng = random.Random(9)
-    files, k = corpus(rng, 40), 6
+    files, k = corpus(rng, 40), 10
     declared = {n for own, _ in files.values() for n in own}
-    terms = {1: ["fold", "optimization", "check"], 2: ["tree"], 3: ["inline", "late"], 4: []}
+    terms = {1: ["fold", "optimization", "check"], 2: ["tree"], 3: ["inline", "late"], 4: [], 5: ["check"], 6: ["optimization", "peephole"]}
     ranked = {}
     for q in terms:
         order = rng.sample(sorted(files), 30)  # the other ten have no score
