@@ -208,11 +208,11 @@ class Tiles:
 
 
 def _counted(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_keys(first, second), first, second, n)], ["key", "first", "second", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (first, second, n)], ["first", "second", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, first, second, n): partial counts of the neighbouring values of a task's rows."""
+    """(first, second, n): partial counts of the neighbouring values of a task's rows."""
     tiles, held, size = Tiles(), [], 0
     for batch in batches:
         values, ends = _lists(batch.column(0))
@@ -236,6 +236,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tiles.give()
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, second = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "second"))
+        yield batch.append_column("key", pa.array(pair_keys(first, second)))
+
+
 def _valued(names: Names):
     """Rows (key ...) with the value of their key."""
 
@@ -269,8 +275,9 @@ def phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, head
     keys = F.transform(tokens(F.col("text")), lambda w: F.when(_separates(w), F.lit(DEAD)).otherwise(_name(F.col("lang"), w, seed)))
     values = stage(docs.select(keys.alias("keys")).mapInArrow(_first_values(names), "values array<bigint>"), "values1")
     for size in range(2, longest + 1):
-        counts = values.mapInArrow(_count, "key long, first long, second long, n long").groupBy("key", "first", "second").agg(F.sum("n").alias("n"))
-        frequent = stage(counts.filter(F.col("n") >= least), "frequent")
+        # Keys follow from pairs: only pairs are shuffled.
+        counts = values.mapInArrow(_count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+        frequent = stage(counts.filter(F.col("n") >= least).mapInArrow(_keyed, "first long, second long, n long, key long"), "frequent")
         names = name_level(frequent, head, tail_bits)
         before = levels[-1]
         left = before.select(F.col("value").alias("first"), "lang", F.col("phrase").alias("front"), "heads")
