@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamarack.functions.arrays import let, running
+
 # Fixed values.
 NOISY_PREFIXES = ("java.", "java.base/", "jdk.", "jdk.internal.", "org.junit.", "junit.framework.", "org.apache.tools.ant.")
 STOP_TOKENS = (
@@ -68,22 +70,26 @@ def runtime_context(trace: Column) -> Column:
 def compact_trace(trace: Column, most: int = 3, max_chars: int = 60_000) -> Column:
     """T04. At most ``most`` equal frames in a row, then a note of how many were left out; cut to ``max_chars`` with a note.
 
-    A fold over the lines keeps the line before, how often it has come, and the lines so far.
+    A line that is no frame, or not like the one before, begins a run; a running maximum tells each line where its run began.
     """
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
-    def noted(acc: Column) -> Column:
-        text = F.concat(F.lit("\t... repeated identical frame omitted "), (acc["n"] - most).cast("string"), F.lit(" time(s)"))
-        return F.when(acc["n"] > most, F.concat(acc["out"], F.array(text))).otherwise(acc["out"])
+    def told(all_: Column, starts: Column) -> Column:
+        def shown(line: Column, i: Column) -> Column:
+            nth = i - F.element_at(starts, i + 1) + 1
+            ends = ~F.coalesce(F.try_element_at(starts, i + 2) == F.element_at(starts, i + 1), F.lit(False))
+            note = F.concat(F.lit("\t... repeated identical frame omitted "), (nth - most).cast("string"), F.lit(" time(s)"))
+            return F.when(nth <= most, F.array(line)).when(ends, F.array(note)).otherwise(F.array().cast("array<string>"))
+
+        return F.array_join(F.flatten(F.transform(all_, shown)), "\n")
 
-    def step(acc: Column, line: Column) -> Column:
-        again = strip(line).startswith("at ") & line.eqNullSafe(acc["last"])
-        n = F.when(again, acc["n"] + 1).otherwise(F.lit(1))
-        out = F.when(again & (n > most), acc["out"]).when(again, F.concat(acc["out"], F.array(line))).otherwise(F.concat(noted(acc), F.array(line)))
-        return F.struct(line.alias("last"), n.alias("n"), out.alias("out"))
+    def runs(all_: Column) -> Column:
+        again = lambda line, i: strip(line).startswith("at ") & line.eqNullSafe(F.try_element_at(all_, i)) & (i > 0)
+        begins = F.transform(all_, lambda line, i: F.when((i > 0) & again(line, F.greatest(i, F.lit(1))), 0).otherwise(i))
+        return running(begins, F.lit(0), lambda a, b: F.greatest(a, b))
 
-    joined = F.aggregate(lines(trace), start, step, lambda acc: F.array_join(noted(acc), "\n"))
-    return F.when(F.char_length(joined) <= max_chars, joined).otherwise(F.concat(F.substring(joined, 1, max_chars), F.lit("\n...[stack trace truncated]")))
+    joined = let(lines(trace), lambda all_: let(runs(all_), lambda starts: told(all_, starts)))
+    cut = lambda x: F.when(F.char_length(x) <= max_chars, x).otherwise(F.concat(F.substring(x, 1, max_chars), F.lit("\n...[stack trace truncated]")))
+    return let(joined, cut)
 
 
 def focused_trace(trace: Column, wanted: Column) -> Column:

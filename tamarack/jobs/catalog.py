@@ -672,8 +672,8 @@ def l05(spark, sf_dir):
 
 @_query("L06_rule_signals")
 def l06(spark, sf_dir):
-    rules = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.slice(F.array_distinct(T.tokenize(F.col("text"))), 1, 8).alias("t"))
-    rules = rules.select("rule", F.posexplode("t").alias("i", "term")).select("rule", (F.col("i") % 2).alias("part"), "term", F.lit(2).alias("least"))
+    rules = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rule"), F.posexplode(F.array_distinct(T.tokenize(F.col("text")))).alias("i", "term"))
+    rules = rules.select("rule", (F.col("i") % 3).alias("part"), "term", F.lit(4).alias("least"))
     tokens = bm25.postings(_docs(spark, sf_dir)).select(F.col("file").alias("id"), "term")
     return evidence.rule_signals(tokens, rules)
 

@@ -304,6 +304,10 @@ SELECT query_id, file, l IS NOT NULL AS ok, CASE WHEN l IS NULL THEN 'file is no
     "R08_direct_hints": f"WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') AS b, {NAME} AS n FROM part), h AS (SELECT p_partkey, b, CASE WHEN n LIKE '%_Test' THEN left(n, len(n) - 4) WHEN n LIKE '%_Tests' THEN left(n, len(n) - 5) WHEN n LIKE '%_TestCase' THEN left(n, len(n) - 8) WHEN n LIKE 'Test_%' THEN substr(n, 5) ELSE n END AS h FROM n) SELECT p_partkey, array_to_string(list_sort(list_distinct([b, h, b || 'Helper', 'Some'])), ',') AS hints FROM h",
     "R12_type_boost": f"WITH {DOCS}, t AS (SELECT file, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM docs), f AS (SELECT file, t, min(i) AS i FROM t WHERE len(t) >= 3 AND t NOT IN ({STOPS}) GROUP BY file, t), k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k FROM f) SELECT file, CASE right(file, 1) WHEN '1' THEN 130.0::DOUBLE WHEN '2' THEN 55.0::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM docs",
     "L05_strong_candidates": f"{BASE} SELECT query_id, count(*) FILTER (WHERE score - 10 > 0) AS n, count(*) FILTER (WHERE score - 10 >= 5 AND rank <= 25) AS n_strong FROM bm GROUP BY query_id",
+    "L06_rule_signals": f"""WITH {DOCS}, {ASKED}, t AS (SELECT query_id AS rule, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM asked),
+f AS (SELECT rule, term, row_number() OVER (PARTITION BY rule ORDER BY min(i)) - 1 AS k FROM t GROUP BY rule, term), parts AS (SELECT rule, count(DISTINCT k % 3) AS parts FROM f GROUP BY rule),
+h AS (SELECT file AS id, rule, k % 3 AS part FROM (SELECT DISTINCT file, unnest(toks) AS term FROM docs) JOIN f USING (term) GROUP BY file, rule, part HAVING count(*) >= 4),
+m AS (SELECT id, rule, count(*) AS n FROM h GROUP BY id, rule) SELECT id, rule FROM m JOIN parts USING (rule) WHERE n = parts""",
     "E01_stack_snippet": f"WITH d AS (SELECT {FILE} AS file, {lines("replace(coalesce(text, ''), '. ', '.' || chr(10))")} AS l FROM documents), n AS (SELECT file, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k, lag(i) OVER (PARTITION BY file ORDER BY i) AS p FROM n WHERE i IN (1, 2, 3, 6, 7, 8)) SELECT file, string_agg(CASE WHEN i > p + 1 THEN '...' || chr(10) ELSE '' END || i || ': ' || x, chr(10) ORDER BY i) AS snippet FROM w WHERE k <= 5 GROUP BY file",
     "E16_usage_add": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS k, event_id AS calls FROM events",
 }

@@ -21,11 +21,12 @@ SKIPPED_FOLDERS = (
 )
 SKIPPED_NAMES = r"^test_|^tests\.py$|^conftest\.py$|_test\.py$|\.test\.tsx?$|\.spec\.tsx?$|\.d\.ts$|\.min\.js$"
 CLASS = r"(?U)\b(?:class|interface|enum|record)\s+([A-Za-z_][A-Za-z0-9_]*)"
-PY_CLASS = r"(?mU)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)"
-PY_FUNCTION = r"(?mU)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+PY_CLASS = r"(?mU)^[^\S\n]*+class\s+([A-Za-z_][A-Za-z0-9_]*)"
+PY_FUNCTION = r"(?mU)^[^\S\n]*+(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
 JS_FUNCTION = r"(?U)\b(?:function\s+|const\s+|let\s+|var\s+|async\s+function\s+)([A-Za-z_][A-Za-z0-9_]*)\s*(?:=|\()"
-#: White space is taken run by run and modifiers are counted, so that long runs of either make no deep recursion; a match may begin at any modifier.
-METHOD = r"(?U)\b(?:public|protected|private|static|final|synchronized|abstract|native|\s++){1,64}[A-Za-z_][A-Za-z0-9_<>\[\], ?]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+MODIFIERS = "public|protected|private|static|final|synchronized|abstract|native"
+#: Characters of a type and what stands around it.
+TYPE = r"A-Za-z0-9_<>\[\], ?"
 PACKAGE = r"(?mU)^\s*package\s+([A-Za-z_][A-Za-z0-9_.]*);"
 
 
@@ -43,10 +44,35 @@ def class_names(path: Column, content: Column) -> Column:
     return F.array_sort(F.array_distinct(F.when(path.endswith(".py"), _names(content, PY_CLASS)).otherwise(_names(content, CLASS))))
 
 
+def declared_methods(content: Column) -> Column:
+    """S07. Names before a parenthesis, behind white space, a type, and a modifier or white space that a word ends at; in order.
+
+    A type holds no parenthesis, so each piece between two of them is looked at for itself, from its end: the name, then the run of characters
+    of types before it, then the white space and the one character before that. Nothing is read twice, whatever the length of a line.
+    """
+    ends = lambda text, tail: F.substring(text, F.lit(1), F.char_length(text) - F.char_length(tail))
+
+    def declares(head: Column, types: Column) -> Column:
+        rest = ends(head, types)
+        space = F.regexp_extract(rest, r"(?U)(?<!\s)\s++\z", 0)
+        near = F.concat(F.substring(ends(rest, space), -1, 1), space, types)
+        # Behind a start that fits, all is of the type's characters, so the first one decides.
+        return near.rlike(rf"(?U)\b(?:{MODIFIERS}|\s++){{1,64}}[A-Za-z_][{TYPE}]*+\z")
+
+    def name(piece: Column) -> Column:
+        tail = F.regexp_extract(piece, r"(?U)(?<!\s)\s++[A-Za-z_][A-Za-z0-9_]*+\s*+\z", 0)
+        head = ends(piece, tail)
+        found = declares(head, F.regexp_extract(head, rf"(?<![{TYPE}])[{TYPE}]*+\z", 0))
+        return F.when((tail != "") & found, strip(tail))
+
+    pieces = F.split(content, r"\(", -1)
+    return F.array_compact(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), name))
+
+
 def method_names(path: Column, content: Column) -> Column:
     """S07. Names of the methods and functions that a file declares, each once, in order."""
     script = path.rlike(r"\.(ts|tsx|js|jsx)$")
-    found = F.when(path.endswith(".py"), _names(content, PY_FUNCTION)).when(script, F.concat(_names(content, METHOD), _names(content, JS_FUNCTION))).otherwise(_names(content, METHOD))
+    found = F.when(path.endswith(".py"), _names(content, PY_FUNCTION)).when(script, F.concat(declared_methods(content), _names(content, JS_FUNCTION))).otherwise(declared_methods(content))
     return F.array_sort(F.array_distinct(found))
 
 

@@ -6,15 +6,15 @@ from tamarack.sources import records
 
 
 def window(text, start, end, most):
+    """The lines whose numbers lie in the range that is asked for, from its first one on; a range behind the file is its last line."""
     if text is None:
         return False, None, None, None
-    held = text.splitlines()
-    if not held:
+    numbered = list(enumerate(text.splitlines(), 1))
+    if not numbered:
         return True, 1, 0, ""
-    start = max(1, start)
-    end = min(max(start, end), start + most - 1)
-    start, end = min(start, len(held)), min(end, len(held))
-    return True, start, end, "\n".join(f"{i}: {held[i - 1]}" for i in range(start, end + 1))
+    asked = range(max(1, start), max(max(1, start), end) + 1)[:most]
+    inside = [(i, x) for i, x in numbered if i in asked] or numbered[-1:]
+    return True, inside[0][0], inside[-1][0], "\n".join(f"{i}: {x}" for i, x in inside)
 
 
 def test_windows_against_a_loop(spark):

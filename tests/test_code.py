@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 import re
 import tempfile
 import time
@@ -32,14 +33,11 @@ def test_checksums_stream_through_batches(spark):
     assert code.checksum(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
-def walk(value):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield k
-            yield from walk(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from walk(v)
+def keys_of(text):
+    """Keys that the parser itself hands over, object by object."""
+    seen = set()
+    json.loads(text, object_pairs_hook=lambda pairs: seen.update(k for k, _ in pairs))
+    return seen
 
 
 def test_json_keys_are_those_of_the_parsed_value(spark):
@@ -51,7 +49,7 @@ def test_json_keys_are_those_of_the_parsed_value(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.json_keys(F.col("t")).alias("k")).collect()
     assert time.perf_counter() - began < 30
     for r in got:
-        assert sorted(r.k) == sorted(set(walk(json.loads(texts[r.i]))))
+        assert sorted(r.k) == sorted(keys_of(texts[r.i]))
 
 
 def test_method_names_on_plain_and_on_long_lines(spark):
@@ -68,6 +66,33 @@ def test_method_names_on_plain_and_on_long_lines(spark):
         assert r.m == sorted(set(plain.findall(texts[r.i]))) if r.i < 6 else len(r.m) == 1
 
 
+#: A modifier or a blank at a time, in a loop that backtracks.
+PLAIN = re.compile(r"\b(?:public|protected|private|static|final|synchronized|abstract|native|\s)+[A-Za-z_][A-Za-z0-9_<>\[\], ?]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+
+
+def test_method_names_of_random_sources(spark):
+    """Pieces of sources in any order, with tabs, line ends, glued modifiers, digits and signs between them."""
+    rng = random.Random(12)
+    parts = ["public", "static", "privatefoo", "int", "Map<K, V>", "T[]", "?", "run", "a1", "9x", "_z", "(", ")", ";", "{", ",", ".", "é", " ", "  ", "\t", "\n", "\n    ", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(1500)] + ["", "(", "a (", " a(", "é a(", "x a(", "x\na(", "publica b(", "x  y\tz ("]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", code.declared_methods(F.col("t")).alias("m")).collect()
+    for r in got:
+        assert r.m == PLAIN.findall(texts[r.i]), texts[r.i]
+
+
+def test_long_lines_take_linear_time(spark):
+    """Five million characters of words, with and without a parenthesis at their end, of blanks, of modifiers, and of blank lines."""
+    words = "lorem ipsum dolor " * 60_000
+    texts = [words, words + "last (", "x" + " " * 1_000_000 + "y(", "static " * 150_000 + "int f(", "\n" * 1_000_000 + "class A", "a b(" * 250_000]
+    began = time.perf_counter()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    java = {r.i: r.m for r in df.select("i", code.method_names(F.lit("a.java"), F.col("t")).alias("m")).collect()}
+    py = df.select("i", code.class_names(F.lit("a.py"), F.col("t")).alias("c"), code.method_names(F.lit("a.py"), F.col("t")).alias("m")).collect()
+    assert java == {0: [], 1: ["last"], 2: [], 3: ["f"], 4: [], 5: []}
+    assert {r.i: r.c for r in py if r.c} == {4: ["A"]} and not any(r.m for r in py)
+    assert time.perf_counter() - began < 60
+
+
 def test_ranges(spark):
     one = lambda t: spark.createDataFrame([(t,)], "t string").select(code.id_ranges(F.col("t")).alias("x")).first().x
     assert one("1, 3-5,3,") == [1, 3, 4, 5, 3] and one("") == []

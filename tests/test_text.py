@@ -1,4 +1,7 @@
+import random
 import re
+import time
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
@@ -43,6 +46,31 @@ def test_compact_trace(spark):
     assert one(spark, T.compact_trace(F.col("t"), max_chars=1), t="abc") == "a\n...[stack trace truncated]"
 
 
+def compacted(rows, most):
+    out = []
+    for line, run in groupby(enumerate(rows), key=lambda x: (x[1], None if x[1].strip().startswith("at ") else x[0])):
+        n = len(list(run))
+        out += [line[0]] * min(n, most) + ([f"\t... repeated identical frame omitted {n - most} time(s)"] if n > most else [])
+    return "\n".join(out)
+
+
+def test_compact_traces_against_runs(spark):
+    rng = random.Random(7)
+    traces = [[rng.choice(["at a.B.c(D)", "  at a.B.c(D)", "at x.y(z)", "why", "", "--- t::u"]) for _ in range(rng.randint(1, 900)) for _ in range(rng.choice([1, 1, 2, 6]))] for _ in range(20)]
+    df = spark.createDataFrame([(k, "\n".join(t) + "\n") for k, t in enumerate(traces)], "k int, t string")
+    for r in df.select("k", T.compact_trace(F.col("t"), max_chars=10**7).alias("x")).collect():
+        assert r.x == compacted(traces[r.k], 3)
+
+
+def test_long_traces_take_linear_time(spark):
+    """Half a million lines: frames that differ, and one frame over and over."""
+    texts = ["\n".join(f"at a.B.c(D:{k})" for k in range(500_000)), "at a.B.c(D)\n" * 500_000]
+    began = time.perf_counter()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.compact_trace(F.col("t")).alias("x")).collect()
+    assert sorted(len(r.x) for r in got) == [len(compacted(['at a.B.c(D)'] * 500_000, 3)), 60_000 + 27]
+    assert time.perf_counter() - began < 60
+
+
 def test_focused_trace(spark):
     trace = "--- a::b\nx\n--- c::d\ny\nz"
     assert one(spark, T.focused_trace(F.col("t"), F.array(F.lit("c::d"))), t=trace) == "--- c::d\ny\nz"
