@@ -4,13 +4,13 @@ Patterns: assignments of passwords and tokens, access key ids and long hexadecim
 Markov chains over characters, one of random strings and one of ordinary ones, trained from labelled samples:
 the values that the patterns find and generated strings are random; all runs of the same alphabet outside the
 patterns' spans and under 20 characters (longer ones are what is judged, so they have no label), and identifiers put together from common words of programs (camel case, capitals, snake case,
-paths, with digits) are ordinary. The ordinary chain is the even mixture of the chains of those two, so that identifiers
-count the same in a corpus of any size. Transitions of all documents are counted; a count is one row per pair of
+paths, with digits) are ordinary, and so are rules (one character over and over) and alphabets. The ordinary chain is a fixed mixture of the chains of
+those three, so that identifiers count the same in a corpus of any size. Transitions of all documents are counted; a count is one row per pair of
 characters, 4,489 at most, so the tables fit on the driver whatever the corpus. A further string of 20 characters or more
 is a secret where the mean log-likelihood ratio per transition is above ``min_ratio``.
 
 Offsets are code points. Matches of a pattern, in order, and the pieces between them have lengths whose running sums
-are the offsets, so no position is searched twice.
+are the offsets, so no position is searched twice; spans that overlap are found by one sort. Work is linear in a text but for that sort.
 
 Defined cases: a null or empty text has no spans; a corpus without labelled random strings adds no spans beyond
 the patterns'; spans of different kinds may overlap, a model's span never overlaps a pattern's; repeated rows are scanned
@@ -20,11 +20,13 @@ each for itself; an empty table gives an empty table; other columns may have any
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stage
+from ._spans import clear_of, located, spans_text, when_any
 
 #: The patterns, and how long group or match must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,43 +58,20 @@ shape share shift show signal simple size skip snapshot socket sort source space
 stream string structure style submit suffix support switch symbol sync system table tag target task template temp test text thread threshold
 time title toggle tool top total trace track transaction transform tree trigger type unit unknown unlock update upload url usage user utility
 valid value vector verify version video view visible wait warning watch web weight width window word worker wrapper write xml year zone"""
+#: Shares of the corpus's strings, the identifiers and the rules in the ordinary chain, and how often each rule is a sample.
+SHARES, RULE_TIMES = (0.47, 0.47, 0.06), 500
+#: Different transitions of a random string at least: rules of one or two characters have fewer.
+DISTINCT_LEAST = 8
 #: Mean log-likelihood ratio per transition above which a string is random.
 MIN_RATIO = 0.5
 
 
-def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start, end, kind>> of the leftmost matches that do not overlap; ``keep`` tests a match."""
-    match = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    return _placed(match, between, kind, keep)
-
-
-def _placed(match: Column, between: Column, kind: int, keep) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["between"])
-        end = start + F.char_length(pair["match"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), pair["match"].alias("text"))
-        out = F.concat(acc["out"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(keep(pair["match"]), out).otherwise(acc["out"]) if keep else out).alias("out"))
-
-    pairs = F.zip_with(match, F.slice(between, F.lit(1), F.size(match)), lambda m, b: F.struct(m.alias("match"), b.alias("between")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-
-
-def _when_any(text: Column, pattern: str, spans: Column) -> Column:
-    """Most texts have no match: they skip the arrays."""
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
-
-
 def pattern_spans(text: Column) -> Column:
     """Spans of the three patterns, unsorted."""
     value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
-    assign = _when_any(text, ASSIGN, _spans(text, ASSIGN, 0, value))
-    access = _when_any(text, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", _spans(text, ACCESS, 1, lambda m: F.char_length(m) >= ACCESS_LEAST))
-    digits = _when_any(text, f"[0-9a-f]{{{HEX_LEAST},}}", _spans(text, f"[0-9a-f]{{{HEX_LEAST},}}", 2))
+    assign = when_any(text, ASSIGN, located(text, ASSIGN, 0, value))
+    access = when_any(text, f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", located(text, ACCESS, 1, lambda m: F.char_length(m) >= ACCESS_LEAST))
+    digits = when_any(text, f"[0-9a-f]{{{HEX_LEAST},}}", located(text, f"[0-9a-f]{{{HEX_LEAST},}}", 2))
     return F.concat(assign, access, digits)
 
 
@@ -105,20 +84,19 @@ def _pairs(strings: DataFrame) -> DataFrame:
 
 
 def ordinary_strings(base: DataFrame) -> DataFrame:
-    """All runs of the alphabet outside the patterns' spans that are too short to be judged, of base (text, base)."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring("text", acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    """All runs of the alphabet that no pattern's span overlaps and that are too short to be judged, of base (text, base)."""
+    pattern = f"{CHARACTER}{{2,}}"
+    free = F.transform(clear_of(located(F.col("text"), pattern, 3), F.col("base")), lambda s: s["text"])
+    runs = F.when(F.size("base") > 0, free).otherwise(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    return base.select(F.explode(runs).alias("value")).filter(F.char_length("value") < CANDIDATE_LEAST)
 
-    def last(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, F.char_length("text"))))
 
-    ordered = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    free = F.when(F.size("base") > 0, F.array_join(F.aggregate(ordered, zero, step, last), " ")).otherwise(F.col("text"))
-    runs = base.select(F.explode(F.regexp_extract_all(free, F.lit(f"{CHARACTER}{{2,}}"), F.lit(0))).alias("value"))
-    return runs.filter(F.char_length("value") < CANDIDATE_LEAST)
+def rules(spark) -> DataFrame:
+    """Labelled ordinary strings that no words are in: each character over and over, and alphabets as they stand on a page and on keys."""
+    rows = (ascii_lowercase, "qwertyuiopasdfghjklzxcvbnm", "01234567890", "1234567890")
+    repeated = F.transform(F.split(F.lit(ALPHABET), ""), lambda c: F.repeat(c, F.lit(2)))
+    # Many times, so that the smoothing of transitions that rules never make weighs nothing.
+    return spark.range(RULE_TIMES).select(F.explode(F.concat(repeated, F.array(*[F.lit(r) for x in rows for r in {x, x.upper()}]))).alias("value"))
 
 
 def random_strings(spark, rows: int) -> DataFrame:
@@ -144,57 +122,55 @@ def identifiers(spark, rows: int) -> DataFrame:
     return three.select(F.explode(shapes).alias("value"))
 
 
-def log_ratios(random: DataFrame, *ordinary: DataFrame) -> list[float]:
+def log_ratios(random: DataFrame, *ordinary: tuple[DataFrame, float]) -> list[float]:
     """Log-likelihood ratio of each transition, indexed by place of first * size + place of second character.
 
-    All inputs hold a column ``value``; the ordinary ones' chains are mixed evenly. Only the tables of pair counts, of
+    All inputs hold a column ``value``; the ordinary ones' chains are mixed by their weights. Only the tables of pair counts, of
     bounded size, reach the driver.
     """
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
     chains = []
-    for strings in (random, *ordinary):
+    for strings in (random, *[x for x, _ in ordinary]):
         counts = [[1.0] * size for _ in range(size)]
         for pair, n in _pairs(strings).collect():
             if pair[0] in place and pair[1] in place:
                 counts[place[pair[0]]][place[pair[1]]] += n
         chains.append([n / sum(row) for row in counts for n in row])
-    return [math.log(p) - math.log(sum(q) / len(q)) for p, *q in zip(*chains, strict=True)]
+    weights = [w for _, w in ordinary]
+    return [math.log(p) - math.log(sum(w * x for w, x in zip(weights, q, strict=True))) for p, *q in zip(*chains, strict=True)]
+
+
+def transitions(value: Column) -> Column:
+    """The pairs of neighbouring characters of a string, in order."""
+    return F.regexp_extract_all(value, F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def mean_ratio(value: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio over the transitions of a string of the alphabet."""
+    """Mean log-likelihood ratio over the transitions of a string of the alphabet: its pairs of characters, each looked up once."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.char_length(value) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, (at(i) - 1) * len(ALPHABET) + at(i + 1)))
+    at = lambda pair, i: F.instr(F.lit(ALPHABET), F.substring(pair, i, 1)) - 1
+    total = F.aggregate(transitions(value), F.lit(0.0), lambda acc, pair: acc + F.element_at(table, at(pair, 1) * len(ALPHABET) + at(pair, 2) + 1))
     return total / (F.char_length(value) - 1)
 
 
-def _text_of(spans: Column) -> Column:
-    """kind:start:end of each span, by start and then kind, joined by commas."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
-    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def scan(docs: DataFrame, *, min_ratio: float = MIN_RATIO, random_rows: int = 2_000, identifier_rows: int = 20_000) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov of every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn("base", pattern_spans(F.col("text")))
-    found = _when_any(F.col("text"), CANDIDATE, _spans(F.col("text"), CANDIDATE, 3))
-    free = F.filter(found, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = clear_of(when_any(F.col("text"), CANDIDATE, located(F.col("text"), CANDIDATE, 3)), F.col("base"))
     spans = stage(base.select("doc_id", "base", free.alias("found")), "spans")
 
     value = F.when(F.col("s.kind") == 0, F.regexp_extract("s.text", ASSIGN, 2)).otherwise(F.col("s.text"))
     labelled = spans.select(F.explode("base").alias("s")).select(value.alias("value"))
     spark = docs.sparkSession
-    ratios = log_ratios(labelled.unionByName(random_strings(spark, random_rows)), ordinary_strings(base), identifiers(spark, identifier_rows))
+    ordinary = zip((ordinary_strings(base), identifiers(spark, identifier_rows), rules(spark)), SHARES, strict=True)
+    ratios = log_ratios(labelled.unionByName(random_strings(spark, random_rows)), *ordinary)
 
-    more = F.filter("found", lambda c: mean_ratio(c["text"], ratios) > min_ratio)
+    more = F.filter("found", lambda c: (F.size(F.array_distinct(transitions(c["text"]))) >= DISTINCT_LEAST) & (mean_ratio(c["text"], ratios) > min_ratio))
     out = spans.select("doc_id", "base", F.when(F.size("found") > 0, more).otherwise(F.col("found")).alias("more"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_markov"),
+        F.sha2(spans_text(F.col("base"), KINDS), 256).alias("base_sha256"), spans_text(F.concat("base", "more"), KINDS).alias("spans"), F.size("more").cast("long").alias("n_markov"),
     )

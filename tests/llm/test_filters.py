@@ -1,11 +1,14 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tamarack.llm import _stats, classifier, quality_rules, secret_scan
 from tests.conftest import SF
@@ -128,13 +131,50 @@ def test_ordinary_strings_are_all_outside_the_patterns(spark):
 def test_identifiers_are_ordinary_and_random_strings_are_not(spark):
     names = """MAX_CONNECTION_POOL_SIZE_LIMIT AbstractSingletonProxyFactoryBean2 /usr/local/lib/python3/site-packages getUserAccountByEmailAddress
         DEFAULT_RETRY_BACKOFF_SECONDS org/apache/commons/lang3/StringUtils kubernetes-dashboard-metrics-scraper HttpServletRequestAttributeListener
-        /home/ubuntu/projects/website/assets/css onMouseEnterTooltipWrapper parse_yaml_front_matter_v2 GL_TEXTURE_COMPRESSION_HINT""".split()
+        /home/ubuntu/projects/website/assets/css -------------------------------------------- ____________________________ ====================
+        abcdefghijklmnopqrstuvwxyz QWERTYUIOPASDFGHJKLZXCVBNM xxxxxxxxxxxxxxxxxxxxxxxx 00000000000000000000 onMouseEnterTooltipWrapper parse_yaml_front_matter_v2 GL_TEXTURE_COMPRESSION_HINT""".split()
     draw = random.Random(5)
     shapes = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits)
     secrets = ["".join(draw.choice(shape) for _ in range(n)) for n in (20, 24, 32, 40, 64) for shape in shapes for _ in range(8)]
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(200)
     more = spark.createDataFrame([(-1 - i, f"see {x} for more") for i, x in enumerate(names)] + [(-1000 - i, f"see {x} for more") for i, x in enumerate(secrets)], "doc_id long, text string")
     found = {r.doc_id: r.n_markov for r in secret_scan.scan(docs.unionByName(more)).filter("doc_id < 0").collect()}
-    assert [x for i, x in enumerate(names) if found[-1 - i]] == []
+    assert [x for i, x in enumerate(names) if found[-1 - i]] == [], found
     missed = [x for i, x in enumerate(secrets) if found[-1000 - i] == 0]
     assert len(missed) <= 0.05 * len(secrets), missed
+
+
+def test_chains_and_their_spans_against_a_loop(spark):
+    """The table of ratios from counted transitions, and each span from the mean over a candidate's transitions."""
+    draw = random.Random(3)
+    alphabet = secret_scan.ALPHABET
+    texts = [" ".join("".join(draw.choice(alphabet) for _ in range(draw.choice([5, 12, 19, 20, 33, 70]))) for _ in range(12)) + " é token=abcdef0123 -" for _ in range(20)]
+    ratios = [draw.uniform(-1, 2) for _ in range(len(alphabet) ** 2)]
+    mean = lambda x: sum(round(ratios[alphabet.index(a) * len(alphabet) + alphabet.index(b)], 6) for a, b in zip(x, x[1:])) / (len(x) - 1)
+    words = sorted({w for t in texts for w in t.split() if len(w) >= 20 and set(w) <= set(alphabet)})
+    got = {r.w: r.m for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", secret_scan.mean_ratio(F.col("w"), ratios).alias("m")).collect()}
+    assert all(abs(got[w] - mean(w)) < 1e-9 for w in words)
+    value = lambda rows: spark.createDataFrame([(x,) for x in rows], "value string")
+    some, other, third = ["abab", "aa"], ["ba", "b/"], ["zz"]
+    found = secret_scan.log_ratios(value(some), (value(other), 0.75), (value(third), 0.25))
+
+    def chain(rows):
+        counts = {}
+        for x in rows:
+            for pair in zip(x, x[1:]):
+                counts[pair] = counts.get(pair, 0) + 1
+        return lambda a, b: (1 + counts.get((a, b), 0)) / (len(alphabet) + sum(n for (c, _), n in counts.items() if c == a))
+
+    p, q, r = chain(some), chain(other), chain(third)
+    assert all(abs(found[i * len(alphabet) + j] - math.log(p(a, b) / (0.75 * q(a, b) + 0.25 * r(a, b)))) < 1e-9 for i, a in enumerate(alphabet) for j, b in enumerate(alphabet))
+
+
+def test_long_texts_are_scanned_in_linear_time(spark):
+    """A data URI of a million characters, a hundred thousand assignments, and as many of both kinds of strings side by side."""
+    draw = random.Random(4)
+    uri = "data:image/png;base64," + "".join(draw.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    texts = [uri, " ".join(f"password={i:06d}a" for i in range(100_000)), " ".join(f"token={i:06d} " + "abcdefghijklmnopqrst" for i in range(50_000))]
+    began = time.perf_counter()
+    got = {r.doc_id: r.n_assign for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 120
+    assert got == {0: 0, 1: 100_000, 2: 50_000}
