@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,16 +59,46 @@ def staging(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Paths of the tables staged inside of ``scratch``.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that read it, not those that made it.
     """
+    path, table = staged(df, name)
+    if _made.get() is not None:
+        _made.get().append(path)
+    return table
+
+
+def staged(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """The same, with the table's path, for a table that outlives ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tamarack-{name}-{uuid.uuid4().hex}"
     with staging(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators stage inside are deleted at the end: what is made of them must have been written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        drop_tables(spark, *_made.get())
+        _made.reset(token)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

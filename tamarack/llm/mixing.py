@@ -128,19 +128,20 @@ def training_order(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, sched
     """
     names = docs.columns
     tie = F.xxhash64("source", "text")
-    takes = _mixed(docs.withColumn("__tie", tie), weights, max_repeats, ["__tie"]).filter("taken > 0")
-    takes = takes.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    same = W.partitionBy("__id", "__tie")
-    takes = takes.withColumn("__nth", F.row_number().over(same.orderBy("taken"))).drop("doc_id")
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), tie.alias("__tie"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
-    packed = packed.withColumn("__nth", F.row_number().over(same.orderBy("__tie")))
-    met = packed.join(takes, ["__id", "__tie", "__nth"])
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # A row travels in one column, so that its names meet no others.
+    takes = _mixed(docs.select("doc_id", "text", "source", tie.alias("tie")), weights, max_repeats, ["tie"]).filter("taken > 0")
+    same = W.partitionBy("own", "tie")
+    takes = takes.withColumn("own", own).withColumn("nth", F.row_number().over(same.orderBy("taken"))).drop("doc_id")
+    packed = docs.select(own.alias("own"), tie.alias("tie"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    packed = packed.withColumn("nth", F.row_number().over(same.orderBy("tie")))
+    met = packed.join(takes, ["own", "tie", "nth"])
     met = met.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
     text = F.when(words < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), words.cast("int")), "")).otherwise(F.col("doc.text"))
     kinds = dict(docs.dtypes)
     fixed = {"text": text, **({"n_chars": F.char_length(text).cast(kinds["n_chars"])} if "n_chars" in kinds else {})}
     position = _placed(F.col("rank"), F.col("share") + F.col("epoch") * F.col("source_size") / F.col("target"), schedules)
-    out = met.select(position.alias("__position"), *[fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names])
-    sorted_ = out.repartitionByRange("__position", F.xxhash64("text")).sortWithinPartitions("__position")
-    return sorted_.drop("__position")
+    out = met.select(position.alias("position"), F.struct(*[fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names]).alias("doc"))
+    ordered = out.repartitionByRange("position", F.xxhash64("doc.text")).sortWithinPartitions("position")
+    return ordered.select(*[F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -148,10 +148,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, min_score: float = MIN_
 def keep_good(docs: DataFrame, labels: DataFrame, *, min_score: float = MIN_SCORE, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The model comes from a first pass over a bounded sample of labelled rows; each row is then judged where its text is read,
-    so no text is shuffled.
+    The model comes from a first pass over a bounded sample of labelled rows, the one that ``quality_rules`` takes; each row is then judged where
+    its text is read, so no text is shuffled.
     """
-    chosen = labels.filter(LEARNT).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    held = labels.filter(LEARNT).select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows ids at most, so the broadcast is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     model = fit_rules(statistics(sample), labels, max_rows)
