@@ -6,16 +6,16 @@ Only suffixes that can share 100 bytes are sorted, and texts never cross the shu
 2. Initial buckets: each window of 100 bytes names its least-hashed 32-gram, its anchor, so that equal windows fall into
    the same 32-gram bucket at the same distance. Buckets of one are dropped through a filter of fixed size.
 3. In bucket order, runs of windows with an anchor whose whole stretches of text are equal form a class: its first
-   member stays, all others' windows are repeats. Buckets with one class are finished.
-4. Buckets with several classes are refined: windows get identifiers of their first 4 bytes, then again and again of
-   pairs of identifiers, their own and the one at the offset that these cover (8, 16, 32, 64, 100 bytes). Windows
-   alone in a bucket drop out of each step; those that share all 100 bytes are ordered by document and start,
-   and all but the first are repeats.
+   member stays, all others' windows are repeats. Buckets with one class are finished. The order is a range sort by bucket, class and place, so a
+   bucket may span tasks; what the ends of tasks leave open is settled on two rows a task.
+4. Buckets with several classes are refined (``sort_suffixes``): all suffixes of a task's buckets start in buckets of their first 16 bytes, with the
+   place of the bucket in the order as pointer. Bucket by bucket, some thousand suffixes at a time, suffixes are sorted on the pointers of the suffixes
+   16 bytes further on, get new pointers, and are sorted again on those 32, 48 ... bytes further on while they share a bucket. New pointers hold at once, for
+   deeper rounds and for all buckets behind, which so are split the further. Windows that share 100 bytes then are neighbours; all but the first are repeats.
+   A bucket of more than ``PIECE`` stretches is dealt out over tasks by the identifiers of its windows' later offsets (all of them, as one hash); windows of
+   equal bytes are met in each task before that, so the number of tasks bounds how many of them meet.
 5. Covered bytes are joined to runs and cut out of the texts.
 
-Buckets with more stretches than ``HOT_BUCKET`` (and more than a thousandth of all, so a thousand buckets at most) are
-not gathered in a task: their windows are dealt out by 128-bit hashes of their 100 bytes.
-
 Defined cases: a null or empty text has 0 bytes and nothing removed; texts under 100 bytes are never cut; of rows repeated
 in full one is the original; rows that share a doc_id but not the text are ordered by a hash of the text; a null doc_id
 comes first; an empty table gives an empty table; other columns may have any name.
@@ -32,14 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._anchors import BLOCK, LENGTH, LONGEST, Sums, anchors
-from ._common import Filter, checkpoint, filter_bytes, filter_of, probe, stage, with_group
+from ._common import Filter, filter_bytes, filter_of, probe, stage, with_group
 from ._shingles import mix
 from .exact_dedup import repeated_slots
 
 FILTER_BITS = 1 << 26
 #: Bits of the filter of repeated anchors, 32 MB; its hashes are of about one in 35 bytes.
 ANCHOR_BITS = 1 << 28
-HOT_BUCKET = 20_000
+#: Stretches of a bucket that one task refines at most; larger buckets are dealt out by the bytes of their windows.
+PIECE = 20_000
+#: Bytes of the first buckets, suffixes that are refined together, and windows that a task holds to meet equal ones.
+GRAM, CHUNK, HELD = 16, 1 << 16, 100_000
+#: Stretches whose suffixes are sorted in one array.
+SORTED = 4_000
 NULL_ID = -(2**63)
 SALTS = 64
 
@@ -102,10 +107,10 @@ def _stretches(bitmap, bits: int):
 
 
 def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of stretches sorted by anchor, whole and place: those that repeat an earlier one (open: false), and the classes'
-    first ones in buckets with several classes (open: true). Needs one row of memory."""
-    names = ["anchor", "doc_id", "tie", "first", "last"]
-    before, waiting, linked = None, None, False
+    """Of stretches sorted by anchor, whole and place: those that repeat an earlier one (AGAIN), and the classes' first ones in buckets
+    with several classes (OPEN). The first and the last class of a task may go on in others: their first ones are EDGEs, ``several`` where their bucket
+    is known to have more classes. Needs one row of memory."""
+    before, waiting, linked, edge = None, None, False, True
     for part in parts:
         if not len(part):
             continue
@@ -114,8 +119,8 @@ def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
         new[0] = before != (anchor[0], whole[0])
         before = (anchor[-1], whole[-1])
-        yield part.loc[~new, names].assign(open=False)
-        firsts = part.loc[new, names]
+        yield part.loc[~new, _STRETCH].assign(state=AGAIN, several=False)
+        firsts = part.loc[new, _STRETCH]
         if waiting is not None:
             firsts = pd.concat([waiting, firsts], ignore_index=True)
         if not len(firsts):
@@ -124,67 +129,135 @@ def _classes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = own[1:] == own[:-1]
         opened = np.append(linked, same) if waiting is not None else np.append(False, same)
         opened[:-1] |= same
-        yield firsts.iloc[:-1][opened[:-1]].assign(open=True)
+        done = firsts.iloc[:-1].assign(state=OPEN, several=opened[:-1])
+        if edge and len(done):
+            yield done.iloc[:1].assign(state=EDGE)
+            done, edge = done.iloc[1:], False
+        yield done[done["several"]]
         waiting, linked = firsts.iloc[-1:], bool(opened[-1])
-    if waiting is not None and linked:
-        yield waiting.assign(open=True)
+    if waiting is not None:
+        yield waiting.assign(state=EDGE, several=linked)
 
 
-def _hot_classes(rows: DataFrame) -> DataFrame:
-    """What _classes finds, for stretches of a few anchors with very many rows: by sums over salted groups."""
-    place = F.struct("doc_id", "tie", "first")
-    keyed = rows.withColumn("class", F.struct("anchor", "whole"))
-    met = with_group(keyed, "class", F.xxhash64("doc_id", "first"), SALTS, [F.min(place).alias("least")], [F.min("least").alias("least")])
-    met = stage(met.withColumn("again", place != F.col("least")).drop("least", "class"), "hot")
-    several = met.filter("not again").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    # As few anchors as there are in rows.
-    opened = met.filter("not again").join(F.broadcast(several), "anchor", "left_semi").withColumn("open", F.lit(True))
-    return met.filter("again").withColumn("open", F.lit(False)).unionByName(opened)
+_STRETCH = ["anchor", "whole", "doc_id", "tie", "first", "last"]
+AGAIN, OPEN, EDGE = 0, 1, 2
 
 
-def _bytes_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for doc_id, tie, text, wanted in zip(part["doc_id"], part["tie"], part["text"], part["wanted"], strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            rows += [(w["anchor"], doc_id, tie, w["first"], raw[w["first"] : w["last"] + LENGTH]) for w in wanted]
-        yield pd.DataFrame(rows, columns=["anchor", "doc_id", "tie", "first", "data"])
+def _settled(found: DataFrame) -> DataFrame:
+    """What _classes gives, with its edges settled, two a task at most: anchor, doc_id, tie, first, last, open."""
+    names = ["anchor", "doc_id", "tie", "first", "last"]
+    edges = found.filter(F.col("state") == EDGE)
+    place = F.struct("doc_id", "tie", "first")
+    least = edges.groupBy("anchor", "whole").agg(F.min(place).alias("least"), F.max("several").alias("several"))
+    opened = least.groupBy("anchor").agg((F.max("several") | (F.count(F.lit(1)) > 1)).alias("open"))
+    met = edges.join(least.drop("several"), ["anchor", "whole"]).join(opened, "anchor").withColumn("again", place != F.col("least"))
+    ends = met.filter(F.col("again") | F.col("open")).select(*names, (~F.col("again")).alias("open"))
+    return found.filter(F.col("state") != EDGE).select(*names, (F.col("state") == OPEN).alias("open")).unionByName(ends)
 
 
-def _steps(length: int, q: int = 4) -> list[tuple[int, int, list[int]]]:
-    """(bytes known, step, offsets at which the next identifiers are used) from q bytes up to ``length``."""
-    spans = [q]
-    while 2 * spans[-1] < length:
-        spans.append(2 * spans[-1])
-    out, used = [], [0]
-    for span, target in reversed(list(zip(spans, [*spans[1:], length], strict=True))):
-        out.append((span, target - span, used))
-        used = sorted({o + d for o in used for d in (0, target - span)})
-    return out[::-1]
+_PIECES = "anchor long, part long, doc_id long, tie long, first long, end long, data binary"
 
 
-def refine(starts: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of the windows that start at ``starts``: equal for equal 100 bytes, -1 for windows unlike all others.
+def _bytes_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of open stretches; of large buckets, those of each window, with a hash of them as part.
 
-    Identifiers of 2q bytes come from those of q at a place and q further on, refined in the step before.
+    Of equal windows in a task the least goes on, and the others are repeats already: a row without data, its end instead.
     """
-    padded = np.append(raw, np.zeros(LENGTH, np.uint8)).astype(np.uint32)
-    now = (padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)).astype(np.int64)
-    alive = starts
-    for _, step, used in _steps(LENGTH):
-        wanted = np.zeros(now.size, bool)
-        for offset in used:
-            wanted[alive + offset] = True
-        places = np.flatnonzero(wanted)
-        _, ids = np.unique(now[places] << 32 | now[places + step], return_inverse=True)
-        now = np.full(now.size, -1, np.int64)
-        now[places] = ids
-        alive = alive[np.bincount(now[alive], minlength=1)[now[alive]] > 1]
-        if not alive.size:
-            break
-    out = np.full(raw.size + 1, -1, np.int64)
-    out[alive] = now[alive]
-    return out[starts]
+    names = ["anchor", "part", "doc_id", "tie", "first", "end", "data"]
+    held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+
+    def given() -> pd.DataFrame:
+        keys = (int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True) for _, data in held)
+        rows = [(anchor, key, *place, -1, data) for key, ((anchor, data), place) in zip(keys, held.items(), strict=True)]
+        held.clear()
+        return pd.DataFrame(rows, columns=names)
+
+    for part in parts:
+        rows = []
+        for doc_id, tie, text, wanted in zip(part["doc_id"], part["tie"], part["text"], part["wanted"], strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            for w in wanted:
+                first, last, anchor = w["first"], w["last"], w["anchor"]
+                if not w["large"]:
+                    rows.append((anchor, 0, doc_id, tie, first, -1, raw[first : last + LENGTH]))
+                    continue
+                for start in range(first, last + 1):
+                    key, place = (anchor, raw[start : start + LENGTH]), (doc_id, tie, start)
+                    other = held.setdefault(key, place)
+                    if other != place:
+                        held[key] = min(place, other)
+                        late = max(place, other)
+                        rows.append((anchor, hash(late), *late, late[2] + LENGTH, None))
+        yield pd.DataFrame(rows, columns=names)
+        if len(held) >= HELD:
+            yield given()
+    yield given()
+
+
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as numbers that sort like them; raw needs seven more bytes at its end."""
+    out = np.zeros(raw.size - 7, np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | raw[k : raw.size - 7 + k]
+    return out
+
+
+def sort_suffixes(raw: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Pointers of all suffixes of raw: smaller for suffixes that sort first, equal only for those that share ``depth`` bytes (zeros follow raw)."""
+    padded = np.append(raw, np.zeros(depth + 2 * GRAM, np.uint8))
+    low = _grams(padded)
+    n = low.size - 8
+    order = np.lexsort((low[8:], low[:n]))
+    left, right = low[:n][order], low[8:][order]
+    new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, n))
+    pointer = np.zeros(n, np.int64)
+    pointer[order] = np.repeat(heads, sizes)
+    # Places behind the last gram hold zeros alone, as do the last ones before.
+    limit = n - 1
+    several = np.flatnonzero(sizes > 1)
+    bounds = np.append(0, np.cumsum(sizes[several]))
+    at = 0
+    while at < several.size:
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
+        group = several[at:stop]
+        begin = np.repeat(heads[group] - (bounds[at:stop] - bounds[at]), sizes[group])
+        members = order[begin + np.arange(begin.size)]
+        offset = GRAM
+        while offset < depth and members.size:
+            own, later = pointer[members], pointer[np.minimum(members + offset, limit)]
+            sort = np.lexsort((later, own))
+            members, own, later = members[sort], own[sort], later[sort]
+            bucket = np.append(True, own[1:] != own[:-1])
+            split = bucket | np.append(True, later[1:] != later[:-1])
+            place = np.arange(members.size)
+            first = np.maximum.accumulate(np.where(split, place, 0))
+            # A bucket's suffixes have as many places in the order, so its parts have room behind its pointer.
+            pointer[members] = own + first - np.maximum.accumulate(np.where(bucket, place, 0))
+            alone = split & np.append(split[1:], True)
+            members = members[~alone]
+            offset += GRAM
+        at = stop
+    return pointer
+
+
+def window_classes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each window that starts at ``starts``: equal for equal 100 bytes, and for no others."""
+    pointer = sort_suffixes(raw)[starts]
+    order = np.argsort(pointer, kind="stable")
+    low = _grams(np.append(raw, np.zeros(8, np.uint8)))
+    new = np.append(True, np.diff(pointer[order]) != 0)
+    # Neighbours with other pointers may differ behind their 100 bytes only.
+    near = np.flatnonzero(new[1:] & (low[starts[order[1:]]] == low[starts[order[:-1]]]))
+    span = np.arange(LENGTH)
+    for k in range(0, near.size, CHUNK):
+        some = near[k : k + CHUNK]
+        same = (raw[starts[order[some]][:, None] + span] == raw[starts[order[some + 1]][:, None] + span]).all(axis=1)
+        new[some[same] + 1] = False
+    out = np.empty(starts.size, np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _repeats(groups: pd.DataFrame) -> pd.DataFrame:
@@ -196,10 +269,10 @@ def _repeats(groups: pd.DataFrame) -> pd.DataFrame:
     counts = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(groups)), counts)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    ids = refine(offsets[row] + within, raw)
+    ids = window_classes(raw, offsets[row] + within)
     order = np.argsort(ids, kind="stable")
     again = np.zeros(ids.size, bool)
-    again[order[1:]] = (ids[order[1:]] == ids[order[:-1]]) & (ids[order[1:]] >= 0)
+    again[order[1:]] = ids[order[1:]] == ids[order[:-1]]
     hit = np.flatnonzero(again)
     if not hit.size:
         return pd.DataFrame({"doc_id": [], "tie": [], "start": [], "end": []}, dtype=np.int64)
@@ -212,32 +285,30 @@ def _repeats(groups: pd.DataFrame) -> pd.DataFrame:
 
 
 def _refined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stretches sorted by anchor to covered runs; whole buckets are refined together, some thousand stretches at a time."""
+    """Stretches sorted by anchor and part to covered runs; whole buckets are sorted together, some thousand stretches at a time."""
     held: list[pd.DataFrame] = []
+    size = 0
     for part in parts:
+        known = part["end"].to_numpy() >= 0
+        if known.any():
+            yield part.loc[known, ["doc_id", "tie", "first", "end"]].rename(columns={"first": "start"})
+            part = part[~known]
         if not len(part):
             continue
         held.append(part)
-        if sum(map(len, held)) < 4_000:
+        size += len(part)
+        if size < SORTED:
             continue
         frame = pd.concat(held, ignore_index=True)
-        own = frame["anchor"].to_numpy()
-        cut = int(np.flatnonzero(own != own[-1])[-1]) + 1 if (own != own[-1]).any() else 0
+        other = np.flatnonzero((frame["anchor"].to_numpy() != frame["anchor"].iloc[-1]) | (frame["part"].to_numpy() != frame["part"].iloc[-1]))
+        cut = int(other[-1]) + 1 if other.size else 0
         if cut:
             yield _repeats(frame.iloc[:cut])
-        held = [frame.iloc[cut:]]
+        held, size = [frame.iloc[cut:]], len(frame) - cut
     if held:
         yield _repeats(pd.concat(held, ignore_index=True))
 
 
-def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All windows of stretches: a 128-bit hash of each window's bytes, and its place."""
-    for part in parts:
-        for doc_id, tie, first, data in zip(part["doc_id"], part["tie"], part["first"], part["data"], strict=True):
-            keys = [hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest() for k in range(len(data) - LENGTH + 1)]
-            yield pd.DataFrame({"key": keys, "doc_id": doc_id, "tie": tie, "start": np.arange(first, first + len(keys))})
-
-
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
@@ -286,37 +357,19 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     hashes = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_hash_batches, "anchor long")
     twice = stage(hashes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
     bitmap = spark.sparkContext.broadcast(filter_bytes(twice, "anchor", ANCHOR_BITS))
-    # Staged, since hot anchors are read apart from the rest.
-    stretches = stage(owners.mapInPandas(_stretches(bitmap, ANCHOR_BITS), "anchor long, whole long, doc_id long, tie long, first long, last long"), "stretches")
-    least = max(HOT_BUCKET, (twice.agg(F.sum("n")).first()[0] or 0) // 1000)
-    hot = checkpoint(twice.filter(F.col("n") > least).select("anchor", F.lit(True).alias("hot")))
-    named = ["anchor", "doc_id", "tie", "first", "last", "open"]
-    cool = stretches
-    if not hot.isEmpty():  # each has over a thousandth of all rows: a thousand at most
-        flagged = stretches.join(F.broadcast(hot), "anchor", "left")
-        cool = flagged.filter("hot is null").drop("hot")
-    ordered = cool.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "tie", "first")
-    found = ordered.mapInPandas(_classes, ", ".join(f"{c} long" for c in named[:-1]) + ", open boolean")
-    if not hot.isEmpty():
-        found = found.unionByName(_hot_classes(flagged.filter("hot").drop("hot")).select(named))
-    found = stage(found, "classes")
+    stretches = stage(owners.mapInPandas(_stretches(bitmap, ANCHOR_BITS), ", ".join(f"{c} long" for c in _STRETCH)), "stretches")
+    order = ["anchor", "whole", "doc_id", "tie", "first"]
+    ordered = stretches.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stage(ordered.mapInPandas(_classes, ", ".join(f"{c} long" for c in _STRETCH) + ", state int, several boolean"), "classes")
+    found = stage(_settled(found), "settled")
 
     opened = found.filter("open").drop("open")
-    wanted = opened.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
-    data = _with_texts(docs, shared_ids, stage(wanted, "wanted")).mapInPandas(_bytes_of, "anchor long, doc_id long, tie long, first long, data binary")
-    sizes = opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    least = max(HOT_BUCKET, opened.count() // 1000)
-    hot = checkpoint(sizes.filter(F.col("n") > least).select("anchor", F.lit(True).alias("hot")))
-    # Each hot bucket has over a thousandth of the rows: a thousand at most.
-    flagged = data.join(F.broadcast(hot), "anchor", "left")
-    cool = flagged.filter("hot is null").drop("hot").repartition("anchor").sortWithinPartitions("anchor")
-    runs = cool.mapInPandas(_refined, "doc_id long, tie long, start long, end long")
-    if not hot.isEmpty():
-        windows = flagged.filter("hot").drop("hot", "anchor").mapInPandas(_windows, "key binary, doc_id long, tie long, start long")
-        place = F.struct("doc_id", "tie", "start")
-        met = with_group(windows, "key", F.xxhash64("doc_id", "start"), SALTS, [F.min(place).alias("least")], [F.min("least").alias("least")])
-        runs = runs.unionByName(met.filter(place != F.col("least")).select("doc_id", "tie", "start", (F.col("start") + LENGTH).alias("end")))
-
+    # A small bucket that the filter takes for a large one is dealt out too, wholly.
+    large = filter_of(opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PIECE), "anchor", FILTER_BITS)
+    flagged = probe(opened, "anchor", large).withColumnRenamed("__maybe", "large")
+    wanted = flagged.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "first", "last", "large")).alias("wanted"))
+    pieces = _with_texts(docs, shared_ids, stage(wanted, "wanted")).mapInPandas(_bytes_of, _PIECES)
+    runs = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(_refined, "doc_id long, tie long, start long, end long")
     runs = runs.unionByName(found.filter("not open").select("doc_id", "tie", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")))
     by_doc = stage(runs.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
     cut = _with_texts(docs, shared_ids, by_doc).mapInPandas(_cut, "doc_id long, tie long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -137,14 +137,74 @@ def periodic(rng):
     return rows + [(200, None), (201, ""), (202, rows[3][1]), (203, "a" * 100), (204, "a" * 100), (205, "b" * 99), (206, "b" * 99)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeats_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_BUCKET", hot)
+@pytest.mark.parametrize(("piece", "held", "sorted_"), [(20_000, 100_000, 4_000), (2, 100_000, 4_000), (2, 3, 2)])
+def test_repeats_against_brute_force(spark, monkeypatch, piece, held, sorted_):
+    """Buckets as they are, dealt out by their windows, and with so little room that equal windows meet only behind the shuffle."""
+    for name, value in (("PIECE", piece), ("HELD", held), ("SORTED", sorted_)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rows = periodic(random.Random(4))
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {tuple(r) for r in got} == set(brute_repeats(rows)) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("chunk", [1 << 16, 1, 40])
+def test_suffixes_sort_like_their_bytes(monkeypatch, chunk):
+    """Pointers in the order of the bytes, equal only for 100 equal ones, whatever is refined together."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    motif = rng.integers(0, 3, 150).astype(np.uint8)
+    for raw in (rng.integers(0, 2, 900), np.tile([1, 2, 3], 200), np.zeros(400), np.concatenate([motif, motif[:130], rng.integers(0, 256, 60), motif]), np.zeros(0), np.array([5])):
+        raw = raw.astype(np.uint8)
+        pointer = suffix_dedup.sort_suffixes(raw)[: raw.size]
+        padded = raw.tobytes() + b"\0" * 400
+        for i, j in zip(*(rng.integers(0, max(1, raw.size), 4000) for _ in "ab"), strict=True) if raw.size else ():
+            if pointer[i] == pointer[j]:
+                assert padded[i : i + 100] == padded[j : j + 100]
+            else:
+                assert (pointer[i] < pointer[j]) == (padded[i:] < padded[j:])
+        starts = np.arange(max(0, raw.size - 99))
+        ids = suffix_dedup.window_classes(raw, starts)
+        named = {}
+        for k, i in zip(starts.tolist(), ids.tolist(), strict=True):
+            assert named.setdefault(padded[k : k + 100], i) == i
+        assert len(set(named.values())) == len(named)
+
+
+def test_classes_over_the_ends_of_tasks(spark):
+    """Classes and buckets that go on over many tasks, or end where a task does."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = sorted({(rng.choice([1, 1, 2, 3, 4, 5]), rng.choice([7, 7, 7, 8, 9]), rng.randint(0, 400), 0, rng.randint(0, 3), 9) for _ in range(600)} | {(k, 0, 1, 0, 0, 9) for k in range(10, 16)})
+    want, firsts = [], {}
+    for anchor, whole, *place, _ in rows:
+        firsts.setdefault(anchor, {}).setdefault(whole, tuple(place))
+    for anchor, whole, doc_id, tie, first, last in rows:
+        if firsts[anchor][whole] != (doc_id, tie, first):
+            want.append((anchor, doc_id, tie, first, last, False))
+        elif len(firsts[anchor]) > 1:
+            want.append((anchor, doc_id, tie, first, last, True))
+    for tasks in (1, 3, 17, 120, len(rows)):
+        cuts = sorted(rng.sample(range(1, len(rows)), tasks - 1))
+        parts = [pd.DataFrame(rows[a:b], columns=suffix_dedup._STRETCH) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        out = pd.concat([x for part in parts for x in suffix_dedup._classes(iter([part.iloc[:5], part.iloc[5:]])) if len(x)])
+        found = spark.createDataFrame(out.astype({"several": bool}), ", ".join(f"{c} long" for c in suffix_dedup._STRETCH) + ", state int, several boolean")
+        got = [tuple(r) for r in suffix_dedup._settled(found).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_bucket_of_many_stretches_and_a_very_long_text(spark):
+    """Over 20,000 stretches around one line, and a text of more than 4 MiB with repeats over the place where it is cut."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(110))
+    rows = [(k, f"{k:07d}" * 9 + line + f"{k * 7:07d}" * 9) for k in range(21_000)]
+    long = "".join(rng.choices("abcdefghijklmnop ", k=4_500_000))
+    cut = suffix_dedup.LONGEST
+    rows += [(30_000, long), (30_001, "x" * 50 + long[cut - 200 : cut + 200] + "y" * 50), (30_002, long[-150:])]
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {r[0]: r for r in brute_repeats(rows)}
+
+
 def test_repeats_of_all_documents(spark):
     rows = sorted((r.doc_id, r.text) for r in small(spark).collect())
     got = suffix_dedup.remove_repeats(small(spark), with_text=True).collect()
