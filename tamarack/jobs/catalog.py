@@ -52,6 +52,13 @@ def _ranked(spark: SparkSession, sf_dir: str, k: int = DEPTH, b: float = bm25.B)
     return bm25.rank(_asked(spark, sf_dir), _docs(spark, sf_dir), k=k, b=b)
 
 
+def _both(spark: SparkSession, sf_dir: str, k: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The rankings with and without length normalisation, kept, from one index."""
+    asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
+    of = bm25.index(asked, docs)
+    return tuple(kept(bm25.rank(asked, docs, k=k, b=b, of=of)) for b in (bm25.B, 0.0))
+
+
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, file): documents that hold an item's text. They share its first five words, so the check meets few pairs."""
     words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")
@@ -62,8 +69,14 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(items, "key").filter(F.contains("text", F.col("item"))).select("query_id", "file").distinct()
 
 
-def _per(spark: SparkSession, sf_dir: str, b: float = bm25.B, depth: int = 10) -> DataFrame:
-    return evaluation.correct_ranks(_ranked(spark, sf_dir, b=b), _truth(spark, sf_dir), _asked(spark, sf_dir), depth=depth)
+def _per(spark: SparkSession, sf_dir: str, depth: int = 10) -> DataFrame:
+    return evaluation.correct_ranks(_ranked(spark, sf_dir), _truth(spark, sf_dir), _asked(spark, sf_dir), depth=depth)
+
+
+def _per_both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The places of the first correct files in both rankings, kept: one index, one truth."""
+    truth, asked = kept(_truth(spark, sf_dir)), _asked(spark, sf_dir)
+    return tuple(kept(evaluation.correct_ranks(r, truth, asked, depth=10)) for r in _both(spark, sf_dir))
 
 
 def _holds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +86,14 @@ def _holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.postings(_docs(spark, sf_dir)).select("file", F.col("term").alias("hint")).join(hints, "hint").select("query_id", "file").withColumn("direct", F.lit(True))
 
 
-def _with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_hints(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
     """The ranking with a direct hint where a document holds the query's longest token."""
-    return _ranked(spark, sf_dir).join(_holds(spark, sf_dir), ["query_id", "file"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    ranked = _ranked(spark, sf_dir) if ranked is None else ranked
+    return ranked.join(_holds(spark, sf_dir), ["query_id", "file"], "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.select(_with_hints(spark, sf_dir), _asked(spark, sf_dir)).filter(F.array_contains("reasons", f"low_score_ratio<={rerank.RATIO:g}"))
+def _selected(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
+    return rerank.select(_with_hints(spark, sf_dir, ranked), _asked(spark, sf_dir)).filter(F.array_contains("reasons", f"low_score_ratio<={rerank.RATIO:g}"))
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -454,12 +468,12 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("E08_search")
 def e08(spark, sf_dir):
-    return rerank.search_candidates(_sources(spark, sf_dir), _asked(spark, sf_dir), _ranked(spark, sf_dir, 20).select("query_id", "file"))
+    return rerank.search_candidates(_sources(spark, sf_dir), _asked(spark, sf_dir), kept(_ranked(spark, sf_dir, 20).select("query_id", "file")))
 
 
 @_query("E09_line_hits")
 def e09(spark, sf_dir):
-    hits = rerank.line_hits(_sources(spark, sf_dir), _asked(spark, sf_dir), _ranked(spark, sf_dir, 10).select("query_id", "file"))
+    hits = rerank.line_hits(_sources(spark, sf_dir), _asked(spark, sf_dir), kept(_ranked(spark, sf_dir, 10).select("query_id", "file")))
     return hits.select("query_id", "file", F.col("line").cast("int").alias("line"), "text", F.col("n_terms").cast("int").alias("n_terms"))
 
 
@@ -524,7 +538,8 @@ def e13b(spark, sf_dir):
 
 @_query("V01_merge")
 def v01(spark, sf_dir):
-    merged = evaluation.merge(_ranked(spark, sf_dir), _ranked(spark, sf_dir, b=0.0), _selected(spark, sf_dir))
+    first, second = _both(spark, sf_dir)
+    merged = evaluation.merge(first, second, _selected(spark, sf_dir, first))
     return merged.select("query_id", "rank", "file", "origin")
 
 
@@ -548,7 +563,8 @@ def v03b(spark, sf_dir):
 
 @_query("V04_V05_distributions")
 def v04(spark, sf_dir):
-    both = _per(spark, sf_dir).withColumn("method", F.lit("bm25")).unionByName(_per(spark, sf_dir, b=0.0).withColumn("method", F.lit("flat")))
+    first, second = _per_both(spark, sf_dir)
+    both = first.withColumn("method", F.lit("bm25")).unionByName(second.withColumn("method", F.lit("flat")))
     return evaluation.summarize(both, ["method"], depth=10)
 
 
@@ -560,7 +576,7 @@ def v06(spark, sf_dir):
 
 @_query("V07_wilcoxon")
 def v07(spark, sf_dir):
-    a, b = _per(spark, sf_dir), _per(spark, sf_dir, b=0.0)
+    a, b = _per_both(spark, sf_dir)
     deltas = a.select("query_id", F.col("rr").alias("rr0")).join(b.select("query_id", F.col("rr").alias("rr1")), "query_id").select((F.col("rr1") - F.col("rr0")).alias("delta"))
     return evaluation.wilcoxon_sums(deltas)
 
@@ -572,7 +588,7 @@ def v07b(spark, sf_dir):
 
 @_query("V08_paired")
 def v08(spark, sf_dir):
-    return evaluation.paired(_per(spark, sf_dir), _per(spark, sf_dir, b=0.0))
+    return evaluation.paired(*_per_both(spark, sf_dir))
 
 
 @_query("V09_subsets")
@@ -610,7 +626,7 @@ def a02(spark, sf_dir):
 
 @_query("A03_transitions")
 def a03(spark, sf_dir):
-    return study.transitions(_per(spark, sf_dir), _per(spark, sf_dir, b=0.0))
+    return study.transitions(*_per_both(spark, sf_dir))
 
 
 @_query("A04_variance")
@@ -621,7 +637,8 @@ def a04(spark, sf_dir):
 
 @_query("A05_scopes")
 def a05(spark, sf_dir):
-    both = _per(spark, sf_dir).withColumn("variant", F.lit("bm25")).unionByName(_per(spark, sf_dir, b=0.0).withColumn("variant", F.lit("flat")))
+    first, second = _per_both(spark, sf_dir)
+    both = first.withColumn("variant", F.lit("bm25")).unionByName(second.withColumn("variant", F.lit("flat")))
     return study.scoped(both, "variant", _selected(spark, sf_dir))
 
 

@@ -1,19 +1,27 @@
 """BM25 index and ranking (R01, R02, R04) as joins and counts over postings.
 
-Only the terms that queries use are kept from the corpus, filtered before the postings are shuffled. A query's documents
-without any of its terms score 0 and stay in its ranking, ordered by file: the first ``k`` files of the
-corpus are enough to fill any ranking, so the corpus is never crossed with the queries.
+Documents are tokenized once: the postings of the queries' terms, with one row for each document as it is, are one kept table, from which number and
+mean length of documents, document frequencies and weights for any ``k1`` and ``b`` follow. A query's documents without any of its terms score 0 and stay
+in its ranking, ordered by file: the first ``k`` files of the corpus are enough to fill any ranking, so the corpus is never crossed with the queries.
+
+The ``k`` best need not meet every document of every frequent term (``best``): a query's rare terms give a floor under its k-th best score, and the frequent terms that
+even together stay below that floor bring no new document in. They are looked up for the documents that are candidates already, by file and term.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import tokenize
+from tamarack.operators.tables import kept
 
 K1, B = 1.5, 0.75
+#: Postings of a query's rarest terms, as a multiple of k, that give the floor under its k-th best score.
+RARE = 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -40,18 +48,70 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """R04. (query_id, file, score) of all documents that share a term with a query; score is rounded to 6 places."""
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, file, dl, tf) of the terms that ``asked`` (query_id, term, qtf) has, and a row without a term for each document."""
+
+    posted: DataFrame
+    asked: DataFrame
+
+
+def index(queries: DataFrame, docs: DataFrame) -> Index:
+    """R01. The kept postings of docs (file, text) for queries (query_id, text)."""
     asked = query_terms(queries)
-    whole = lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     words = asked.select("term").distinct()
     tokens = docs.select("file", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    posted = tokens.select("file", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).join(words, "term", "left_semi")
-    posted = posted.groupBy("term", "file", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    every = tokens.select("file", F.size("tokens").cast("long").alias("dl"), F.explode(F.array_append("tokens", F.lit(None))).alias("term"))
+    held = every.join(words.withColumn("known", F.lit(True)), "term", "left").filter("known OR term IS NULL")
+    return Index(kept(held.groupBy("term", "file", "dl").agg(F.count(F.lit(1)).alias("tf"))), asked)
+
+
+def weights(of: Index, *, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, file, weight): what a term adds to a document's score."""
+    posted = of.posted.filter("term IS NOT NULL")
+    whole = of.posted.filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     weighed = posted.join(term_counts(posted), "term").crossJoin(F.broadcast(whole))  # one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    weighed = weighed.select("term", "file", (_idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / norm).alias("weight"))
-    return weighed.join(asked, "term").groupBy("query_id", "file").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
+    return weighed.select("term", "file", (_idf(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / norm).alias("weight"))
+
+
+def _summed(asked: DataFrame, weighed: DataFrame) -> DataFrame:
+    return weighed.join(asked, "term").groupBy("query_id", "file").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+
+
+def scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+    """R04. (query_id, file, score) of all documents that share a term with a query; score is rounded to 6 places."""
+    of = index(queries, docs)
+    return _summed(of.asked, weights(of, k1=k1, b=b)).withColumn("score", F.round("score", 6))
+
+
+def best(of: Index, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, file, score) as R04, of all documents that may be among a query's ``k`` best, ties included.
+
+    A query's terms from the rarest on, until they have ``RARE`` times k postings together, are scored first: the k-th best of these sums is the floor. Of the others, from
+    the least greatest weight on, those whose greatest weights stay below the floor in sum are light. All documents of the remaining terms are candidates;
+    light terms only add to those that can still reach the floor. With fewer than k documents there is no floor, and no term is light.
+    """
+    weighed = kept(weights(of, k1=k1, b=b))
+    terms = of.asked.join(weighed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most")), "term").withColumn("most", F.col("qtf") * F.col("most"))
+    by = W.partitionBy("query_id").orderBy("df", "term")
+    rare = (F.sum("df").over(by) <= RARE * k) | (F.row_number().over(by) == 1)
+    terms = terms.withColumn("rare", rare)
+    first = _summed(terms.filter("rare").select("query_id", "term", "qtf"), weighed)
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc()))
+    floor = first.withColumn("nth", nth).filter(F.col("nth") == k).select("query_id", F.col("score").alias("floor"))
+    light = F.sum("most").over(W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0))
+    rest = terms.filter("NOT rare").withColumn("light", light).join(floor, "query_id", "left")
+    # Scores are rounded to six places afterwards.
+    terms = kept(terms.filter("rare").select("query_id", "term", "qtf", "most", F.lit(False).alias("light"), F.lit(None).cast("double").alias("floor")).unionByName(
+        rest.select("query_id", "term", "qtf", "most", (F.col("light") < F.col("floor") - 1e-5).alias("light"), "floor").na.fill(False, ["light"])
+    ))
+    limits = terms.groupBy("query_id").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))), F.lit(0.0)).alias("more"))
+    partial = _summed(terms.filter("NOT light").select("query_id", "term", "qtf"), weighed).join(limits, "query_id")
+    reach = partial.filter(F.col("floor").isNull() | (F.col("score") + F.col("more") >= F.col("floor") - 1e-5))
+    late = reach.select("query_id", "file").join(terms.filter("light").select("query_id", "term", "qtf"), "query_id").join(weighed, ["term", "file"])
+    added = reach.select("query_id", "file", "score").unionByName(late.select("query_id", "file", (F.col("qtf") * F.col("weight")).alias("score")))
+    return added.groupBy("query_id", "file").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -62,11 +122,12 @@ def filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> Dat
     return found.unionByName(filler)
 
 
-def rank(queries: DataFrame, docs: DataFrame, *, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """R02. (query_id, rank, file, score): the k best documents of each query, ties and zeros by file.
+def rank(queries: DataFrame, docs: DataFrame, *, k: int = 10, k1: float = K1, b: float = B, of: Index | None = None) -> DataFrame:
+    """R02. (query_id, rank, file, score): the k best documents of each query, ties and zeros by file. ``of``: their index, if it is there.
 
     Ranks follow the rounded score, so that engines that sum in another order agree.
     """
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("file"))
-    ranked = filled(scores(queries, docs, k1=k1, b=b), queries, docs, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    found = kept(best(of or index(queries, docs), k, k1=k1, b=b).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)).drop("rank")
+    ranked = filled(found, queries, docs, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "file", "score")

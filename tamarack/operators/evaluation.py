@@ -13,15 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tamarack.operators.tables import kept
+
 KS = (1, 3, 5, 10)
 
 
-def merge(baseline: DataFrame, reranked: DataFrame, selected: DataFrame, *, depth: int = 10) -> DataFrame:
-    """V01. Rankings of selected queries come from the reranker where it has any, all others from the baseline; cut to depth."""
-    wanted = reranked.join(selected.select("query_id").distinct(), "query_id", "left_semi")
-    covered = wanted.select("query_id").distinct()
-    kept = baseline.join(covered, "query_id", "left_anti").withColumn("origin", F.lit("baseline"))
-    out = wanted.withColumn("origin", F.lit("rerank")).unionByName(kept, allowMissingColumns=True)
+def merge(baseline: DataFrame, reranked: DataFrame, selected: DataFrame, *, depth: int = 10, allow_missing: bool = False) -> DataFrame:
+    """V01. Rankings of selected queries come from the reranker, all others from the baseline; cut to depth.
+
+    A selected query that the reranker has no record of fails the job, unless missing ones are allowed: those come from the baseline.
+    """
+    chosen = selected.select("query_id").distinct()
+    wanted = reranked.join(chosen, "query_id", "left_semi")
+    covered = wanted.select("query_id").distinct().withColumn("covered", F.lit(True))
+    rows = baseline.join(chosen.withColumn("chosen", F.lit(True)), "query_id", "left").join(covered, "query_id", "left").filter("covered IS NULL")
+    origin = F.lit("baseline")
+    if not allow_missing:
+        # The check is part of a column, so that it can't be pruned while the result is read.
+        missing = F.raise_error(F.concat(F.lit("no rerank record of "), F.col("query_id").cast("string"))).cast("string")
+        origin = F.when(F.col("chosen"), missing).otherwise(origin)
+    out = wanted.withColumn("origin", F.lit("rerank")).unionByName(rows.withColumn("origin", origin).drop("chosen", "covered"), allowMissingColumns=True)
     return out.filter(F.col("rank") <= depth)
 
 
@@ -95,11 +106,15 @@ def paired(first: DataFrame, second: DataFrame, *, ks: Sequence[int] = KS) -> Da
 def wilcoxon_sums(deltas: DataFrame) -> DataFrame:
     """V07. n, w_plus, w_minus and z of the signed-rank test: zeros dropped, average ranks for ties, no tie correction.
 
-    Ranks come from counts per distinct size, so the ordered window is over distinct values, not over all rows.
+    Ranks come from counts per distinct size, range-sorted: a running sum in each task, on top of the sums of the tasks before.
     """
     sized = deltas.filter("delta <> 0").groupBy(F.round(F.abs("delta"), 12).alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("delta") > 0).alias("up"))
-    before = F.coalesce(F.sum("m").over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = sized.withColumn("rank", before + (F.col("m") + 1) / 2.0)
+    # Sizes are range-sorted over tasks; a task's rows follow all those of the tasks before it, whose sums are one row a task.
+    placed = kept(sized.repartitionByRange("size").withColumn("task", F.spark_partition_id()))
+    by = W.partitionBy("task").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy("task").agg(F.sum("m").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = F.coalesce(F.sum("m").over(by), F.lit(0)) + F.col("base")
+    ranked = placed.join(sums.select("task", "base"), "task").withColumn("rank", before + (F.col("m") + 1) / 2.0)
     one = ranked.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("m") - F.col("up"))), F.lit(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
     z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24))

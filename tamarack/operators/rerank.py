@@ -45,7 +45,8 @@ def selection_summary(selected: DataFrame, queries: DataFrame) -> DataFrame:
 def line_hits(sources: DataFrame, queries: DataFrame, pairs: DataFrame, *, most: int = 4) -> DataFrame:
     """E09. (query_id, file, line, text, n_terms): the first lines of a candidate, comments aside, that share a term with the query."""
     terms = queries.select("query_id", F.array_distinct(F.filter(tokenize(F.col("text")), lambda t: F.char_length(t) >= 3)).alias("terms"))
-    cut = sources.select("file", F.posexplode(lines(F.col("text"))).alias("i", "raw")).select("file", (F.col("i") + 1).alias("line"), strip(F.col("raw")).alias("raw"))
+    held = sources.join(pairs.select("file").distinct(), "file", "left_semi")
+    cut = held.select("file", F.posexplode(lines(F.col("text"))).alias("i", "raw")).select("file", (F.col("i") + 1).alias("line"), strip(F.col("raw")).alias("raw"))
     cut = cut.filter(~is_comment_header(F.col("raw"))).withColumn("own", F.array_distinct(tokenize(F.col("raw"))))
     met = pairs.join(terms, "query_id").join(cut, "file").withColumn("n_terms", F.size(F.array_intersect("own", "terms"))).filter("n_terms > 0")
     first = W.partitionBy("query_id", "file").orderBy("line")
@@ -57,6 +58,8 @@ def search_candidates(sources: DataFrame, queries: DataFrame, pairs: DataFrame,
     first 20,000 characters, and 2 for each of four lines that hit. sources: file, path, classes, methods, text.
     """
     terms = queries.select("query_id", F.array_distinct(F.filter(tokenize(F.col("text")), lambda t: F.char_length(t) >= 3)).alias("terms"))
+    # Only the candidates' sources are read as tokens and lines.
+    sources = sources.join(pairs.select("file").distinct(), "file", "left_semi")
     own = sources.select("file", *[F.array_distinct(tokenize(x)).alias(n) for n, x in (("p", F.col("path")), ("c", F.array_join("classes", " ")), ("m", F.array_join("methods", " ")), ("t", F.substring("text", 1, 20_000)))])
     hits = line_hits(sources, queries, pairs).groupBy("query_id", "file").agg(F.count(F.lit(1)).alias("hits"))
     met = pairs.join(terms, "query_id").join(own, "file").join(hits, ["query_id", "file"], "left")
