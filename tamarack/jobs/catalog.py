@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import text as T
 from tamarack.jobs.oracles import ORACLE_SQL
-from tamarack.operators import bm25, candidates, contexts, evaluation, evidence, hybrid, references, rerank, snippets, study
+from tamarack.operators import bm25, candidates, contexts, evaluation, evidence, hybrid, references, rerank, rules, snippets, study
 from tamarack.operators.tables import kept
 from tamarack.sources import code, records
 
@@ -340,8 +340,7 @@ def r04(spark, sf_dir):
 @_query("R05_common_package")
 def r05(spark, sf_dir):
     part = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.concat(F.lit("org.app.core."), F.regexp_replace(F.lower("p_type"), "[^a-z]+", ".")).alias("package"))
-    per = part.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "package"))), lambda x: x["package"]).alias("packages"))
-    return per.select("p_brand", hybrid.common_package(F.col("packages")).alias("package"))
+    return hybrid.common_packages(part, "p_brand", "p_partkey", "package")
 
 
 @_query("R09_identifier_terms")
@@ -695,6 +694,72 @@ def l06(spark, sf_dir):
     return evidence.rule_signals(tokens, rules)
 
 
+_BEGIN, _LATER = ("0", "1", "2"), ("5", "6", "7", "8", "9")
+#: Rules over the last digit of a document's number as its name.
+_RULES = (
+    rules.Rule("pattern:words_and_files", ((rules.Test("terms", ("the", "der")), rules.Test("terms", ("les", "el"))), (rules.Test("files", ("3", "4"), 1, 3),), (rules.Test("score_ratio", low=1.05, missing=True),))),
+    rules.Rule("pattern:deep_direct", ((rules.Test("direct", _BEGIN, 3, 20, other=True),), (rules.Test("top1", _BEGIN + _LATER),), (rules.Test("score_ratio", high=1.5, missing=True),))),
+    rules.Rule("pattern:type_cycle", ((rules.Test("first_direct_rank", low=2), rules.Test("n_direct", low=9)),)),
+)
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a query: its terms, its 35 best documents with direct hints, and what the selector says of it."""
+    ranked = kept(_with_hints(spark, sf_dir))
+    file = F.struct("rank", F.substring("file", -1, 1).alias("name"), "direct")
+    top1 = F.max(F.when(F.col("rank") == 1, F.substring("file", -1, 1))).alias("top1")
+    best = ranked.filter("rank <= 35").groupBy("query_id").agg(F.array_sort(F.collect_list(file)).alias("files"), top1, F.max((F.col("rank") == 1) & F.col("direct")).alias("top1_direct"))
+    chosen = rerank.select(ranked, _asked(spark, sf_dir))
+    terms = _asked(spark, sf_dir).select("query_id", T.tokenize(F.col("text")).alias("terms"))
+    return chosen.join(best, "query_id").join(terms, "query_id")
+
+
+@_query("L07_pattern_reasons")
+def l07(spark, sf_dir):
+    found = rules.pattern_reasons(_signals(spark, sf_dir), _RULES)
+    return found.select("query_id", F.array_join("patterns", ",").alias("patterns"))
+
+
+@_query("L08_L09_kept_reasons")
+def l08(spark, sf_dir):
+    found = rules.pattern_reasons(_signals(spark, sf_dir), _RULES)
+    found = found.withColumn("reasons", F.concat("reasons", "patterns")).withColumn("tight", F.col("reasons"))
+    out = rules.kept_reasons(rules.kept_reasons(found, rules.COST_CONTROL), rules.TIGHT_PATTERNS[:2] + rules.TIGHT_PATTERNS[-1:], "tight")
+    return out.select("query_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("tight", ",").alias("tight"))
+
+
+@_query("E04_semantic_terms")
+def e04(spark, sf_dir):
+    asked = _asked(spark, sf_dir).select("query_id", T.tokenize(F.col("text")).alias("query_terms"))
+    pairs = _ranked(spark, sf_dir, 5).select("query_id", "file").join(asked, "query_id").join(_code(spark, sf_dir).withColumn("methods", F.array(F.lit("getThe"), F.lit("Nothing"))), "file")
+    table = (rules.TermRule(("the", "of", "none", "und"), ("and", "die")), rules.TermRule(("org", "app", "les"), ("the", "les"), ("of", "la"), inside="doc"), rules.TermRule(("import",), ("the",), ends=("1", "2", "3")))
+    return rules.semantic_terms(pairs, table).select("query_id", "file", F.array_join("terms", ",").alias("terms"))
+
+
+@_query("S23_run_rows")
+def s23(spark, sf_dir):
+    files = _read(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.concat_ws("/", "event_type", "event_id").alias("path"), F.col("ts").cast("timestamp").alias("modified"), F.sha2("props", 256).alias("sha256"))
+    spent = _calls(spark, sf_dir).groupBy(F.col("event_type").alias("run")).agg(F.round(F.sum("seconds"), 2).alias("seconds"))
+    rows = records.run_rows(spent, files)
+    return rows.select("run", "seconds", "n_files", F.unix_micros("finished").alias("finished"), F.unix_micros("started").alias("started"), "missing")
+
+
+@_query("A07_mini_benchmark")
+def a07(spark, sf_dir):
+    first, second = _both(spark, sf_dir)
+    predictions = first.withColumn("source", F.lit("bm25")).unionByName(second.withColumn("source", F.lit("flat")))
+    source = F.when(F.col("query_id") % 2 == 0, F.lit("bm25")).otherwise(F.lit("flat"))
+    cases = _asked(spark, sf_dir).select("query_id", source.alias("source"), F.concat(F.lit("category "), (F.col("query_id") % 3).cast("string")).alias("category"))
+    return study.mini_benchmark(cases, predictions, _truth(spark, sf_dir))
+
+
+@_query("V11_supplement")
+def v11(spark, sf_dir):
+    first, second = _both(spark, sf_dir)
+    parts = study.supplement(first, second, _truth(spark, sf_dir), _asked(spark, sf_dir), _selected(spark, sf_dir, first), recall_depth=DEPTH)
+    return study.long_rows(parts)
+
+
 @_query("E01_stack_snippet")
 def e01(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\. ", ".\n"))

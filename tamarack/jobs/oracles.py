@@ -187,6 +187,22 @@ SELECT query_id, b.file, CASE WHEN b.rank % 4 = 0 AND len(l) > 0 THEN array_to_s
 FROM bm b JOIN d USING (file) LEFT JOIN x USING (query_id, file) WHERE b.rank <= 10"""
 
 
+SIGNALS = f"""{BASE}, {HINTED},
+top AS (SELECT query_id, list({{'rank': rank, 'name': right(file, 1), 'direct': direct}} ORDER BY rank) FILTER (WHERE rank <= 35) AS files, max(right(file, 1)) FILTER (WHERE rank = 1) AS top1, coalesce(bool_or(direct) FILTER (WHERE rank = 1), false) AS top1_direct FROM hinted GROUP BY query_id),
+sig AS (SELECT c.*, files, top1, top1_direct, a.toks AS terms FROM chosen c JOIN top USING (query_id) JOIN asked a USING (query_id) WHERE len(reasons) > 0),
+pat AS (SELECT *, list_filter([
+  CASE WHEN list_has_any(terms, ['the', 'der', 'les', 'el']) AND len(list_filter(files, lambda f: f.rank <= 3 AND f.name IN ('3', '4'))) > 0 AND coalesce(score_ratio >= 1.05, true) THEN 'pattern:words_and_files' END,
+  CASE WHEN len(list_filter(files, lambda f: f.direct AND f.rank BETWEEN 3 AND 20 AND f.name NOT IN ('0', '1', '2'))) > 0 AND top1 IN ('0', '1', '2', '5', '6', '7', '8', '9') AND coalesce(score_ratio <= 1.5, true) THEN 'pattern:deep_direct' END,
+  CASE WHEN coalesce(first_direct_rank >= 2, false) OR n_direct >= 9 THEN 'pattern:type_cycle' END], lambda x: x IS NOT NULL) AS patterns FROM sig)"""
+
+
+def unpivoted(part: str, rows: str, name: str | None) -> str:
+    """A row for each number of ``rows``, named by the column ``name``."""
+    numbers = f"COLUMNS(* EXCLUDE ({name}))" if name else "COLUMNS(*)"
+    held = f"SELECT {name + ', ' if name else ''}{numbers}::DOUBLE FROM ({rows})"
+    return f"SELECT '{part}' AS part, {name or repr('')} AS row, metric, value FROM ({held}) UNPIVOT INCLUDE NULLS (value FOR metric IN ({numbers}))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "T01_tokenize": f"SELECT {FILE} AS file, len({tokens(JOINED)}) AS n_tokens, md5(array_to_string({tokens(JOINED)}, ' ')) AS tokens_md5 FROM documents",
     "T02_split_camel": f"SELECT {FILE} AS file, len({CAMEL}) AS n_parts, md5(array_to_string({CAMEL}, ' ')) AS parts_md5 FROM documents",
@@ -308,6 +324,47 @@ SELECT query_id, file, l IS NOT NULL AS ok, CASE WHEN l IS NULL THEN 'file is no
 f AS (SELECT rule, term, row_number() OVER (PARTITION BY rule ORDER BY min(i)) - 1 AS k FROM t GROUP BY rule, term), parts AS (SELECT rule, count(DISTINCT k % 3) AS parts FROM f GROUP BY rule),
 h AS (SELECT file AS id, rule, k % 3 AS part FROM (SELECT DISTINCT file, unnest(toks) AS term FROM docs) JOIN f USING (term) GROUP BY file, rule, part HAVING count(*) >= 4),
 m AS (SELECT id, rule, count(*) AS n FROM h GROUP BY id, rule) SELECT id, rule FROM m JOIN parts USING (rule) WHERE n = parts""",
+    "L07_pattern_reasons": f"{SIGNALS} SELECT query_id, array_to_string(patterns, ',') AS patterns FROM pat",
+    "L08_L09_kept_reasons": f"""{SIGNALS}, w AS (SELECT *, list_concat(reasons, patterns) AS r FROM pat)
+SELECT query_id, array_to_string(list_concat(
+  list_filter(r, lambda x: x LIKE 'low_score_ratio<=%' AND NOT top1_direct), list_filter(r, lambda x: x = 'top1_without_direct_hint' AND NOT top1_direct AND coalesce(first_direct_rank >= 3, true)),
+  list_filter(r, lambda x: x LIKE 'many_direct_hints>=%' AND n_direct >= 7), list_filter(r, lambda x: x = 'pattern:type_cycle' AND NOT top1_direct)), ',') AS reasons,
+  array_to_string(list_concat(list_filter(r, lambda x: x <> 'pattern:type_cycle'), list_filter(r, lambda x: x = 'pattern:type_cycle' AND (NOT top1_direct OR coalesce(score_ratio <= 1.02, true)))), ',') AS tight FROM w""",
+    "E04_semantic_terms": f"""{BASE}, {CODE}, c AS (SELECT file, list(name ORDER BY i) AS classes FROM firsts WHERE (file, name) IN (SELECT (file, name) FROM declared) GROUP BY file),
+p AS (SELECT query_id, file, a.toks AS q, list_concat(['getThe', 'Nothing'], coalesce(classes, [])) AS names, code.text AS text FROM bm JOIN asked a USING (query_id) JOIN code USING (file) LEFT JOIN c USING (file) WHERE bm.rank <= 5),
+w AS (SELECT *, list_concat(CASE WHEN list_has_any(q, ['and', 'die']) THEN ['the', 'of', 'none', 'und'] ELSE [] END, CASE WHEN list_has_any(q, ['the', 'les']) AND list_has_any(q, ['of', 'la']) THEN ['org', 'app', 'les'] ELSE [] END,
+  CASE WHEN list_contains(q, 'the') AND right(file, 1) IN ('1', '2', '3') THEN ['import'] ELSE [] END) AS wanted FROM p),
+o AS (SELECT *, {tokens("concat_ws(' ', array_to_string(names, ' '), file, left(text, 4000))")} AS own FROM w),
+n AS (SELECT query_id, file, unnest(names) AS name, wanted FROM o), m AS (SELECT query_id, file, list_append({tokens('name')}, lower(name)) AS more FROM n WHERE list_has_any({tokens('name')}, wanted)),
+t AS (SELECT query_id, file, unnest(list_filter(wanted, lambda x: list_contains(own, x))) AS term FROM o UNION SELECT query_id, file, unnest(more) FROM m)
+SELECT query_id, file, string_agg(term, ',' ORDER BY term) AS terms FROM t GROUP BY query_id, file""",
+    "S23_run_rows": f"""WITH c AS (SELECT event_type AS run, round(sum(round(value, 2)), 2) AS seconds, count(*) AS n_files, max(ts) AS m FROM events GROUP BY event_type)
+SELECT run, seconds, n_files, epoch_us(m::TIMESTAMP) AS finished, epoch_us(m::TIMESTAMP) - round(seconds * 1000000)::BIGINT AS started, false AS missing FROM c""",
+    "A07_mini_benchmark": f"""{BOTH}, {per('p', 'bm', 50)}, {per('f', 'flat', 50)}
+SELECT a.query_id, CASE WHEN a.query_id % 2 = 0 THEN 'bm25' ELSE 'flat' END AS source, 'category ' || (a.query_id % 3) AS category,
+  CASE WHEN a.query_id % 2 = 0 THEN p.correct_rank ELSE f.correct_rank END AS best_rank, CASE WHEN a.query_id % 2 = 0 THEN p.correct_rank ELSE f.correct_rank END IS NOT NULL AS in_first
+FROM asked a JOIN p USING (query_id) JOIN f USING (query_id)""",
+    "T04_compact_trace": f"""WITH {TRACE}, l AS (SELECT conv_id, turn, unnest({lines('trace')}) AS x, generate_subscripts({lines('trace')}, 1) AS i FROM traces),
+b AS (SELECT *, CASE WHEN starts_with({strip('x')}, 'at ') AND x = lag(x) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 0 ELSE i END AS begins FROM l),
+r AS (SELECT *, max(begins) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM b),
+o AS (SELECT conv_id, turn, run, x, count(*) AS n FROM r GROUP BY conv_id, turn, run, x)
+SELECT conv_id, turn, string_agg(array_to_string(list_concat(list_transform(range(least(n, 3)), lambda k: x), CASE WHEN n > 3 THEN [chr(9) || '... repeated identical frame omitted ' || (n - 3) || ' time(s)'] ELSE [] END), chr(10)), chr(10) ORDER BY run) AS trace FROM o GROUP BY conv_id, turn""",
+    "T10_method_window": f"""WITH p AS (SELECT page_id, {lines("replace(html, '>', '>' || chr(10))")} AS l FROM pages),
+w AS (SELECT page_id, l, list_filter(range(1, len(l) + 1), lambda i: contains(l[i], 'track') AND regexp_matches(l[i], '[A-Za-z0-9_>\\]]\\s+[A-Za-z0-9_]+\\s*\\('))[1] AS spot FROM p)
+SELECT page_id, CASE WHEN spot IS NULL THEN '' ELSE array_to_string(list_transform(range(greatest(spot - 2, 1), least(spot + 6, len(l) + 1)), lambda i: l[i]), chr(10)) END AS window FROM w""",
+    "S07_method_names": """WITH p AS (SELECT page_id, html, regexp_replace(html, '<p>', chr(10) || 'def f(', 'g') AS py FROM pages)
+SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(py, '(?m)^[ \\t]*(?:async\\s+)?def\\s+([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))), ',') AS functions,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?:^|[^\\pL\\pN_])(?:function\\s+|const\\s+|let\\s+|var\\s+|async\\s+function\\s+)([A-Za-z_][A-Za-z0-9_]*)\\s*(?:=|\\()', 1))), ',') AS scripted FROM p""",
+    "R05_common_package": f"""WITH p AS (SELECT p_brand, string_split('org.app.core.' || {PACKAGE}, '.') AS w FROM part), m AS (SELECT p_brand, min(w) AS a, max(w) AS b FROM p GROUP BY p_brand)
+SELECT p_brand, array_to_string(a[1:coalesce(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])[1], len(a) + 1) - 1], '.') AS package FROM m""",
     "E01_stack_snippet": f"WITH d AS (SELECT {FILE} AS file, {lines("replace(coalesce(text, ''), '. ', '.' || chr(10))")} AS l FROM documents), n AS (SELECT file, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k, lag(i) OVER (PARTITION BY file ORDER BY i) AS p FROM n WHERE i IN (1, 2, 3, 6, 7, 8)) SELECT file, string_agg(CASE WHEN i > p + 1 THEN '...' || chr(10) ELSE '' END || i || ': ' || x, chr(10) ORDER BY i) AS snippet FROM w WHERE k <= 5 GROUP BY file",
     "E16_usage_add": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS k, event_id AS calls FROM events",
 }
+
+ORACLE_SQL["V11_supplement"] = f"""{BOTH}, {HINTED}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, {per('deep', 'bm', 50)},
+u AS (SELECT 'first' AS method, * FROM p UNION ALL SELECT 'second', * FROM f), sub AS (SELECT p.*, CASE WHEN query_id IN (SELECT query_id FROM low) THEN 'selected' ELSE 'unselected' END AS subset FROM p)
+{unpivoted('summary', summary('method') + ' FROM u GROUP BY method', 'method')}
+UNION ALL {unpivoted('paired', ORACLE_SQL["V08_paired"], None)}
+UNION ALL SELECT 'recall', k::VARCHAR, unnest(['n', 'hits', 'recall']), unnest([n::DOUBLE, hits::DOUBLE, recall]) FROM (
+  SELECT k, count(*) AS n, count(*) FILTER (WHERE correct_rank <= k) AS hits, round(count(*) FILTER (WHERE correct_rank <= k)::DOUBLE / count(*), 9) AS recall FROM deep, (VALUES (10), (20), (50)) v(k) GROUP BY k)
+UNION ALL {unpivoted('subsets', summary('subset') + ' FROM sub GROUP BY subset', 'subset')}"""

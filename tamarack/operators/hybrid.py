@@ -18,25 +18,23 @@ def build_query(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
-def common_package(packages: Column) -> Column:
-    """R05. The common prefix of dotted packages in their order, no longer shortened once it has two parts or fewer."""
-    split = F.transform(F.filter(packages, lambda p: p != ""), lambda p: F.split(p, r"\."))
+def common_packages(rows: DataFrame, by: str, order: str, package: str) -> DataFrame:
+    """R05. (``by``, package): the common beginning of a group's dotted packages, taken in order and no longer shortened once it has two parts or fewer.
 
-    def shorter(prefix: Column, parts: Column) -> Column:
-        same = F.zip_with(prefix, parts, lambda a, b: a.eqNullSafe(b))
-        n = F.array_position(same, False)
-        common = F.slice(prefix, F.lit(1), F.when(n == 0, F.size(prefix)).otherwise((n - 1).cast("int")))
-        return F.when(F.size(prefix) <= 2, prefix).otherwise(common)
-
-    first = F.try_element_at(split, F.lit(1))
-    rest = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
-    folded = F.when(F.size(split) > 1, F.aggregate(F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))), _cut(first, F.try_element_at(rest, F.lit(1))), shorter)).otherwise(first)
-    return F.coalesce(F.array_join(folded, "."), F.lit(""))
-
-
-def _cut(prefix: Column, parts: Column) -> Column:
-    n = F.array_position(F.zip_with(prefix, parts, lambda a, b: a.eqNullSafe(b)), False)
-    return F.slice(prefix, F.lit(1), F.when(n == 0, F.size(prefix)).otherwise((n - 1).cast("int")))
+    That is the part of the first package that it shares with the first later one that leaves it two parts or fewer, if there is one, else with all of them: two aggregates, no
+    group is gathered. Empty and null packages are left out; a group without any has an empty one.
+    """
+    known = rows.filter(F.coalesce(F.col(package), F.lit("")) != "").select(by, order, F.split(package, r"\.").alias("parts"))
+    place = F.struct(order, "parts")
+    first = known.groupBy(by).agg(F.min(place).alias("first"))
+    same = F.array_position(F.zip_with(F.col("first.parts"), F.col("parts"), lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(same == 0, F.size("parts")).otherwise(same - 1).cast("int")
+    later = known.join(first, by).withColumn("n", shared)
+    # The first package meets itself too: as one of the later ones it shortens nothing.
+    kept = F.coalesce(F.min(F.when((F.col("n") <= 2) & (place != F.col("first")), F.struct(F.col(order), F.col("parts"), F.col("n"))))["n"], F.min("n"))
+    cut = later.groupBy(by).agg(kept.alias("n"), F.min("first").alias("first"))
+    groups = rows.select(by).distinct()
+    return groups.join(cut, by, "left").select(by, F.coalesce(F.array_join(F.slice("first.parts", F.lit(1), F.col("n")), "."), F.lit("")).alias("package"))
 
 
 def identifier_terms(*texts: Column) -> Column:

@@ -1,11 +1,15 @@
-"""Study tables (A02-A04, A06, A08): costs and retention, transitions, variance over repeats, output validity, key audits."""
+"""Study tables (A02-A08, V11): costs and retention, transitions, variance over repeats, output validity, key audits."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators import evaluation
 from tamarack.operators.evaluation import KS
+from tamarack.operators.tables import kept
 
 
 def cost_table(runs: DataFrame) -> DataFrame:
@@ -46,3 +50,46 @@ def scoped(per: DataFrame, variant: str, selected: DataFrame) -> DataFrame:
 def key_audit(records: DataFrame, group: str, keys: Column, names: list[str]) -> DataFrame:
     """A08. Records that hold each key, by group and in total (group null)."""
     return records.withColumn("__keys", keys).rollup(group).agg(F.count(F.lit(1)).alias("records"), *[F.count_if(F.array_contains("__keys", n)).alias(f"with_{n}") for n in names])
+
+
+def mini_benchmark(cases: DataFrame, predictions: DataFrame, truth: DataFrame, *, deep: int = 50) -> DataFrame:
+    """A07. cases (query_id, source ...) with the best rank of a correct file in the case's own source of predictions, and whether it is in the first ``deep``.
+
+    predictions: source, query_id, rank, file; truth: query_id, file. A case that its source has no predictions for fails the job. Cases repeat as given.
+    """
+    known = predictions.select("source", "query_id").distinct().withColumn("known", F.lit(True))
+    hits = predictions.join(truth.distinct(), ["query_id", "file"]).groupBy("source", "query_id").agg(F.min("rank").alias("best"))
+    rows = cases.join(known, ["source", "query_id"], "left").join(hits, ["source", "query_id"], "left")
+    missing = F.raise_error(F.concat(F.col("query_id").cast("string"), F.lit(" is not in "), "source")).cast("int")
+    best = F.when(F.col("known").isNull(), missing).otherwise(F.col("best"))
+    return rows.select(*cases.columns, best.alias("best_rank"), F.coalesce(best <= deep, F.lit(False)).alias("in_first"))
+
+
+def supplement(first: DataFrame, second: DataFrame, truth: DataFrame, queries: DataFrame, selected: DataFrame, *, depths: Sequence[int] = (10, 20, 50), recall_depth: int) -> dict[str, DataFrame]:
+    """V11. The summary of both rankings, their paired tests, the first one's recall and its subsets, from one kept evaluation."""
+    truth = kept(truth)
+    a, b = (kept(evaluation.correct_ranks(r, truth, queries, depth=10)) for r in (first, second))
+    both = a.withColumn("method", F.lit("first")).unionByName(b.withColumn("method", F.lit("second")))
+    deep = evaluation.correct_ranks(first, truth, queries, depth=recall_depth)
+    return {
+        "summary": evaluation.summarize(both, ["method"], depth=10), "paired": evaluation.paired(a, b),
+        "recall": evaluation.recall_curve(deep, depths, max_depth=recall_depth), "subsets": evaluation.selector_subsets(a, selected),
+    }
+
+
+def long_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """V11. (part, row, metric, value) of all parts: a row's text columns, and k, name it, its numbers are its metrics."""
+    out = None
+    for part, df in parts.items():
+        named = [c for c, t in df.dtypes if t == "string" or c == "k"]
+        row = F.concat_ws(",", F.lit(""), *[F.col(c).cast("string") for c in named])
+        numbers = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns if c not in named])
+        rows = df.select(F.lit(part).alias("part"), F.ltrim(row, F.lit(",")).alias("row"), F.inline(numbers))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_supplement(parts: dict[str, DataFrame], folder: str) -> None:
+    """V11. Each part as JSON lines in its folder; all are read from the one evaluation that was kept."""
+    for part, df in parts.items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{part}")

@@ -1,10 +1,12 @@
-"""Reading and writing of records."""
+"""Reading and writing of records."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.operators.tables import kept
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S01. Records of JSON lines; a bad line fails the job."""
@@ -53,6 +55,40 @@ def manifest_rows(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return named.join(held, "path", "left").select("dataset", "kind", "path", F.coalesce("exists", F.lit(False)).alias("exists"))
 
 
+def run_rows(runs: DataFrame, files: DataFrame, *, needed: int = 1) -> DataFrame:
+    """S23. (run, seconds, n_files, finished, started, sha256, missing) of runs (run, seconds) and their files (run, path, modified, sha256).
+
+    A run finished when the newest of its files was written, and started as many seconds before as it took; ``sha256`` is one of its files' checksums in the order of
+    their paths. A run with fewer than ``needed`` files is ``missing`` some. Null times and checksums count as none.
+    """
+    line = F.concat_ws(" ", F.coalesce("sha256", F.lit("")), "path")
+    held = files.groupBy("run").agg(F.count(F.lit(1)).alias("n_files"), F.max("modified").alias("finished"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
+    out = runs.join(held, "run", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0).cast("long")))
+    started = F.timestamp_micros(F.unix_micros("finished") - F.round(F.col("seconds") * 1_000_000).cast("long"))
+    return out.select("run", "seconds", "n_files", "finished", started.alias("started"), "sha256", (F.col("n_files") < needed).alias("missing"))
+
+
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S23. (path, modified, size, sha256) of the files below a folder; each is read in its own task."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """S02b. Append to a Parquet table the rows whose key it does not hold yet; what was appended. A job that is started again writes no key twice.
+
+    The table may not exist. Of several new rows with a key the least stays.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    one = rows.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    new = one.join(spark.read.parquet(path).select(key), key, "left_anti").select(rows.columns) if known else one
+    new = kept(new)
+    new.write.mode("append").parquet(path)
+    return new
+
+
 def selected_ids(spark: SparkSession, *paths: str) -> DataFrame:
     """S16. The selected ids of one or more selection reports, each once."""
     return spark.read.option("multiLine", "true").schema("selected_bug_ids array<string>").json(list(paths)).select(F.explode("selected_bug_ids").alias("query_id")).distinct()

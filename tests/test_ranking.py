@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tamarack.operators import bm25, evaluation, hybrid, rerank
+from tamarack.operators import bm25, contexts, evaluation, hybrid, rerank
 from tests.test_text import tokens
 
 
@@ -47,7 +47,8 @@ def test_retention_is_the_slot_scan(spark):
 
 def test_common_package(spark):
     def of(*packages):
-        return spark.createDataFrame([(list(packages),)], "p array<string>").select(hybrid.common_package(F.col("p")).alias("x")).first().x
+        rows = spark.createDataFrame([(0, -1, "")] + [(0, i, p) for i, p in enumerate(packages)], "g int, i int, p string")
+        return hybrid.common_packages(rows, "g", "i", "p").first().package
 
     assert of("a.b.c.d", "a.b.c.e") == "a.b.c"
     assert of("a.b.c", "x.y", "a.b") == ""
@@ -98,13 +99,16 @@ def test_boosts_lift_documents_from_any_rank_by_any_of_their_words(spark, tmp_pa
     docs += [(100 + i, "alpha " * 5 + f"x{i}") for i in range(60)]
     docs += [(200, " ".join(rng.choice(words) for _ in range(200)) + " " + "alpha bravo charlie delta echo_ foxtrot golfer"), (201, None)]
     items = [(1, "alpha bravo charlie delta echo foxtrot golfer of it"), (2, "unheard"), (3, words[0] + " " + words[1])]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     asked = spark.createDataFrame(items, "query_id long, text string")
     files = spark.createDataFrame([(f"doc/{i:09d}", t) for i, t in docs], "file string, text string")
     score = {(r.query_id, r.file): r.score for r in bm25.scores(asked, files).collect()}
     boosts = {(r.query_id, r.file): r for r in catalog.QUERIES["R10_R11_boosts"](spark, str(tmp_path)).collect()}
     ranked = {(r.query_id, r.rank): (r.file, r.total) for r in catalog.QUERIES["R13_hybrid_rank"](spark, str(tmp_path)).collect()}
+    around = contexts.test_contexts(*catalog._tests(spark, str(tmp_path)), context=9, head=5).withColumnRenamed("context", "text")
+    context = {(r.query_id, r.file): r.score for r in bm25.scores(around, files).collect()}
+    assert len({q for q, _ in context}) == 3
     for q, text in items:
         terms, totals = {t for t in tokens(text) if len(t) >= 4}, []
         for i, t in docs:
@@ -113,7 +117,7 @@ def test_boosts_lift_documents_from_any_rank_by_any_of_their_words(spark, tmp_pa
                 r = boosts[q, file]
                 assert (r.direct_boost, r.identifier_boost) == (90.0 * len(both), min(32.0, 4.0 * len(both)))
                 assert r.reasons == "|".join(f"direct_class_hint:{h}" for h in both)
-            totals.append((-round(score.get((q, file), 0.0) + 90.0 * len(both) + min(32.0, 4.0 * len(both)), 6), file))
+            totals.append((-round(score.get((q, file), 0.0) + 0.55 * context.get((q, file), 0.0) + 90.0 * len(both) + min(32.0, 4.0 * len(both)), 6), file))
         for k, (total, file) in enumerate(sorted(totals)[:10], 1):
             assert ranked[q, k][0] == file and abs(ranked[q, k][1] + total) < 2e-6
     assert ranked[1, 1][0] == "doc/000000200" and boosts[1, "doc/000000200"].direct_boost == 630.0
