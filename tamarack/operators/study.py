@@ -13,13 +13,14 @@ from tamarack.operators.tables import kept
 
 
 def cost_table(runs: DataFrame) -> DataFrame:
-    """A02. runs: dataset, setting (retrieval, full, selective), mrr, calls, tokens. One row per dataset: gains, the
+    """A02. runs: dataset, setting (retrieval, full, selective), mrr, calls, tokens, and seconds if they are known. One row per dataset: gains, the
     share of the full gain that the selective setting keeps (null without a gain), and what it saves."""
+    spent = [c for c in ("calls", "tokens", "seconds") if c in runs.columns]
     pick = lambda s, c: F.max(F.when(F.col("setting") == s, F.col(c)))
-    wide = runs.groupBy("dataset").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("retrieval", "full", "selective") for c in ("mrr", "calls", "tokens")])
+    wide = runs.groupBy("dataset").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("retrieval", "full", "selective") for c in ("mrr", *spent)])
     full, part = F.col("full_mrr") - F.col("retrieval_mrr"), F.col("selective_mrr") - F.col("retrieval_mrr")
     saved = lambda c: F.round(1 - F.try_divide(F.col(f"selective_{c}"), F.col(f"full_{c}")), 9)
-    return wide.select("dataset", F.round(full, 9).alias("full_gain"), F.round(part, 9).alias("selective_gain"), F.round(F.when(full > 0, part / full), 9).alias("retention"), saved("calls").alias("call_saving"), saved("tokens").alias("token_saving"))
+    return wide.select("dataset", F.round(full, 9).alias("full_gain"), F.round(part, 9).alias("selective_gain"), F.round(F.when(full > 0, part / full), 9).alias("retention"), *[saved(c).alias(n) for c, n in (("calls", "call_saving"), ("tokens", "token_saving"), ("seconds", "time_saving")) if c in spent])
 
 
 def transitions(before: DataFrame, after: DataFrame, by: str | None = None) -> DataFrame:
