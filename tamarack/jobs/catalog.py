@@ -505,6 +505,22 @@ def e02(spark, sf_dir):
     return snippets.snippets(*_snippet_pairs(spark, sf_dir), max_lines=12)
 
 
+@_query("E05_full_candidates")
+def e05b(spark, sf_dir):
+    pairs, sources = _snippet_pairs(spark, sf_dir)
+    ranked = _ranked(spark, sf_dir, 10).withColumn("bm25_score", F.col("score")).withColumn("reasons", F.array(F.concat(F.lit("rank "), F.col("rank").cast("string"))))
+    asked = pairs.select("query_id", "query").distinct().withColumn("trace", F.lit(None).cast("string"))
+    words = F.array_sort(F.array_distinct(T.tokenize(F.col("text"))))
+    shown = candidates.full(ranked, sources.withColumn("package", F.lit("docs")).withColumn("classes", words).withColumn("methods", words), asked, names=candidates.INSPECTED, max_lines=12, rules=())
+    return shown.select("query_id", "rank", "file", F.array_join("class_names", ",").alias("classes"), "relevant_snippet", F.size("method_names").alias("n_methods"), "evidence")
+
+
+@_query("E15_observations")
+def e15(spark, sf_dir):
+    seen = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), F.col("role").alias("action"), F.col("text").alias("content"), F.slice(F.split("text", " "), 1, 9).alias("results"))
+    return candidates.compact_observations(seen, max_chars=1_500, long_text=200)
+
+
 @_query("E10_windows")
 def e10(spark, sf_dir):
     sources = _docs(spark, sf_dir).select("file", F.regexp_replace("text", r"\. ", ".\n").alias("text"))

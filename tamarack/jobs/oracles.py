@@ -361,6 +361,21 @@ SELECT p_brand, array_to_string(a[1:coalesce(list_filter(range(1, len(a) + 1), l
     "E16_usage_add": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS k, event_id AS calls FROM events",
 }
 
+ORACLE_SQL["E05_full_candidates"] = f"""SELECT s.query_id, b.rank, s.file, array_to_string(w[1:12], ',') AS classes, s.snippet AS relevant_snippet, least(len(w), 40)::INTEGER AS n_methods,
+  '{{"bm25_score":' || score || ',"reasons":["rank ' || b.rank || '"]}}' AS evidence
+FROM ({SNIPPETS.replace('b.rank % 4 = 0 AND len(l) > 0', 'false')}) s
+JOIN ({BASE} SELECT query_id, file, rank, score FROM bm) b USING (query_id, file)
+JOIN (WITH {DOCS} SELECT file, list_sort(list_distinct({tokens("replace(text, '. ', '.' || chr(10))")})) AS w FROM docs) d ON d.file = s.file"""
+ORACLE_SQL["E15_observations"] = """WITH RECURSIVE o AS (
+  SELECT conv_id AS query_id, turn AS place, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, to_json({'action': role, 'content': text, 'results': string_split(text, ' ')[1:9]})::VARCHAR AS whole,
+    to_json({'action': role, 'content': CASE WHEN length(text) > 200 THEN regexp_replace(left(text, 185), '\\s+$', '') || ' ...[truncated]' ELSE text END, 'results': string_split(text, ' ')[1:5], '_truncated': true})::VARCHAR AS cut FROM conversations),
+t AS (SELECT query_id, sum(length(whole) + 1) + 1 <= 1500 AS fits FROM o GROUP BY query_id),
+r AS (
+  SELECT query_id, 0::BIGINT AS i, 1500::BIGINT AS remaining, ''::VARCHAR AS observation FROM t
+  UNION ALL
+  SELECT o.query_id, o.i, r.remaining - CASE WHEN length(whole) <= least(r.remaining, 750) THEN length(whole) ELSE length(cut) END, CASE WHEN length(whole) <= least(r.remaining, 750) THEN whole ELSE cut END
+  FROM r JOIN o ON o.query_id = r.query_id AND o.i = r.i + 1 WHERE r.remaining > 0)
+SELECT o.query_id, place, CASE WHEN fits THEN whole ELSE observation END AS observation FROM o JOIN t USING (query_id) LEFT JOIN r ON r.query_id = o.query_id AND r.i = o.i WHERE fits OR r.i IS NOT NULL"""
 ORACLE_SQL["V11_supplement"] = f"""{BOTH}, {HINTED}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, {per('deep', 'bm', 50)},
 u AS (SELECT 'first' AS method, * FROM p UNION ALL SELECT 'second', * FROM f), sub AS (SELECT p.*, CASE WHEN query_id IN (SELECT query_id FROM low) THEN 'selected' ELSE 'unselected' END AS subset FROM p)
 {unpivoted('summary', summary('method') + ' FROM u GROUP BY method', 'method')}

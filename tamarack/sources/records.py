@@ -1,4 +1,4 @@
-"""Reading and writing of records."""
+"""Reading and writing of records."""
 
 from __future__ import annotations
 
@@ -99,9 +99,38 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def write_csv(df: DataFrame, path: str, missing: str = "NA") -> None:
-    """S18. CSV with a header and a word for null."""
-    df.write.mode("overwrite").option("header", "true").option("nullValue", missing).csv(path)
+def write_csv(df: DataFrame, path: str, missing: str = "NA", columns: list[str] | None = None, *, quoted: bool = True) -> None:
+    """S18. CSV with a header. ``columns`` fixes the columns, those that df lacks hold ``missing``, as do nulls; "" leaves both empty.
+
+    ``quoted=False`` writes values as they are, joined by commas.
+    """
+    names = columns or df.columns
+    text = df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) if c in df.columns else F.lit(missing)).alias(c) for c in names])
+    if quoted:
+        text.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    else:
+        head = df.sparkSession.createDataFrame([(",".join(names),)], "value string")
+        head.unionByName(text.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in names]).alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """S19. Records as indented JSON, keys in order, nulls kept, each followed by a line feed."""
+    options = {"pretty": "true", "ignoreNullFields": "false"}
+    df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), options).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_prompts(prompts: DataFrame, path: str, *by: str) -> None:
+    """S26. A folder per value of ``by`` with the column ``prompt`` as text, such as one per query and step."""
+    prompts.repartition(*by).select(*by, F.col("prompt").alias("value")).write.mode("overwrite").partitionBy(*by).option("lineSep", "\n").text(path)
+
+
+def markdown_table(df: DataFrame, *order: str) -> DataFrame:
+    """S20. The lines of a Markdown table of df, in the order of columns ``order``: numbers with four places, ``NA`` for null."""
+    cells = [four_places(F.col(c)) if t in ("double", "float") else F.col(c).cast("string") for c, t in df.dtypes]
+    head = [("| " + " | ".join(df.columns) + " |", 0), ("| " + " | ".join("---" for _ in df.columns) + " |", 1)]
+    rows = df.select(markdown_row(*cells).alias("line"), F.lit(2).alias("part"), F.struct(*(order or df.columns)).alias("key"))
+    top = df.sparkSession.createDataFrame(head, "line string, part int").withColumn("key", F.lit(None).cast(rows.schema["key"].dataType))
+    return rows.unionByName(top).orderBy("part", "key").select("line")
 
 
 def markdown_row(*cells: Column) -> Column:
