@@ -13,10 +13,10 @@ Digests are labelled ``sha256`` and hexadecimal.
 
 from __future__ import annotations
 
-import gzip
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: Pages carry no time of capture; a caller that knows it says so.
 DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
+#: Bytes that are looked at together, and bytes of blocks that the reader gives out together.
+PIECE, BATCH = 1 << 20, 8 << 20
 
 #: Elements whose content is not shown, and those that begin and end lines.
 _HIDDEN = ("script", "style", "noscript", "template", "head")
@@ -214,20 +216,83 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file in pieces of some hundred kB; gzip members, one or many, are inflated on the way."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + PIECE] for k in range(0, len(data), PIECE))
+        return
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the file ends inside of a gzip member")
+            piece = data[at : at + PIECE // 8]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
+
+
+def parsed(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a file's pieces, one record in memory at a time.
+
+    Names of headers may have any case and keep theirs; what repeats is joined by a comma. Blank lines between records are skipped. Bytes that begin no record, a record without a
+    length, and one that the file ends in are errors.
+    """
+    pieces, held = iter(pieces), bytearray()
+
+    def more() -> bool:
+        for piece in pieces:
+            if piece:
+                held.extend(piece)
+                return True
+        return False
+
+    while True:
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        if not held:
+            if not more():
+                return
+            continue
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                raise ValueError("the file ends inside of a record's headers")
+        if held[:5] != b"WARC/":
+            raise ValueError("a record does not begin with its version")
+        fields: dict[str, str] = {}
+        known: dict[str, str] = {}
+        for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                name = known.setdefault(name.strip().lower(), name.strip())
+                fields[name] = f"{fields[name]}, {value.strip()}" if name in fields else value.strip()
+        if "content-length" not in known:
+            raise ValueError("a record has no length")
+        stop = end + 4 + int(fields[known["content-length"]])
+        while len(held) < stop:
+            if not more():
+                raise ValueError("the file ends inside of a record's block")
+        yield fields, bytes(held[end + 4 : stop])
+        del held[:stop]
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, one task per file: headers (map), block (binary)."""
+    """Records of WARC files: headers (map), block (binary). A file is one task; it is held as it is stored, and inflated a record at a time."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                data = gzip.decompress(data) if name.endswith(".gz") else bytes(data)
-                at, rows = 0, []
-                while (end := data.find(b"\r\n\r\n", at)) >= 0 and data[at : at + 5] == b"WARC/":
-                    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-                    fields = [tuple(x.split(": ", 1)) for x in lines if ": " in x]
-                    size = int(dict(fields).get("Content-Length", 0))
-                    rows.append((dict(fields), data[end + 4 : end + 4 + size]))
-                    at = end + 4 + size + 4
+                rows, size = [], 0
+                try:
+                    for fields, block in parsed(_inflated(bytes(data))):
+                        rows.append((fields, block))
+                        size += len(block)
+                        if size > BATCH:
+                            yield pd.DataFrame(rows, columns=["headers", "block"])
+                            rows, size = [], 0
+                except ValueError as wrong:
+                    raise ValueError(f"{name}: {wrong}") from wrong
                 yield pd.DataFrame(rows, columns=["headers", "block"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc,txt}").load(path).select("path", "content")

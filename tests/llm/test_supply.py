@@ -1,3 +1,4 @@
+import gzip
 import re
 import tempfile
 import time
@@ -216,6 +217,38 @@ def test_warc_files_round_trip(spark, records):
     assert sorted((r.headers["WARC-Record-ID"], bytes(r.block)) for r in got) == want
 
 
+def record(block, **fields):
+    lines = [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]
+    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """Header names in any case, repeated headers, binary and empty blocks, blocks that look like records, a member per record and one for all, plain files."""
+    blocks = [bytes(range(256)) * 20, b"", b"WARC/1.0\r\ncontent-length: 3\r\n\r\nabc", b"\r\n\r\n", "é".encode() * 700_000]
+    rows = [record(b, **{("Content_Length", "content_length", "CONTENT_LENGTH")[k % 3]: len(b), "warc_type": "resource", "X_Note": k}) for k, b in enumerate(blocks)]
+    rows[1] = rows[1].replace(b"X-Note: 1", b"X-Note: 1\r\nx-note: again\r\nno colon")
+    whole = b"".join(rows)
+    for name, data in (("a.warc", whole), ("b.warc.gz", gzip.compress(whole)), ("c.warc.gz", b"".join(map(gzip.compress, rows))), ("d.warc", b""), ("e.warc", b"\r\n\r\n")):
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.block) for r in got) == sorted(blocks * 3)
+    notes = Counter(r.headers["X-Note"] for r in got)
+    assert notes == {"0": 3, "1, again": 3, "2": 3, "3": 3, "4": 3} and all(r.headers["warc-type"] == "resource" for r in got)
+
+
+@pytest.mark.parametrize(
+    ("data", "why"),
+    [
+        (record(b"abc", content_length=9)[:-4], "inside of a record's block"), (b"WARC/1.1\r\ncontent-length: 3", "inside of a record's headers"), (record(b"abc", x=1), "no length"),
+        (record(b"abc", content_length=1), "does not begin"), (gzip.compress(record(b"a" * 5000, content_length=5000))[:-9], "inside of a gzip member"),
+    ],
+)
+def test_broken_warc_files_are_errors(spark, tmp_path, data, why):
+    (tmp_path / "x.warc").write_bytes(data)
+    with pytest.raises(Exception, match=why):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses(pages)).count() == 0
