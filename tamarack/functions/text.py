@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +104,34 @@ def triggering_classes(tests: Column, failure: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(every, lambda t: strip(F.substring_index(t, "::", 1))), lambda t: t != ""))
 
 
+def triggering_methods(tests: Column, failure: Column) -> Column:
+    """T06. What stands behind the first ``::`` of each test, and of the failure, in order, each once; those without one name no method."""
+    every = F.concat(F.coalesce(tests, F.array().cast("array<string>")), F.array(F.coalesce(failure, F.lit(""))))
+    behind = lambda t: F.when(F.contains(t, F.lit("::")), F.substring(t, F.instr(t, F.lit("::")) + 2, F.char_length(t)))
+    return F.array_distinct(F.filter(F.array_compact(F.transform(every, behind)), lambda t: t != ""))
+
+
+def stack_terms(trace: Column) -> Column:
+    """L06. Tokens of the simple class names and of the methods of a trace's frames, each once."""
+    frame = r"(?m)^\s*+at\s++((?:[a-z_][A-Za-z0-9_]*+\.)+[A-Za-z0-9_$]+)\.([A-Za-z0-9_$<>]+)\("
+    part = lambda k: F.regexp_extract_all(trace, F.lit(frame), F.lit(k))
+    names = F.zip_with(part(1), part(2), lambda c, m: F.concat(tokenize(F.substring_index(c, ".", -1)), tokenize(m)))
+    return F.array_distinct(F.flatten(names))
+
+
+def rr_at(rank: Column, depth: int = 10) -> Column:
+    """T15. The reciprocal of a rank within ``depth``, else 0."""
+    return F.when(rank <= depth, 1.0 / rank).otherwise(F.lit(0.0))
+
+
+def parse_depths(raw: str) -> tuple[int, ...]:
+    """T15. The numbers of a list such as ``1,3,5``; one at least."""
+    found = tuple(int(part) for part in raw.split(",") if part.strip())
+    if not found:
+        raise ValueError("name one depth at least")
+    return found
+
+
 def stack_frames(trace: Column, package: str) -> Column:
     """T07. (class, method) of the trace's frames in a package, each once, in order."""
     frames = F.regexp_extract_all(trace, F.lit(r"at\s+([\w.$]+)\.([\w$<>]+)\("), F.lit(0))
@@ -197,6 +223,11 @@ def has_reason(reasons: Column, prefix: str) -> Column:
     return F.exists(reasons, lambda r: r.startswith(prefix))
 
 
+def reasons_of(reasons: Column, prefix: str) -> Column:
+    """T16, L01. The reasons that start with the prefix."""
+    return F.filter(F.coalesce(reasons, F.array().cast("array<string>")), lambda r: r.startswith(prefix))
+
+
 def json_keys(text: Column) -> Column:
     """T17. All keys at any depth of a JSON text, each once: strings that a colon follows, with their escapes resolved.
 
@@ -213,7 +244,3 @@ def json_keys(text: Column) -> Column:
 def class_file(folder: Column, name: Column) -> Column:
     """S14. The source file of a class: inner classes belong to their outer one's."""
     return F.concat(folder, F.lit("/"), F.replace(F.substring_index(name, "$", 1), F.lit("."), F.lit("/")), F.lit(".java"))
-
-
-def one_of(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tamarack.functions import text as T
 from tamarack.jobs.oracles import ORACLE_SQL
 from tamarack.operators import bm25, candidates, contexts, evaluation, evidence, hybrid, references, rerank, rules, snippets, study
-from tamarack.operators.tables import kept
+from tamarack.operators.tables import folder, kept
 from tamarack.sources import code, records
+from tamarack.streaming.scoring import score_stream
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
@@ -161,6 +162,13 @@ def t06(spark, sf_dir):
     return tests.select("conv_id", F.array_join(T.triggering_classes(F.col("tests"), F.lit("user::last")), ",").alias("classes"))
 
 
+@_query("T06_triggering_methods")
+def t06b(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.when(F.col("turn") % 3 < 2, F.concat(F.lit("::"), F.col("turn").cast("string"))).otherwise("")).alias("test"))
+    tests = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "test"))), lambda x: x["test"]).alias("tests"))
+    return tests.select("conv_id", F.array_join(T.triggering_methods(F.col("tests"), F.lit("a::0")), ",").alias("methods"))
+
+
 @_query("T07_stack_frames")
 def t07(spark, sf_dir):
     frames = T.stack_frames(F.col("trace"), "org.app")
@@ -279,6 +287,49 @@ def s15(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(code.export_lines(raw), "|").alias("lines"))
 
 
+@_query("S01_S02_json_lines")
+def s01(spark, sf_dir):
+    path = folder(spark, "lines")
+    records.write_jsonl(_read(spark, sf_dir, "events").select("event_id", "event_type", "props", F.round("value", 2).alias("value")), path)
+    return records.read_jsonl(spark, path, "event_id long, event_type string, props string, value double")
+
+
+@_query("S02b_append_new")
+def s02b(spark, sf_dir):
+    path, events = folder(spark, "appended"), _read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "event_type")
+    for kind in ("click", "purchase", "click"):
+        records.append_new(events.filter(F.col("event_type") == kind), path, "key")
+    return spark.read.parquet(path)
+
+
+@_query("S16_selected_ids")
+def s16(spark, sf_dir):
+    paths = []
+    for kind in ("purchase", "refund"):
+        report = _read(spark, sf_dir, "events").filter(F.col("event_type") == kind).groupBy("user_id").agg(F.transform(F.collect_set("event_id"), lambda x: x.cast("string")).alias("selected_bug_ids"))
+        paths.append(folder(spark, "report"))
+        # A report per user, each in a file of its own.
+        report.write.partitionBy("user_id").json(paths[-1])
+    return records.selected_ids(spark, *paths)
+
+
+@_query("S18_csv")
+def s18(spark, sf_dir):
+    path = folder(spark, "csv")
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"), F.regexp_replace(F.substring("text", 1, 40), "[\n\"\\\\]", ",").alias("head"))
+    records.write_csv(rows, path, columns=["doc_id", "head", "absent", "source"])
+    return records.read_bugs(spark, path)
+
+
+@_query("R02_stream")
+def r02b(spark, sf_dir):
+    base = folder(spark, "stream")
+    _asked(spark, sf_dir).repartition(3).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("query_id long, text string").option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
+    score_stream(stream, _docs(spark, sf_dir), f"{base}/out", f"{base}/log", k=10).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("query_id", "rank", "file", "score")
+
+
 @_query("S17_repeated_keys")
 def s17(spark, sf_dir):
     return records.repeated_keys(_read(spark, sf_dir, "labels").unionByName(_read(spark, sf_dir, "labels").filter("toxic = 1")), "doc_id")
@@ -450,6 +501,12 @@ def r17(spark, sf_dir):
     return rows.select("query_id", F.array_join(F.transform("ranked", lambda x: x["file"]), ",").alias("ranked_files"))
 
 
+@_query("R17_records")
+def r17b(spark, sf_dir):
+    ranked = _ranked(spark, sf_dir, 5).withColumn("reasons", F.array(F.concat(F.lit("rank "), F.col("rank").cast("string"))))
+    return rerank.prediction_records(ranked, method="bm25", parts={"direct-hint-include": False, "reference-hint-include": True})
+
+
 @_query("L10_select")
 def l10(spark, sf_dir):
     return rerank.select(_with_hints(spark, sf_dir), _asked(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
@@ -628,7 +685,8 @@ def v12(spark, sf_dir):
 
 @_query("A01_usage_by_setting")
 def a01(spark, sf_dir):
-    return evaluation.usage(_calls(spark, sf_dir), ["event_type"])
+    calls = _calls(spark, sf_dir).withColumn("prompt_tokens", F.floor(F.col("tokens") / 2).cast("bigint")).withColumn("completion_tokens", F.col("tokens") - F.col("prompt_tokens")).withColumn("invalid", F.col("seconds") > 50)
+    return evaluation.usage(calls, ["event_type"])
 
 
 @_query("A02_cost_table")
@@ -644,6 +702,20 @@ def a03(spark, sf_dir):
     return study.transitions(*_per_both(spark, sf_dir))
 
 
+@_query("A03_selector_recall")
+def a03b(spark, sf_dir):
+    ranked = kept(_ranked(spark, sf_dir))
+    per = evaluation.correct_ranks(ranked, _truth(spark, sf_dir), _asked(spark, sf_dir), depth=DEPTH)
+    return study.selector_recall(per, _selected(spark, sf_dir, ranked))
+
+
+@_query("A05_case_ranks")
+def a05b(spark, sf_dir):
+    first, second = _per_both(spark, sf_dir)
+    both = first.withColumn("variant", F.lit("bm25")).unionByName(second.withColumn("variant", F.lit("flat")))
+    return study.case_ranks(both, "variant", "bm25")
+
+
 @_query("A04_variance")
 def a04(spark, sf_dir):
     runs = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.avg("l_tax"), 6).alias("tax"))
@@ -659,7 +731,8 @@ def a05(spark, sf_dir):
 
 @_query("A06_output_validity")
 def a06(spark, sf_dir):
-    return rerank.output_counters(*_output(spark, sf_dir), depth=4).agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("returned", "valid", "invalid", "duplicates", "added")])
+    models = _read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.concat(F.lit("model "), F.substring("event_type", 1, 1)).alias("model"))
+    return study.validity(rerank.output_counters(*_output(spark, sf_dir), depth=4), models)
 
 
 @_query("A08_key_audit")
@@ -689,6 +762,20 @@ def r08(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(hints, ",").alias("hints"))
 
 
+@_query("L06_stack_terms")
+def l06b(spark, sf_dir):
+    brand = F.regexp_replace("p_brand", "#", "")
+    trace = F.concat(F.lit("x at a.B.c(\n  at org.app."), _class_name(), F.lit("$1.run"), brand, F.lit("(X.java:1)\n\tat Other.get("), F.lit("\nat org.<init>("))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(T.stack_terms(trace)), ",").alias("terms"))
+
+
+@_query("L01_direct_candidates")
+def l01(spark, sf_dir):
+    _, ranked = _pool(spark, sf_dir, 10)
+    reasons = F.concat("reasons", F.array(F.concat(F.lit("identifier_overlap:"), "file")))
+    return rerank.direct_candidates(ranked.withColumn("reasons", reasons)).withColumn("reasons", F.array_join("reasons", ","))
+
+
 @_query("R12_type_boost")
 def r12(spark, sf_dir):
     docs = _docs(spark, sf_dir)

@@ -301,12 +301,12 @@ SELECT query_id, file, line::INTEGER AS line, CASE WHEN length(raw) > 220 THEN r
     "V09_false_negatives": f"{BOTH}, {HINTED}, {per('p', 'bm', 10)} SELECT query_id, correct_rank FROM p WHERE query_id NOT IN (SELECT query_id FROM low) AND (correct_rank IS NULL OR correct_rank > 10)",
     "V10_recall": f"{BOTH}, {per('p', 'bm', 50)} SELECT k, count(*) AS n, CASE WHEN k <= 50 THEN count(*) FILTER (WHERE correct_rank <= k) END AS hits, CASE WHEN k <= 50 THEN round(count(*) FILTER (WHERE correct_rank <= k)::DOUBLE / count(*), 9) END AS recall FROM p, (VALUES (10), (20), (50), (100)) v(k) GROUP BY k",
     "V12_usage": f"SELECT {USAGE}",
-    "A01_usage_by_setting": f"SELECT event_type, {USAGE} GROUP BY event_type",
+    "A01_usage_by_setting": f"SELECT event_type, coalesce(sum(tokens // 2), 0)::BIGINT AS total_prompt_tokens, coalesce(sum(tokens - tokens // 2), 0)::BIGINT AS total_completion_tokens, count(*) FILTER (WHERE seconds > 50) AS invalid_count, {USAGE} GROUP BY event_type",
     "A02_cost_table": "WITH r AS (SELECT o_orderpriority AS dataset, CASE o_orderstatus WHEN 'F' THEN 'r' WHEN 'O' THEN 'f' ELSE 's' END AS s, round(avg(1.0::DOUBLE / (1 + o_orderkey % 10)), 9) AS mrr, count(*) AS calls, sum(floor(o_totalprice)::BIGINT) AS tokens FROM orders GROUP BY 1, 2), w AS (SELECT dataset, max(mrr) FILTER (WHERE s = 'r') AS rm, max(mrr) FILTER (WHERE s = 'f') AS fm, max(mrr) FILTER (WHERE s = 's') AS sm, max(calls) FILTER (WHERE s = 'f') AS fc, max(calls) FILTER (WHERE s = 's') AS sc, max(tokens) FILTER (WHERE s = 'f') AS ft, max(tokens) FILTER (WHERE s = 's') AS st FROM r GROUP BY dataset) SELECT dataset, round(fm - rm, 9) AS full_gain, round(sm - rm, 9) AS selective_gain, round(CASE WHEN fm - rm > 0 THEN (sm - rm) / (fm - rm) END, 9) AS retention, round(1 - sc::DOUBLE / fc, 9) AS call_saving, round(1 - st::DOUBLE / ft, 9) AS token_saving FROM w",
     "A03_transitions": f"{BOTH}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, d AS (SELECT coalesce(p.correct_rank, 1073741824) AS a, coalesce(f.correct_rank, 1073741824) AS b FROM p JOIN f USING (query_id)) SELECT count(*) FILTER (WHERE b < a) AS improved, count(*) FILTER (WHERE b > a) AS degraded, count(*) FILTER (WHERE b = a) AS unchanged, count(*) FILTER (WHERE a > 5 AND b <= 5) AS into_5, count(*) FILTER (WHERE a <= 5 AND b > 5) AS out_of_5, count(*) FILTER (WHERE a > 10 AND b <= 10) AS into_10, count(*) FILTER (WHERE a <= 10 AND b > 10) AS out_of_10 FROM d",
     "A04_variance": "WITH r AS (SELECT l_returnflag, l_linenumber, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*) AS runs, round(avg(discount), 9) AS discount_mean, round(coalesce(stddev_samp(discount), 0), 9) AS discount_sd, min(discount) AS discount_min, max(discount) AS discount_max, round(avg(tax), 9) AS tax_mean, round(coalesce(stddev_samp(tax), 0), 9) AS tax_sd, min(tax) AS tax_min, max(tax) AS tax_max FROM r GROUP BY l_returnflag",
     "A05_scopes": f"{BOTH}, {HINTED}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, u AS (SELECT 'bm25' AS variant, * FROM p UNION ALL SELECT 'flat', * FROM f), s AS (SELECT *, 'all' AS scope FROM u UNION ALL SELECT *, 'selected' FROM u WHERE query_id IN (SELECT query_id FROM low)) SELECT variant, scope, count(*) AS n, round(avg(rr), 9) AS mrr, {', '.join(f'count(*) FILTER (WHERE {HIT(k)}) AS hits_{k}' for k in (1, 3, 5, 10))} FROM s GROUP BY variant, scope",
-    "A06_output_validity": f"{counters(4)} SELECT count(*) AS records, sum(returned)::BIGINT AS returned, sum(valid)::BIGINT AS valid, sum(invalid)::BIGINT AS invalid, sum(duplicates)::BIGINT AS duplicates, sum(added)::BIGINT AS added FROM whole",
+    "A06_output_validity": f"{counters(4)} SELECT count(*) AS records, sum(returned)::BIGINT AS returned, sum(valid)::BIGINT AS valid, sum(invalid)::BIGINT AS invalid, sum(duplicates)::BIGINT AS duplicates, sum(added)::BIGINT AS added, (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT 'model ' || event_type[1] AS m FROM events)) AS models FROM whole",
     "A08_key_audit": "SELECT event_type, count(*) AS records, count(*) FILTER (WHERE list_contains(json_keys(props), 'k')) AS with_k, count(*) FILTER (WHERE list_contains(json_keys(props), 'missing')) AS with_missing FROM events GROUP BY ROLLUP (event_type)",
     "R06_locate": f"WITH n AS (SELECT {NAME} AS name, p_partkey % 6 AS f FROM part), files AS (SELECT DISTINCT name, (['src/test/java/a', 'lib/Test', 'src/test/a', 'main', 'zoo', 'test/b'])[f + 1] || '/' || name || '.java' AS file, ([0, 3, 1, 4, 4, 3])[f + 1] AS r FROM n) SELECT 'a.' || name AS class, arg_min(file, (r, file)) AS file FROM files GROUP BY name",
     "E05_E07_briefs": f"{BASE}, w AS (SELECT file, source AS package, list_sort(list_distinct(toks)) AS w FROM docs) SELECT query_id, rank, score, file, package, kind, array_to_string(w[1:c], ',') AS classes, array_to_string(w[1:m], ',') AS methods FROM bm JOIN w USING (file), (VALUES ('rerank', 10, 40), ('agent', 8, 20), ('verifier', 10, 35)) k(kind, c, m) WHERE rank <= 15",
@@ -357,6 +357,21 @@ SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(py, '
   array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?:^|[^\\pL\\pN_])(?:function\\s+|const\\s+|let\\s+|var\\s+|async\\s+function\\s+)([A-Za-z_][A-Za-z0-9_]*)\\s*(?:=|\\()', 1))), ',') AS scripted FROM p""",
     "R05_common_package": f"""WITH p AS (SELECT p_brand, string_split('org.app.core.' || {PACKAGE}, '.') AS w FROM part), m AS (SELECT p_brand, min(w) AS a, max(w) AS b FROM p GROUP BY p_brand)
 SELECT p_brand, array_to_string(a[1:coalesce(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])[1], len(a) + 1) - 1], '.') AS package FROM m""",
+    "T06_triggering_methods": """WITH m AS (SELECT conv_id, turn::VARCHAR AS m, turn AS o FROM conversations WHERE turn % 3 < 2 UNION ALL SELECT DISTINCT conv_id, '0', 9999999 FROM conversations),
+f AS (SELECT conv_id, m, min(o) AS o FROM m GROUP BY conv_id, m) SELECT conv_id, string_agg(m, ',' ORDER BY o) AS methods FROM f GROUP BY conv_id""",
+    "L06_stack_terms": f"""WITH n AS (SELECT p_partkey, {NAME} || '$1' AS n, 'run' || replace(p_brand, '#', '') AS m FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat({tokens('n')}, {tokens('m')}))), ',') AS terms FROM n""",
+    "L01_direct_candidates": f"{pooled(MENTIONED)} SELECT query_id, rank::INTEGER AS rank, file, reasons FROM allr WHERE prot",
+    "R17_records": f"""{BASE} SELECT query_id, 'bm25+reference-hint-include' AS method, '{{"query_id":' || query_id || ',"method":"bm25+reference-hint-include","direct-hint-include":false,"reference-hint-include":true,"ranked_files":[' ||
+  string_agg('{{"rank":' || rank || ',"file":"' || file || '","score":' || score || ',"reasons":["rank ' || rank || '"]}}', ',' ORDER BY rank) || ']}}' AS record FROM bm WHERE rank <= 5 GROUP BY query_id""",
+    "A03_selector_recall": f"""{BOTH}, {HINTED}, {per('p', 'bm', 50)}, x AS (SELECT k, count(*) FILTER (WHERE correct_rank IS NULL OR correct_rank > k) AS failures, count(*) FILTER (WHERE (correct_rank IS NULL OR correct_rank > k) AND query_id IN (SELECT query_id FROM low)) AS selected
+  FROM p, (VALUES (1), (5), (10)) v(k) GROUP BY k) SELECT *, CASE WHEN failures > 0 THEN round(selected::DOUBLE / failures, 9) END AS recall FROM x""",
+    "A05_case_ranks": f"""{BOTH}, {per('p', 'bm', 10)}, {per('f', 'flat', 10)}, u AS (SELECT 'bm25' AS variant, * FROM p UNION ALL SELECT 'flat', * FROM f), d AS (SELECT u.query_id, variant, u.correct_rank AS rank, round(u.rr, 9) AS rr, round(p.rr, 9) AS base FROM u JOIN p USING (query_id))
+SELECT query_id, variant, rank, rr, round(rr - base, 9) AS delta, CASE WHEN round(rr - base, 9) <> 0 THEN query_id || ':RR ' || printf('%.4f', base) || '->' || printf('%.4f', rr) END AS note FROM d""",
+    "S01_S02_json_lines": "SELECT event_id, event_type, props, round(value, 2) AS value FROM events",
+    "S02b_append_new": "WITH c AS (SELECT user_id AS key, min(event_id) AS event_id, 'click' AS event_type FROM events WHERE event_type = 'click' GROUP BY user_id), p AS (SELECT user_id AS key, min(event_id) AS event_id, 'purchase' AS event_type FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT key FROM c) GROUP BY user_id) FROM c UNION ALL FROM p",
+    "S16_selected_ids": "SELECT DISTINCT event_id::VARCHAR AS query_id FROM events WHERE event_type IN ('purchase', 'refund')",
+    "S18_csv": "SELECT doc_id::VARCHAR AS doc_id, regexp_replace(left(coalesce(text, 'NA'), 40), '[\\n\"\\\\]', ',', 'g') AS head, 'NA' AS absent, CASE WHEN doc_id % 5 > 0 THEN source ELSE 'NA' END AS source FROM documents",
+    "R02_stream": f"{BASE} SELECT query_id, rank, file, score FROM bm WHERE rank <= 10",
     "E01_stack_snippet": f"WITH d AS (SELECT {FILE} AS file, {lines("replace(coalesce(text, ''), '. ', '.' || chr(10))")} AS l FROM documents), n AS (SELECT file, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), w AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY i) AS k, lag(i) OVER (PARTITION BY file ORDER BY i) AS p FROM n WHERE i IN (1, 2, 3, 6, 7, 8)) SELECT file, string_agg(CASE WHEN i > p + 1 THEN '...' || chr(10) ELSE '' END || i || ': ' || x, chr(10) ORDER BY i) AS snippet FROM w WHERE k <= 5 GROUP BY file",
     "E16_usage_add": "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS k, event_id AS calls FROM events",
 }

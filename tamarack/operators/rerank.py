@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarack.functions.text import is_comment_header, lines, strip, tokenize, truncate_text
+from tamarack.functions.text import is_comment_header, lines, reasons_of, strip, tokenize, truncate_text
 
 RATIO = 1.02
 MANY_HINTS = 7
@@ -35,6 +35,23 @@ def select(ranking: DataFrame, queries: DataFrame, *, ratio: float = RATIO, many
     return out.filter(F.size("reasons") > 0)
 
 
+def direct_candidates(ranked: DataFrame) -> DataFrame:
+    """L01. (query_id, rank, file, reasons): the files with direct reasons, and these alone, of ranked (query_id, rank, file, reasons)."""
+    return ranked.select("query_id", "rank", "file", reasons_of(F.col("reasons"), "direct_").alias("reasons")).filter(F.size("reasons") > 0)
+
+
+def prediction_records(ranked: DataFrame, *, method: str, parts: dict[str, bool]) -> DataFrame:
+    """R17. (query_id, method, record): a query's ranking with all that ``ranked`` (query_id, rank, file ...) says of a file, as JSON in the order of ranks.
+
+    The method's name has ``+part`` for each part that was on.
+    """
+    name = "+".join([method, *[p for p, on in parts.items() if on]])
+    item = F.struct("rank", *[c for c in ranked.columns if c not in ("query_id", "rank")])
+    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("ranked_files"))
+    record = F.to_json(F.struct("query_id", F.lit(name).alias("method"), *[F.lit(on).alias(p) for p, on in parts.items()], "ranked_files"), {"ignoreNullFields": "false"})
+    return rows.select("query_id", F.lit(name).alias("method"), record.alias("record"))
+
+
 def selection_summary(selected: DataFrame, queries: DataFrame) -> DataFrame:
     """L11. (reason, n, fraction of all queries); the reason ``*`` counts the selected queries."""
     total = queries.select("query_id").distinct().agg(F.count(F.lit(1)).alias("total"))

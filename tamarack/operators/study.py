@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import rr_at
 from tamarack.operators import evaluation
 from tamarack.operators.evaluation import KS
 from tamarack.operators.tables import kept
@@ -53,6 +54,32 @@ def key_audit(records: DataFrame, group: str, keys: Column, names: list[str]) ->
     return records.withColumn("__keys", keys).rollup(group).agg(F.count(F.lit(1)).alias("records"), *[F.count_if(F.array_contains("__keys", n)).alias(f"with_{n}") for n in names])
 
 
+def selector_recall(per: DataFrame, selected: DataFrame, *, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """A03. (k, failures, selected, recall): queries without a correct file in the first k, and how many of them the selector took; recall is null without failures."""
+    flagged = per.join(selected.select("query_id").distinct().withColumn("s", F.lit(True)), "query_id", "left")
+    failed = lambda k: F.col("correct_rank").isNull() | (F.col("correct_rank") > k)
+    rows = flagged.select("query_id", F.coalesce("s", F.lit(False)).alias("s"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), failed(k).alias("failed")) for k in ks])).alias("x")).select("s", "x.*")
+    counts = rows.groupBy("k").agg(F.count_if("failed").alias("failures"), F.count_if(F.col("failed") & F.col("s")).alias("selected"))
+    return counts.withColumn("recall", F.round(F.try_divide("selected", "failures"), 9))
+
+
+def case_ranks(per: DataFrame, variant: str, baseline: str, *, depth: int = 10) -> DataFrame:
+    """A05, A03. (query_id, variant, rank, rr, delta, note) of each query and variant: its rank within ``depth``, and how its RR differs from the baseline's."""
+    rr = F.round(rr_at(F.col("correct_rank"), depth), 9)
+    rows = per.select("query_id", variant, F.when(F.col("correct_rank") <= depth, F.col("correct_rank")).alias("rank"), rr.alias("rr"))
+    base = rows.filter(F.col(variant) == baseline).select("query_id", F.col("rr").alias("base"))
+    met = rows.join(base, "query_id", "left").withColumn("delta", F.round(F.col("rr") - F.col("base"), 9))
+    note = F.when(F.col("delta") != 0, F.format_string("%s:RR %.4f->%.4f", F.col("query_id").cast("string"), "base", "rr"))
+    return met.select("query_id", variant, "rank", "rr", "delta", note.alias("note"))
+
+
+def validity(counters: DataFrame, models: DataFrame) -> DataFrame:
+    """A06. One row: the number of records, sums of what was returned, valid, invalid, repeated and added, and the models (query_id, model) by name, each once."""
+    sums = counters.agg(F.count(F.lit(1)).alias("records"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("returned", "valid", "invalid", "duplicates", "added")])
+    names = models.select("model").filter("model IS NOT NULL").distinct().agg(F.array_join(F.array_sort(F.collect_list("model")), ",").alias("models"))
+    return sums.crossJoin(F.broadcast(names))  # one row each
+
+
 def mini_benchmark(cases: DataFrame, predictions: DataFrame, truth: DataFrame, *, deep: int = 50) -> DataFrame:
     """A07. cases (query_id, source ...) with the best rank of a correct file in the case's own source of predictions, and whether it is in the first ``deep``.
 

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    _shared(spark)
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, worked out once and written to ``spark.checkpoint.dir``: what is lost with an executor is read again, not made again.
+    """df, worked out once and written to ``spark.checkpoint.dir``: what is lost with an executor is read again, not made again."""
+    _shared(df.sparkSession)
+    return df.checkpoint()
 
-    A local session without that setting, as in tests, gets a temporary folder; on a cluster that is an error, since executors would write to
+
+def _shared(spark: SparkSession) -> None:
+    """Set the checkpoint folder where it is unset.
+
+    A local session without the setting, as in tests, gets a temporary folder; on a cluster that is an error, since executors would write to
     disks of their own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()

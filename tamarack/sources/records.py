@@ -107,7 +107,7 @@ def write_csv(df: DataFrame, path: str, missing: str = "NA", columns: list[str]
     names = columns or df.columns
     text = df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) if c in df.columns else F.lit(missing)).alias(c) for c in names])
     if quoted:
-        text.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+        text.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     else:
         head = df.sparkSession.createDataFrame([(",".join(names),)], "value string")
         head.unionByName(text.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in names]).alias("value"))).coalesce(1).write.mode("overwrite").text(path)

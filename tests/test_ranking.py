@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import bm25, contexts, evaluation, hybrid, rerank
@@ -121,3 +122,20 @@ def test_boosts_lift_documents_from_any_rank_by_any_of_their_words(spark, tmp_pa
         for k, (total, file) in enumerate(sorted(totals)[:10], 1):
             assert ranked[q, k][0] == file and abs(ranked[q, k][1] + total) < 2e-6
     assert ranked[1, 1][0] == "doc/000000200" and boosts[1, "doc/000000200"].direct_boost == 630.0
+
+
+def test_mcnemar_against_exact_tails(spark):
+    """Exact fractions for all small counts; large ones, near and far from even, against logarithms of binomials."""
+    from fractions import Fraction
+
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        return min(1.0, float(2 * sum(Fraction(math.comb(n, i), 2**n) for i in range(k + 1)))) if n else 1.0
+
+    pairs = [(b, c) for b in range(0, 40, 3) for c in range(0, 60, 7)] + [(500, 500), (500, 430), (1, 900), (700, 1400), (2, 2)]
+    df = spark.createDataFrame([*pairs, (10**9, 10**9 + 10**5), (5 * 10**6, 5 * 10**6)], "b long, c long")
+    got = {(r.b, r.c): r.p for r in df.select("b", "c", evaluation.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()}
+    assert all(got[p] == pytest.approx(exact(*p), rel=1e-9, abs=1e-15) for p in pairs)
+    assert got[5 * 10**6, 5 * 10**6] == 1.0
+    z = (10**5 - 1) / math.sqrt(2 * 10**9 + 10**5)
+    assert got[10**9, 10**9 + 10**5] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)

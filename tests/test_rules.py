@@ -186,6 +186,7 @@ def test_best_documents_are_those_of_all_scores(spark):
             found = {r.file: r.score for r in every if r.query_id == i}
             pool = {f: 0.0 for f, _ in sorted(docs)[:k]} | found
             want[i] = sorted(pool.items(), key=lambda x: (-x[1], x[0]))[:k]
-        rows = bm25.rank(q, d, k=k).collect()
-        assert {i: [(r.file, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] for i, _ in queries} == want
+        for bounded in (False, True):
+            rows = bm25.rank(q, d, k=k, bounded=bounded).collect()
+            assert {i: [(r.file, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i] for i, _ in queries} == want
     assert bm25.best(bm25.index(q, d), 1).count() < len(every)
