@@ -344,3 +344,43 @@ def test_a_line_repeated_in_many_documents_makes_one_window_each(spark):
     assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(12))
     h = compact_windows.shingles_of(rows[0][1])[0]
     assert len(compact_windows.windows_of(h * np.uint64(2654435769))[0]) < 20
+
+
+def test_no_pair_is_lost_around_a_line_that_all_documents_have(spark):
+    """Passages that are mostly one common line, whose pivots are unlike them: every pair is listed, and no other."""
+    rng = random.Random(31)
+    vocabulary = prose(rng, 4000).split()
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    line, rows, pairs = draw(38), [], set()
+    for k in range(40):
+        before, after = draw(rng.randint(9, 13)), draw(rng.randint(9, 13))
+        other = after[:]
+        if k % 2:
+            other[-3:-2] = ["changed"]
+        rows += [(k, " ".join(draw(40) + line + draw(40))), (9000 + k, " ".join(draw(40) + line + draw(40)))]
+        rows += [(1000 + k, " ".join(draw(30) + before + line + after + draw(30))), (2000 + k, " ".join(draw(20) + before + line + other + draw(40)))]
+        pairs.add((2000 + k, 1000 + k))
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pairs
+
+
+def test_rare_places_meet_where_two_stretches_share_enough():
+    rng = np.random.default_rng(5)
+    for missing in (0, 5, compact_windows.MISSING):
+        for _ in range(30):
+            one = rng.choice(10**6, compact_windows.LEAST, replace=False)
+            two = one.copy()
+            two[rng.choice(one.size, missing, replace=False)] = rng.integers(10**6, 2 * 10**6, missing)
+            counts = {x: int(rng.integers(2, 9)) for x in np.union1d(one, two).tolist()}
+            counts.update({x: 1 for x in np.setxor1d(one, two).tolist() if rng.integers(2)})
+            a, b = ({int(t[p]) for p in compact_windows.rare_places(np.array([counts[x] for x in t.tolist()]), t)} for t in (one, two))
+            assert a & b
+
+
+def test_places_that_no_chain_can_hold():
+    words, known = np.arange(120), np.ones(116, bool)
+    known[40:45] = False  # one changed word
+    assert compact_windows.chainable(known, words).all()
+    known[[*range(60, 65), *range(80, 85), *range(100, 105)]] = False
+    got = compact_windows.chainable(known, words)
+    assert got[:40].all() and not got[65:80].any()
