@@ -26,7 +26,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Filter, checkpoint, filter_of, probe, stage
@@ -73,6 +73,13 @@ def shingles_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return shingle_hashes(word_hashes(raw, starts, ends), WIDTH), raw, starts, ends
 
 
+def shingles_in(words: bytes) -> np.ndarray:
+    """Shingle hashes of a text's bytes."""
+    raw = np.frombuffer(words, np.uint8)
+    starts, ends = word_bounds(raw)
+    return shingle_hashes(word_hashes(raw, starts, ends), WIDTH) if len(starts) >= WIDTH else np.zeros(0, np.uint64)
+
+
 def windows_of(hashes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, d, r) of the nodes of the Cartesian tree over ``hashes`` that span ``least`` places or more.
 
@@ -375,8 +382,8 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for row in part.itertuples(index=False):
             if known is None or known[0] != row.wy:  # many candidates of a pivot follow one another
-                known = row.wy, shingles_of(row.wy.decode("utf-8", "surrogatepass"))[0]
-            own = known[1] if row.wx == row.wy else shingles_of(row.wx.decode("utf-8", "surrogatepass"))[0]
+                known = row.wy, shingles_in(row.wy)
+            own = known[1] if row.wx == row.wy else shingles_in(row.wx)
             for a, b, c, d, like in passages_between(own, known[1]):
                 out.append((row.x, row.lx + a, row.lx + b, row.y, row.ly + c, row.ly + d, round(like, 6), row.n_hashes, row.tiex, row.tiey))
         yield pd.DataFrame(out, columns=["doc_id", "start", "end", "other_id", "other_start", "other_end", "similarity", "n_hashes", "tiex", "tiey"])
@@ -459,6 +466,8 @@ def rare_places(counts: np.ndarray, items: np.ndarray) -> np.ndarray:
 
     ``counts`` are the documents that hold each of ``items``. Of two such stretches that share all but ``MISSING`` shingles of each, one of
     these rarest is shared: those of the one that come before the first shared one are not in the other, nor the other way round.
+    Similarity is one of sets, so where shingles repeat in a stretch, the same share of its different ones may be missing: a run of one word, cut
+    off by others that no document has, is in no passage.
     """
     if items.size < LEAST:
         return np.zeros(0, np.int64)
@@ -472,11 +481,12 @@ def rare_places(counts: np.ndarray, items: np.ndarray) -> np.ndarray:
     new = np.ones(rows.shape, bool)
     new[:, 1:] = rows[:, 1:] != rows[:, :-1]
     alone = np.count_nonzero(new & (rows < first_known), axis=1)
-    upto = np.where(np.cumsum(new, axis=1) <= MISSING + 1, rows, -1).max(axis=1)
-    upto = np.where(alone <= MISSING, upto, -1)
+    most = MISSING * np.count_nonzero(new, axis=1) // LEAST
+    upto = np.where(np.cumsum(new, axis=1) <= most[:, None] + 1, rows, -1).max(axis=1)
+    upto = np.where(alone <= most, upto, -1)
     filled = np.concatenate((np.full(LEAST - 1, -1), upto, np.full(LEAST - 1, -1)))
-    most = np.lib.stride_tricks.sliding_window_view(filled, LEAST).max(axis=1)
-    return np.flatnonzero((rank <= most) & (rank >= first_known))
+    highest = np.lib.stride_tricks.sliding_window_view(filled, LEAST).max(axis=1)
+    return np.flatnonzero((rank <= highest) & (rank >= first_known))
 
 
 def _gap(words: np.ndarray, a: int, b: int) -> int:
@@ -550,7 +560,7 @@ def _merged(labelled: DataFrame, named: DataFrame, shared_ids: Filter) -> tuple[
     if candidates.isEmpty():
         return None
     found = _verified(candidates, named, shared_ids)
-    over = lambda e, start, end: (F.col(start) <= F.col(f"{e}.c")) & (F.col(f"{e}.d") + WIDTH <= F.col(end))
+    over = lambda e, start, end: (F.col(start) - PAD <= F.col(f"{e}.c")) & (F.col(f"{e}.d") + WIDTH <= F.col(end) + PAD)
     x, y, p = labelled.alias("x"), labelled.alias("y"), found.alias("p")
     one = x.join(p, (F.col("x.doc_id") == F.col("p.doc_id")) & (F.col("x.tie") == F.col("p.tiex")) & over("x", "p.start", "p.end"))
     both = one.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("y.doc_id") == F.col("p.other_id")) & (F.col("y.tie") == F.col("p.tiey")) & over("y", "p.other_start", "p.other_end"))
@@ -588,14 +598,22 @@ def _across(members: DataFrame, passages_: DataFrame, named: DataFrame, shared_i
     known = known.join(contexts.select("doc_id", "tie", "at", "words"), ["doc_id", "tie", "at"])
     entries = stage(known.mapInPandas(_entries, "item long, doc_id long, tie long, c int, d int, common long"), "entries")
 
-    # The class of a place is a pivot that is alike there, or else its own document.
+    # The class of a place is a pivot that is alike there, or else one that has its shingle and is alike next to it, or else its own document.
     pivots = checkpoint(some.select(F.explode(F.array("low", "high")).alias("pivot")).distinct())
     reps = stage(cover.join(pivots, cover["other"] == pivots["pivot"], "left_semi"), "covers")
     e, r = entries.alias("e"), reps.alias("r")
-    over = (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.tie") == F.col("r.tie")) & (F.col("r.start") <= F.col("e.c")) & (F.col("e.d") <= F.col("r.last"))
-    met = e.join(r, over, "left").select("e.*", "r.other").join(pivots.withColumnRenamed("pivot", "doc_id").withColumn("own", F.col("doc_id")), "doc_id", "left")
-    label = F.coalesce(F.least(F.min("other"), F.min("own")), F.col("doc_id")).alias("label")
-    labelled = stage(met.groupBy("item", "doc_id", "tie", "c", "d", "common").agg(label), "labelled")
+
+    def over(by: int) -> Column:
+        return (F.col("e.doc_id") == F.col("r.doc_id")) & (F.col("e.tie") == F.col("r.tie")) & (F.col("r.start") - by <= F.col("e.c")) & (F.col("e.d") <= F.col("r.last") + by)
+
+    met = e.join(r, over(0), "left").select("e.*", "r.other").join(pivots.withColumnRenamed("pivot", "doc_id").withColumn("own", F.col("doc_id")), "doc_id", "left")
+    placed = stage(met.groupBy("item", "doc_id", "tie", "c", "d", "common").agg(F.least(F.min("other"), F.min("own")).alias("label")), "placed")
+    alone = placed.filter("label is null").drop("label").alias("e")
+    held = contexts.join(pivots.withColumnRenamed("pivot", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("other"), F.explode(F.array_distinct("items")).alias("item"))
+    held = held.join(alone.select("item").distinct(), "item", "left_semi").distinct()
+    beside = alone.join(r, over(PAD)).select("e.*", "r.other").distinct().join(held, ["item", "other"]).groupBy("item", "doc_id", "tie", "c", "d", "common").agg(F.min("other").alias("label"))
+    own = alone.join(beside, ["item", "doc_id", "tie", "c", "d"], "left_anti").withColumn("label", F.col("doc_id"))
+    labelled = stage(reduce(DataFrame.unionByName, (beside, own), placed.filter("label is not null")), "labelled")
     more = []
     merged = _merged(labelled, named, shared_ids)
     if merged is not None:
@@ -655,7 +673,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = passages_.groupBy("tiex", "tiey", *names[:-1]).agg(F.max("n_hashes").alias("n_hashes")).select(*names)
 
     # Rows with equal texts: each but the first is linked to it whole.
-    copied = probe(base, "digest", copies).filter("__maybe").select("doc_id", "digest", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")).distinct()
+    # Words are counted of rows that may be repeated alone: the condition on n would else be pushed below the probe.
+    words = F.when(F.col("__maybe"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    copied = probe(base, "digest", copies).select("doc_id", "digest", words.alias("n")).filter("n is not null").distinct()
     copied = copied.filter(F.col("n") >= WORDS).join(owner, "digest").filter(F.col("doc_id") != F.col("owner"))
     zero = F.lit(0).cast("long")
     whole = copied.select("doc_id", zero.alias("start"), F.col("n").alias("end"), F.col("owner").alias("other_id"), zero.alias("other_start"), F.col("n").alias("other_end"), F.lit(1.0).alias("similarity"), F.lit(HASHES).alias("n_hashes"))

@@ -10,6 +10,7 @@ from tamarack.llm import compact_windows, components, exact_dedup, minhash, suff
 from tests.conftest import SF
 from tests.llm.conftest import prose
 
+LONG = compact_windows.LEAST
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -384,3 +385,32 @@ def test_places_that_no_chain_can_hold():
     known[[*range(60, 65), *range(80, 85), *range(100, 105)]] = False
     got = compact_windows.chainable(known, words)
     assert got[:40].all() and not got[65:80].any()
+
+
+def test_a_short_run_of_one_word_is_no_rare_place():
+    """A run that words known to no other document cut off is in no passage; one of 50 words or more is, and so is its shingle."""
+    for n, found in ((20, False), (LONG - 1, False), (LONG, True), (90, True)):
+        items = np.concatenate((np.arange(1000, 1060), np.full(n, 7), np.arange(2000, 2060)))
+        got = compact_windows.rare_places(np.where(items == 7, 300, 1), items)
+        assert bool(got.size) == found and (items[got] == 7).all()
+
+
+def test_near_copies_and_runs_of_words_stay_linked(spark):
+    """Copies of one text with changed words, and texts with runs of the same words: what is alike by brute force is linked, directly or not."""
+    rng = random.Random(41)
+    vocabulary = prose(rng, 3000).split()
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base, texts = draw(160), []
+    for _ in range(24):
+        copy = base[:]
+        for k in rng.sample(range(160), rng.randint(0, 7)):
+            copy[k] = rng.choice(vocabulary)
+        texts.append(copy)
+    for _ in range(24):
+        texts.append([w for x in rng.sample(["the", "and", "is", "of"], 3) for w in [x] * rng.choice((20, 30, 45, 60, 80))] + draw(20))
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    hashes = [compact_windows.shingles_of(x)[0] for _, x in rows]
+    alike = [(j, i) for j in range(len(rows)) for i in range(j) if compact_windows.passages_between(hashes[j], hashes[i])]
+    got = [(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    linked = {r.node: r.component for r in components.components(spark.createDataFrame(got, "u long, v long")).collect()}
+    assert len(alike) > 200 and all(linked[a] == linked[b] for a, b in alike)
