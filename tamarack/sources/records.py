@@ -24,8 +24,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_bugs(spark: SparkSession, *paths: str) -> DataFrame:
-    """S11. Rows of CSV files with a header, all columns as text; a bad line fails the job."""
-    return spark.read.option("header", "true").option("mode", "FAILFAST").csv(list(paths))
+    """S11. Rows of CSV files with a header, all columns as text; a bad line fails the job. A blank value is null, a quoted empty one is empty.
+
+    Quoted values may hold line ends, so a file is streamed through one task: large tables are several files.
+    """
+    # Blank values stand as a character that Unicode keeps for internal use until they are null: as "" they would be the empty ones.
+    return spark.read.option("header", "true").option("mode", "FAILFAST").option("multiLine", "true").option("nullValue", "\ufdd0").csv(list(paths))
 
 
 def lookup(rows: DataFrame, wanted: DataFrame, key: str, *, strict: bool = False) -> DataFrame:
@@ -99,15 +103,19 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def write_csv(df: DataFrame, path: str, missing: str = "NA", columns: list[str] | None = None, *, quoted: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, missing: str | dict[str, str] = "NA", columns: list[str] | None = None, *, quoted: bool = True) -> None:
     """S18. CSV with a header. ``columns`` fixes the columns, those that df lacks hold ``missing``, as do nulls; "" leaves both empty.
 
+    ``missing`` may name the columns that have another word than ``NA``. Values that are empty themselves are quoted, so that they differ from nulls.
     ``quoted=False`` writes values as they are, joined by commas.
     """
     names = columns or df.columns
-    text = df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) if c in df.columns else F.lit(missing)).alias(c) for c in names])
+    word = {c: missing.get(c, "NA") if isinstance(missing, dict) else missing for c in names}
+    # What stays null is written as nothing at all.
+    lost = {c: F.lit(None if quoted and w == "" else w).cast("string") for c, w in word.items()}
+    text = df.select(*[(F.coalesce(F.col(f"`{c}`").cast("string"), lost[c]) if c in df.columns else lost[c]).alias(c) for c in names])
     if quoted:
-        text.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+        text.write.mode("overwrite").option("header", "true").option("emptyValue", '""').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     else:
         head = df.sparkSession.createDataFrame([(",".join(names),)], "value string")
         head.unionByName(text.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in names]).alias("value"))).coalesce(1).write.mode("overwrite").text(path)

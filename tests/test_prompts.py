@@ -96,6 +96,18 @@ def test_sinks(spark):
     assert [r._corrupt_record for r in records.read_jsonl_report(spark, f"{base}/f", "name string").collect() if r._corrupt_record] == ["{broken"]
 
 
+def test_csv_values_come_back(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    values = ["", " ", " a ", "a\rb", "a\r\nb", "a\nb", "\r", "\n", ",", '"', '""', "\\", '\\"', "a\\", "NA", "\u2028", None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, head string").coalesce(1)
+    for missing, lost, last in (("NA", "NA", "NA,NA,16\n"), ("", None, "\n,,16\n")):
+        path = f"{base}/csv{missing}"
+        records.write_csv(df, path, missing, columns=["head", "absent", "i"])
+        got = sorted((int(r.i), r.head, r.absent) for r in records.read_bugs(spark, path).collect())
+        assert got == [(i, lost if v is None else v, lost) for i, v in enumerate(values)]
+        assert written(path).endswith(last)
+
+
 def test_selected_ids_of_reports(spark):
     base = tempfile.mkdtemp(prefix="spark-")
     for k, ids in enumerate((["x", "y"], ["y", "z"], [])):
