@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import lines, method_window
 from tamarack.operators.evidence import locate
+from tamarack.operators.tables import dealt, kept
 
 # Fixed value.
 IMPORT = r"(?m)^\s*import\s+((?:[A-Za-z_][A-Za-z0-9_]*\.)+[A-Za-z_][A-Za-z0-9_]*);"
@@ -27,8 +28,9 @@ def _met(classes: DataFrame, methods: DataFrame, sources: DataFrame) -> tuple[Da
     """(query_id, class, file), sources of these files, and (query_id, file, method) that are looked for."""
     wanted = classes.select("query_id", "class").distinct()
     places = locate(sources.select("file"), wanted.select("class").distinct())
-    at = wanted.join(places, "class")
-    held = sources.select("file", F.coalesce("text", F.lit("")).alias("text")).join(at.select("file").distinct(), "file", "left_semi")
+    # Kept, so that its few rows go to the sources, not the sources' texts to them.
+    at = kept(wanted.join(places, "class"))
+    held = dealt(sources.select("file", F.coalesce("text", F.lit("")).alias("text")).join(at.select("file").distinct(), "file", "left_semi"), "file")
     return at, held, at.select("query_id", "file").distinct().join(methods.select("query_id", "method").distinct(), "query_id")
 
 

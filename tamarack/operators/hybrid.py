@@ -59,6 +59,11 @@ def identifier_boost(own: Column, terms: Column) -> tuple[Column, Column]:
     return F.least(F.lit(32.0), 4.0 * F.size(overlap)), reason
 
 
+def six_places(x: Column) -> Column:
+    """x, not negative, to six places by its binary value: totals often end in a five at the seventh, where rounding their decimal digits differs."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def hybrid_total(score: Column, context: Column, *boosts: Column) -> Column:
     """R13. Rounded BM25, 0.55 of the rounded context score, and all boosts."""
     total = score + 0.55 * context

@@ -1,11 +1,13 @@
 """Candidates that the texts of the best candidates point at (R15 references, R16 chains of passes), kept in the pool.
 
 Both are joins: names that the pool's best files mention, of classes that the corpus declares, meet the files that declare them. A pool is rows
-(query_id, rank, file, total, reasons); ``ranked`` holds every scored file of a query the same way, by the ranking before any retention.
+(query_id, rank, file, total, reasons); ``ranked`` holds every scored file of a query the same way, by the ranking before any retention. It may be a function that
+gives those of the pairs (query_id, file) it is asked for, with ranks that are null or more than k beyond the k best: then all others need not be ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import base_name, class_terms, has_reason
 from tamarack.operators.hybrid import retain
+from tamarack.operators.tables import kept
 
 # Fixed values.
 CLASS_IDENTIFIER = r"(?U)\b[A-Z][A-Za-z0-9_]{2,}\b"
@@ -85,8 +88,14 @@ def chain_hints(pool: DataFrame, sources: DataFrame, terms: DataFrame, chain: Ch
     return kept.select("query_id", "name", F.regexp_replace(base_name(F.col("file")), r"(?<=.)\.[^.]*$", "").alias("origin"), boost.alias("boost")).distinct()
 
 
-def _outside(found: DataFrame, pool: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+Ranked = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _outside(found: DataFrame, pool: DataFrame, ranked: Ranked, k: int) -> DataFrame:
     """Rows of found (query_id, file ...) outside of the pool, and of the k best before it, with total and reasons; a file without a score has 0."""
+    if not isinstance(ranked, DataFrame):
+        found = kept(found)
+        ranked = ranked(found.select("query_id", "file"))
     known = ranked.select("query_id", "file", F.col("rank").alias("was"), "total", F.col("reasons").alias("old"))
     rows = found.join(known, ["query_id", "file"], "left").filter(F.col("was").isNull() | (F.col("was") > k))
     rows = rows.join(pool.select("query_id", "file"), ["query_id", "file"], "left_anti")
@@ -105,7 +114,7 @@ def _joined(pool: DataFrame, come: DataFrame, k: int, kept: tuple[str, ...], **h
     return retain(inside.select(names).unionByName(come.select(names)), k=k, protected="protected", **how).drop("protected")
 
 
-def keep_references(pool: DataFrame, ranked: DataFrame, sources: DataFrame, *, k: int, top: int = REFERENCE_TOP, boost: float = REFERENCE_BOOST) -> DataFrame:
+def keep_references(pool: DataFrame, ranked: Ranked, sources: DataFrame, *, k: int, top: int = REFERENCE_TOP, boost: float = REFERENCE_BOOST) -> DataFrame:
     """R15. The pool with the files that declare a mentioned class, sorted anew: each takes the place of the last one without a direct reason."""
     declared = sources.select("file", F.explode(F.array_distinct("classes")).alias("name"))
     found = reference_hints(pool, sources, top=top).join(declared, "name").groupBy("query_id", "file").agg(F.array_sort(F.collect_set("name")).alias("names"))
@@ -115,7 +124,7 @@ def keep_references(pool: DataFrame, ranked: DataFrame, sources: DataFrame, *, k
     return _joined(pool, come, k, ("direct_", "reference_"))
 
 
-def keep_chains(pool: DataFrame, ranked: DataFrame, sources: DataFrame, terms: DataFrame, *, k: int, chain: Chain = Chain()) -> DataFrame:
+def keep_chains(pool: DataFrame, ranked: Ranked, sources: DataFrame, terms: DataFrame, *, k: int, chain: Chain = Chain()) -> DataFrame:
     """R16. The pool with at most ``chain.most`` files that declare a constructed class, in the places that they freed, among themselves by total."""
     declared = sources.select("file", F.explode(F.array_distinct("classes")).alias("name"))
     hints = chain_hints(pool, sources, terms, chain).groupBy("query_id", "name").agg(F.array_sort(F.collect_set("origin")).alias("origins"), F.max("boost").alias("boost"))

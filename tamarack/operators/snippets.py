@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import has_numeric_output_signal, is_comment_header, lines, relevant_terms, tokenize
 from tamarack.operators.evidence import stack_snippet
+from tamarack.operators.tables import dealt
 
 # Terms whose lines count three times more and that save a comment, terms that widen the context, terms that a numeric mismatch adds.
 HIGH_SIGNAL_TERMS = (
@@ -93,7 +94,7 @@ def snippets(asked: DataFrame, sources: DataFrame, *, max_lines: int = 24, conte
     """
     asked = asked.select("query_id", "file", F.coalesce("query", F.lit("")).alias("query"), F.coalesce("trace", F.lit("")).alias("trace"))
     # Only the files that are asked for are cut into lines.
-    held = sources.select("file", F.coalesce("text", F.lit("")).alias("text")).join(asked.select("file").distinct(), "file", "left_semi")
+    held = dealt(sources.select("file", F.coalesce("text", F.lit("")).alias("text")).join(asked.select("file").distinct(), "file", "left_semi"), "file")
     pairs = asked.withColumn("pair", F.struct("query_id", "file"))
     stacked = stack_snippet(held, pairs.filter(F.col("trace").rlike(r"\([\w.$]+:\d+\)")).select(F.col("pair").alias("id"), "file", "trace"), most=max_lines)
     stacked = stacked.select(F.col("id.query_id").alias("query_id"), "file", F.col("snippet").alias("stacked"))

@@ -139,3 +139,28 @@ def test_mcnemar_against_exact_tails(spark):
     assert got[5 * 10**6, 5 * 10**6] == 1.0
     z = (10**5 - 1) / math.sqrt(2 * 10**9 + 10**5)
     assert got[10**9, 10**9 + 10**5] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def random_texts(seed, n_docs=40, n_queries=6):
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice(["alpha", "betaB", "Gamma", "of", "to", "delta", "zeta", "x1"]) + rng.choice(["", "s", "er"]) for _ in range(n))
+    return [(i, text(rng.randint(0, 5))) for i in range(n_queries)], [(i, text(rng.randint(0, 9))) for i in range(n_queries)], [(f"f{i:02d}", text(rng.randint(0, 25)) if i % 7 else None) for i in range(n_docs)]
+
+
+def test_pairs_are_summed_where_documents_are(spark):
+    queries, others, docs = random_texts(4)
+    asked, around = (spark.createDataFrame(x, "query_id int, text string") for x in (queries, others))
+    files = spark.createDataFrame(docs, "file string, text string")
+    rows = bm25.two_scores(asked, around, files, least=4)
+    plan = rows._jdf.queryExecution().toString()
+    assert "hashpartitioning(file" in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(word" not in plan
+    first, second = ({(r.query_id, r.file): r.score for r in bm25.scores(q, files).collect()} for q in (asked, around))
+    own = {f: set(tokens(t or "")) for f, t in docs}
+    want = {(q, f): (first.get((q, f), 0.0), second.get((q, f), 0.0), sum(len(x) >= 4 for x in own[f] & set(tokens(dict(queries)[q])))) for q, f in {*first, *second}}
+    got = {(r.query_id, r.file): (r.score, r.context, r.n_own) for r in rows.collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 2e-6 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_totals_end_in_a_five(spark):
+    got = spark.createDataFrame([(0.0000005,), (444.107197 * 0.55,), (2137.1373495,)], "x double").select(hybrid.six_places(F.col("x"))).collect()
+    assert [r[0] for r in got] == [math.floor(x * 1e6 + 0.5) / 1e6 for x in (0.0000005, 444.107197 * 0.55, 2137.1373495)]
